@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, shared_dir
-from .tokens import Encoder
+from .tokens import encoder
 
 MAGIC, BLOCK = b"PFOR1\0\0\0", 128
 SEGMENT_IDS = 1 << 20
@@ -99,7 +99,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     cuts = np.array(_bounds(docs, n), np.int64)
 
     def tokens(frames):
-        enc = Encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id)
         kind = "<u2" if enc.lib.get_vocab_size() <= 1 << 16 else "<u4"
         for frame in frames:
             for i in range(0, len(frame), 4000):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import tempfile
@@ -92,6 +93,12 @@ class WordHashes:
         return np.array(out, dtype=np.uint64)
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The hashes known to this worker process."""
+    return WordHashes()
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """One 64-bit hash for each window of k word hashes; order within the window counts."""
     n = len(words) - k + 1

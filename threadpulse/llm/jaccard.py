@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut_lineage, in_batches, scramble, shingle_hashes, text_of
+from .common import cut_lineage, in_batches, scramble, shingle_hashes, text_of, word_hashes, WordHashes
 
 TREES, DEPTH, SHINGLE, THRESHOLD, RECALL = 18, 8, 5, 0.8, 0.9999
 GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
@@ -38,12 +38,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, trees: int = TREES, depth:
     depth = depth or prefix_depth(trees=trees)
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
-    hashes = []
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
-        if not hashes:
-            hashes.append(WordHashes())
-        sets = [shingle_set(text_of(t), hashes[0], size) for t in frame["text"]]
+        sets = [shingle_set(text_of(t), word_hashes(), size) for t in frame["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
         keys = np.zeros((len(sets), trees), np.uint64)
         if full:
@@ -149,7 +146,7 @@ def similar_nodes(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int,
     chosen = wanted.select("node").distinct().join(nodes, "node")
 
     def to_sets(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
+        hashes = word_hashes()
         sets = [shingle_set(text_of(t), hashes, size) for t in frame["text"]]
         out = frame.assign(shingles=[s.astype("<u8").tobytes() for s in sets])
         return out[[node_name(s) == x for s, x in zip(sets, frame["node"])]].drop(columns=["text"])

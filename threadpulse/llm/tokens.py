@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import string
@@ -139,3 +140,9 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
         return ids, upto[at]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, end_id: int = 2) -> Encoder:
+    """The encoder of this worker process; its cache serves all tasks that the process runs."""
+    return Encoder(path, end_id)

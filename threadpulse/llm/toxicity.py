@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, text_of
+from .common import text_of, word_hashes, WordHashes
 
 #: training rows of each label at most: the documented bound of the sample that the model is fitted on
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
@@ -44,7 +44,7 @@ def _starts(n: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.25, decay: float = 1e-6) -> np.ndarray:
     """Word weights and (last) the bias of p(sentence) = sigmoid(bias + sum of its words' weights), trained by Adam on the
     likelihood of the documents' labels under p(document) = 1 - product of (1 - p(sentence))."""
-    hashes = WordHashes()
+    hashes = word_hashes()
     bags = [sentence_words(t, hashes) for t in texts]
     keep = [i for i, (w, _) in enumerate(bags) if len(w)]
     out = np.zeros((1 << BITS) + 1)
@@ -125,7 +125,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
         where, what, bias = sent.value
         full = np.zeros((1 << BITS) + 1)
         full[np.frombuffer(where, "<i4")], full[-1] = np.frombuffer(what, "<f8"), bias
-        hashes = WordHashes()
+        hashes = word_hashes()
         for frame in frames:
             texts = [text_of(t) for t in frame["text"]]
             bags = [sentence_words(t, hashes) for t in texts]
