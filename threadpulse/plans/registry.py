@@ -1,11 +1,523 @@
-"""All registered queries."""
+"""All registered queries, each with its SQL in DuckDB's dialect where SQL can express it. Floats are rounded to 6 places at this edge only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import groups, markov, models, timeline, topics
+from ..sources import tables
+from . import fixtures as fx
+from .fixtures import COMMENTS_SQL, LINKS_SQL, POSTS_SQL, SNAPSHOTS_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Floating numbers to 6 places, without a negative zero."""
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def neighbours(s: SparkSession, d: str) -> DataFrame:
+    return timeline.neighbour_snapshots(fx.post_snapshots(s, d))
+
+
+def states(s: SparkSession, d: str) -> DataFrame:
+    """Neighbour rows are read twice (thresholds need all velocities), so they are written once."""
+    rows = tables.materialize(neighbours(s, d))
+    return timeline.with_states(rows, timeline.activity_thresholds(rows))
+
+
+NEIGHBOURS_SQL = (
+    SNAPSHOTS_SQL
+    + """, snaps AS (SELECT community, snapshot_no, hours, lag(snapshot_no) OVER w AS previous_no, lead(snapshot_no) OVER w AS next_no, hours - lag(hours) OVER w AS hours_since_previous,
+  lead(hours) OVER w - hours AS hours_to_next FROM (SELECT DISTINCT community, snapshot_no, hours FROM fx) WINDOW w AS (PARTITION BY community ORDER BY hours, snapshot_no)),
+nb AS (SELECT f.*, s.previous_no, s.next_no, s.hours_since_previous, s.hours_to_next, CASE WHEN s.previous_no IS NOT NULL THEN CASE WHEN p.post_id IS NULL THEN 0 ELSE 1 END END AS seen_in_previous,
+  CASE WHEN s.next_no IS NOT NULL THEN CASE WHEN n.post_id IS NULL THEN 0 ELSE 1 END END AS still_visible_next, f.upvotes - p.upvotes AS upvote_delta, f.comments - p.comments AS comment_delta,
+  CASE WHEN s.hours_since_previous > 0 THEN (f.upvotes - p.upvotes) / s.hours_since_previous END AS upvote_velocity, CASE WHEN s.hours_since_previous > 0 THEN (f.comments - p.comments) / s.hours_since_previous END AS comment_velocity
+  FROM fx f JOIN snaps s ON f.community = s.community AND f.snapshot_no = s.snapshot_no LEFT JOIN fx p ON p.community = f.community AND p.snapshot_no = s.previous_no AND p.post_id = f.post_id
+  LEFT JOIN fx n ON n.community = f.community AND n.snapshot_no = s.next_no AND n.post_id = f.post_id)"""
+)
+_Q = "quantile_cont(CASE WHEN {c} > 0 THEN {c} END, {p})"
+_QS = ", ".join(f"{_Q.format(c=c, p=p)} AS q_{m}_{k}" for m, c in (("upvotes", "upvote_velocity"), ("comments", "comment_velocity")) for k, p in (("alive", 0.35), ("surging", 0.8), ("dead", 0.1)))
+
+
+def _derived(base: str, src: str) -> str:
+    out = []
+    for m, fa, fd in (("upvotes", 1.0, 0.1), ("comments", 0.25, 0.05)):
+        alive = f"greatest({fa}, coalesce({src}q_{m}_alive, {base}alive_{m}))"
+        out += [f"{alive} AS alive_{m}", f"greatest({alive} * 3, coalesce({src}q_{m}_surging, {base}surging_{m})) AS surging_{m}", f"greatest({fd}, least({alive} * 0.5, coalesce({src}q_{m}_dead, {base}dead_{m}))) AS dead_{m}"]
+    return ", ".join(out)
+
+
+_T = [f"{s}_{m}" for s in ("alive", "surging", "dead") for m in ("upvotes", "comments")]
+THRESHOLDS_SQL = (
+    NEIGHBOURS_SQL
+    + f""", def AS (SELECT 20.0::DOUBLE AS alive_upvotes, 2.0::DOUBLE AS alive_comments, 100.0::DOUBLE AS surging_upvotes, 10.0::DOUBLE AS surging_comments, 5.0::DOUBLE AS dead_upvotes, 0.5::DOUBLE AS dead_comments),
+cnt AS (SELECT community, count(upvote_velocity) AS sample_count, count(CASE WHEN upvote_velocity > 0 THEN 1 END) AS positive_upvotes, count(CASE WHEN comment_velocity > 0 THEN 1 END) AS positive_comments, {_QS}
+  FROM nb WHERE seen_in_previous = 1 GROUP BY ROLLUP (community)),
+gth AS (SELECT sample_count, positive_upvotes, positive_comments, {_derived("def.", "cnt.")} FROM cnt, def WHERE cnt.community IS NULL),
+own AS (SELECT cnt.community, cnt.sample_count, cnt.positive_upvotes, cnt.positive_comments, cnt.sample_count >= 30 AND cnt.positive_upvotes >= 15 AND cnt.positive_comments >= 10 AS enough, {_derived("gth.", "cnt.")}
+  FROM cnt, gth WHERE cnt.community IS NOT NULL),
+th AS (SELECT own.community, CASE WHEN enough THEN 'community' ELSE 'global_fallback' END AS source, own.sample_count, own.positive_upvotes, own.positive_comments, {", ".join(f"CASE WHEN enough THEN own.{k} ELSE gth.{k} END AS {k}" for k in _T)} FROM own, gth
+  UNION ALL SELECT NULL, CASE WHEN sample_count > 0 THEN 'global' ELSE 'default' END, sample_count, positive_upvotes, positive_comments, {", ".join(_T)} FROM gth)"""
+)
+_UP, _CO = "coalesce(upvote_velocity, 0)", "coalesce(comment_velocity, 0)"
+_GROWS = "(coalesce(upvote_delta, 0) > 0 OR coalesce(comment_delta, 0) > 0)"
+_MOVES = f"({_UP} > dead_upvotes OR {_CO} > dead_comments)"
+_FADES = f"(NOT {_MOVES} AND (({_UP} <= dead_upvotes * 0.35 AND {_CO} <= dead_comments * 0.35) OR NOT {_GROWS}))"
+STATES_SQL = (
+    THRESHOLDS_SQL
+    + f""", aged AS (SELECT nb.*, (hours - min(hours) OVER (PARTITION BY post_id)) * 60 AS age_minutes FROM nb),
+withth AS (SELECT a.*, {", ".join(f"coalesce(t.{k}, g.{k}) AS {k}" for k in _T)} FROM aged a LEFT JOIN th t ON t.community = a.community CROSS JOIN gth g),
+st AS (SELECT *, CASE WHEN hours_since_previous IS NULL THEN CASE WHEN age_minutes <= 60 THEN 'emerging' ELSE 'unknown' END WHEN {_CO} >= surging_comments OR {_UP} >= surging_upvotes THEN 'surging'
+  WHEN {_CO} >= alive_comments OR {_UP} >= alive_upvotes OR ({_GROWS} AND {_MOVES}) THEN 'alive' WHEN age_minutes >= 2160 AND {_FADES} THEN 'dead' WHEN age_minutes >= 720 AND {_FADES} THEN 'dying'
+  WHEN still_visible_next = 1 THEN 'cooling' WHEN age_minutes <= 60 THEN 'emerging' ELSE 'cooling' END AS state FROM withth)"""
+)
+
+
+def _r(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+
+
+@query("neighbour_snapshots", f"WITH {NEIGHBOURS_SQL} SELECT snapshot_no, post_id, community, previous_no, next_no, seen_in_previous, still_visible_next, {_r('hours_since_previous', 'upvote_delta', 'comment_delta', 'upvote_velocity', 'comment_velocity')} FROM nb")
+def _(s, d):
+    return rounded(neighbours(s, d).select("snapshot_no", "post_id", "community", "previous_no", "next_no", "seen_in_previous", "still_visible_next", "hours_since_previous", "upvote_delta", "comment_delta", "upvote_velocity", "comment_velocity"))
+
+
+@query("velocity_thresholds", f"WITH {THRESHOLDS_SQL} SELECT community, source, sample_count, positive_upvotes, positive_comments, {_r(*_T)} FROM th")
+def _(s, d):
+    return rounded(timeline.activity_thresholds(tables.materialize(neighbours(s, d))).select("community", "source", "sample_count", "positive_upvotes", "positive_comments", *_T))
+
+
+@query("activity_state", f"WITH {STATES_SQL} SELECT community, state, count(*) AS n, {_r('avg_velocity')} FROM (SELECT community, state, avg(upvote_velocity) OVER (PARTITION BY community, state) AS avg_velocity FROM st) GROUP BY community, state, avg_velocity")
+def _(s, d):
+    return rounded(states(s, d).groupBy("community", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("upvote_velocity").alias("avg_velocity")))
+
+
+@query("post_states", f"WITH {STATES_SQL} SELECT community, post_id, snapshot_no, state FROM st")
+def _(s, d):
+    return states(s, d).select("community", "post_id", "snapshot_no", "state")
+
+
+@query("new_persisting", f"WITH {NEIGHBOURS_SQL} SELECT community, snapshot_no, count(*) AS n_posts, count(CASE WHEN seen_in_previous = 0 THEN 1 END) AS n_new, count(CASE WHEN seen_in_previous = 1 THEN 1 END) AS n_persisting FROM nb GROUP BY 1, 2")
+def _(s, d):
+    return timeline.new_and_persisting(fx.post_snapshots(s, d))
+
+
+LIFE_SQL = (
+    STATES_SQL
+    + """, seen AS (SELECT community, post_id, string_agg(state, '|' ORDER BY hours, snapshot_no) AS states_seen FROM (SELECT community, post_id, state, min(hours) AS hours, min(snapshot_no) AS snapshot_no FROM st GROUP BY 1, 2, 3) GROUP BY 1, 2),
+life AS (SELECT st.community, st.post_id, count(*) AS snapshot_count, max(hours) - min(hours) AS observed_hours, arg_max(upvotes, snapshot_no) - arg_min(upvotes, snapshot_no) AS upvote_growth, max(upvotes) AS max_upvotes,
+  max(upvote_velocity) AS max_upvote_velocity, last(upvote_velocity ORDER BY snapshot_no) AS last_upvote_velocity, last(comment_velocity ORDER BY snapshot_no) AS last_comment_velocity, last(state ORDER BY snapshot_no) AS latest_state,
+  count(CASE WHEN still_visible_next = 1 THEN 1 END) AS visible_next_count, """
+    + ", ".join(f"any_value({k}) AS {k}" for k in _T)
+    + " FROM st GROUP BY 1, 2)"
+)
+
+
+@query("post_lifecycles", f"WITH {LIFE_SQL} SELECT l.community, l.post_id, snapshot_count, latest_state, states_seen, visible_next_count, {_r('observed_hours', 'upvote_growth', 'max_upvotes', 'max_upvote_velocity', 'last_upvote_velocity')} FROM life l JOIN seen s ON l.community = s.community AND l.post_id = s.post_id")
+def _(s, d):
+    return rounded(timeline.lifecycles(states(s, d)).select("community", "post_id", "snapshot_count", "latest_state", "states_seen", "visible_next_count", "observed_hours", "upvote_growth", "max_upvotes", "max_upvote_velocity", "last_upvote_velocity"))
+
+
+@query(
+    "sequence_features",
+    f"""WITH {NEIGHBOURS_SQL} SELECT post_id, snapshot_no, row_number() OVER o AS position, count(*) OVER p - row_number() OVER o AS remaining, round(row_number() OVER o / count(*) OVER p, 6) AS progress,
+  round(hours - min(hours) OVER p, 6) AS hours_since_first, round(lag(upvote_velocity) OVER o, 6) AS previous_velocity, round(upvote_velocity - lag(upvote_velocity) OVER o, 6) + 0.0 AS velocity_change,
+  round((upvote_velocity - lag(upvote_velocity) OVER o) / nullif(hours - lag(hours) OVER o, 0), 6) + 0.0 AS acceleration, round(upvote_velocity / nullif(max(upvote_velocity) OVER (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS ratio_to_prior_peak,
+  round(upvote_velocity / nullif(avg(upvote_velocity) OVER (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0), 6) AS ratio_to_mean_2
+  FROM nb WINDOW p AS (PARTITION BY post_id), o AS (PARTITION BY post_id ORDER BY hours, snapshot_no)""",
+)
+def _(s, d):
+    return rounded(timeline.sequence_features(neighbours(s, d)).drop("hours_until_last", "ratio_to_previous"))
+
+
+@query(
+    "listing_runs",
+    """WITH m AS (SELECT user_id, event_id, event_type, lag(event_type) OVER o AS previous_value, CASE WHEN lag(event_type) OVER o = event_type THEN 0 ELSE 1 END AS changed FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no FROM m)
+SELECT user_id, event_id, previous_value, changed, run_no, row_number() OVER (PARTITION BY user_id, run_no ORDER BY event_id) AS run_length FROM r""",
+)
+def _(s, d):
+    return timeline.run_lengths(fx.table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", "previous_value", "changed", "run_no", "run_length")
+
+
+@query(
+    "repeat_24h",
+    """WITH e AS (SELECT event_id, event_type AS k, user_id % 3 AS g, user_id, CAST(epoch(ts) AS BIGINT) AS t FROM events), f AS (SELECT k, g, user_id, min(t) AS t0 FROM e GROUP BY 1, 2, 3)
+SELECT e.event_id, (SELECT count(*) FROM f WHERE f.k = e.k AND f.g = e.g AND f.user_id <> e.user_id AND f.t0 < e.t AND f.t0 >= e.t - 86400) AS prior_repeats FROM e""",
+)
+def _(s, d):
+    e = fx.table(s, d, "events").select("event_id", F.col("event_type").alias("k"), (F.col("user_id") % 3).alias("g"), "user_id", F.unix_timestamp("ts").alias("t"))
+    return timeline.prior_repeats(e, ["k", "g"], "user_id", "t").select("event_id", "prior_repeats")
+
+
+NEXT_SQL = STATES_SQL + """, lab AS (SELECT a.community, a.post_id, a.snapshot_no, a.state, b.state AS next_state, (b.upvotes - a.upvotes) / nullif(a.hours_to_next, 0) AS next_growth_per_hour, a.hours_to_next BETWEEN 0.5 AND 2.5 AS eligible_broad,
+  a.hours_to_next BETWEEN 0.75 AND 1.5 AS eligible_strict FROM st a LEFT JOIN st b ON b.community = a.community AND b.snapshot_no = a.next_no AND b.post_id = a.post_id)"""
+
+
+@query("next_labels", f"WITH {NEXT_SQL} SELECT community, post_id, snapshot_no, state, next_state, {_r('next_growth_per_hour')}, eligible_broad, eligible_strict FROM lab")
+def _(s, d):
+    return rounded(timeline.next_labels(tables.materialize(states(s, d))))
+
+
+@query(
+    "variance_collapse",
+    f"""WITH {NEIGHBOURS_SQL}, v0 AS (SELECT post_id, hours, snapshot_no, coalesce(upvote_velocity, 0) AS v FROM nb), v1 AS (SELECT *, greatest(coalesce(lag(v) OVER o, 0), coalesce(lead(v) OVER o, 0)) AS near FROM v0 WINDOW o AS (PARTITION BY post_id ORDER BY hours, snapshot_no)),
+v2 AS (SELECT post_id, v, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY post_id) AS n, stddev_samp(v) OVER (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, stddev_samp(v) OVER a AS c, avg(v) OVER a AS m, last_value(v) OVER a AS z
+  FROM v1 WHERE NOT (v = 0 AND near > 10) WINDOW o AS (PARTITION BY post_id ORDER BY hours, snapshot_no), a AS (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT post_id, max(n) AS n, CAST(min(CASE WHEN n >= 9 AND i >= 4 AND i < n - 4 AND b > 15 AND c < 8 AND m < 40 AND z <= v THEN i END) AS INT) AS collapse_index FROM v2 GROUP BY 1""",
+)
+def _(s, d):
+    return timeline.variance_collapse(neighbours(s, d))
+
+
+@query(
+    "tracking_pools",
+    f"""WITH {STATES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY hours DESC, snapshot_no DESC) AS r FROM st), g AS (SELECT post_id, count(*) AS n, max({_UP}) AS mv, max({_CO}) AS mc, count(CASE WHEN state IN ('dead', 'dying') THEN 1 END) AS nd,
+  count(CASE WHEN {_UP} > 20 THEN 1 END) AS vs, count(CASE WHEN {_CO} > 5 THEN 1 END) AS cs, arg_min(state, r) AS state FROM b WHERE r <= 3 GROUP BY 1)
+SELECT post_id, state, CASE WHEN vs >= 2 OR cs >= 2 THEN 'active' WHEN n >= 3 AND mv <= 2 AND mc <= 1 AND nd >= 2 THEN 'dropped' WHEN state IN ('surging', 'alive', 'emerging') THEN 'active' ELSE 'dormant' END AS pool, vs >= 2 OR cs >= 2 AS revival, n >= 3 AND mv <= 2 AND mc <= 1 AND nd >= 2 AS confirmed_dead FROM g""",
+)
+def _(s, d):
+    return timeline.pools(states(s, d))
+
+
+@query(
+    "rolling_trend",
+    f"""WITH {STATES_SQL}, h AS (SELECT community, snapshot_no, avg(CASE WHEN state = 'dead' THEN 1.0 WHEN state = 'dying' THEN 0.5 ELSE 0.0 END) AS low_share FROM st GROUP BY 1, 2),
+w AS (SELECT a.community, a.snapshot_no, a.low_share, b.low_share AS y, row_number() OVER (PARTITION BY a.community, a.snapshot_no ORDER BY b.snapshot_no) - 1 AS x FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY snapshot_no) AS k FROM h) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY community ORDER BY snapshot_no) AS k FROM h) b ON a.community = b.community AND b.k BETWEEN a.k - 4 AND a.k)
+SELECT community, snapshot_no, round(any_value(low_share), 6) + 0.0 AS low_share, round(CASE WHEN count(*) >= 2 THEN regr_slope(y, x) END, 6) + 0.0 AS slope, round(avg(y), 6) + 0.0 AS mean FROM w GROUP BY 1, 2""",
+)
+def _(s, d):
+    h = states(s, d).groupBy("community", "snapshot_no").agg(F.avg(F.when(F.col("state") == "dead", 1.0).when(F.col("state") == "dying", 0.5).otherwise(0.0)).alias("low_share"))
+    return rounded(timeline.rolling_trend(h, "community", "snapshot_no", "low_share"))
+
+
+@query("leaderboard", f"WITH {POSTS_SQL} SELECT post_id, community, upvotes, row_number() OVER (ORDER BY upvotes DESC, post_id) AS overall_rank, row_number() OVER (PARTITION BY community ORDER BY upvotes DESC, post_id) AS community_rank FROM posts")
+def _(s, d):
+    p = timeline.ranked(fx.posts(s, d).select("post_id", "community", "upvotes"), [F.desc("upvotes"), F.col("post_id")], "community", "community_rank")
+    return timeline.overall_rank(p, "upvotes", "overall_rank", "post_id").select("post_id", "community", "upvotes", "overall_rank", "community_rank")
+
+
+@query("per_group_limit", f"WITH {POSTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY upvotes DESC, post_id) AS k FROM posts) SELECT post_id, community, upvotes FROM r WHERE k <= 15 ORDER BY upvotes DESC, post_id LIMIT 40")
+def _(s, d):
+    return groups.per_group_limit(fx.posts(s, d).select("post_id", "community", "upvotes"), "community", 15, [F.desc("upvotes"), F.col("post_id")], 40)
+
+
+@query("comment_gini", f"WITH {COMMENTS_SQL}, r AS (SELECT post_id, upvotes, row_number() OVER (PARTITION BY post_id ORDER BY upvotes) AS i FROM comments) SELECT post_id, count(*) AS n, round(CASE WHEN count(*) < 2 OR sum(upvotes) = 0 THEN 0 ELSE (2.0 * sum(i * upvotes) - (count(*) + 1) * sum(upvotes)) / (count(*) * sum(upvotes)) END, 6) + 0.0 AS gini FROM r GROUP BY 1")
+def _(s, d):
+    return rounded(groups.gini(fx.comments(s, d), "post_id", "upvotes"))
+
+
+@query(
+    "engagement_profile",
+    f"""WITH {COMMENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY upvotes DESC, comment_id) AS k, count(*) OVER (PARTITION BY post_id) AS n, row_number() OVER (PARTITION BY post_id ORDER BY upvotes) AS i FROM comments)
+SELECT post_id, count(*) AS n_comments, round(max(upvotes) / nullif(sum(upvotes), 0), 6) AS top_share, round(avg(CASE WHEN k <= 3 THEN upvotes END), 6) AS top3_mean, round(avg(CASE WHEN k > ceil(n / 2.0) THEN upvotes END), 6) AS lower_half_mean, round(avg(CASE WHEN parent_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS reply_share,
+  round(CASE WHEN count(*) < 2 OR sum(upvotes) = 0 THEN 0 ELSE (2.0 * sum(i * upvotes) - (count(*) + 1) * sum(upvotes)) / (count(*) * sum(upvotes)) END, 6) + 0.0 AS gini FROM r GROUP BY 1""",
+)
+def _(s, d):
+    return rounded(groups.engagement_profile(fx.comments(s, d)))
+
+
+@query("thread_depth", f"WITH RECURSIVE {COMMENTS_SQL}, t AS (SELECT post_id, comment_id, 1 AS depth FROM comments WHERE parent_id IS NULL UNION ALL SELECT c.post_id, c.comment_id, t.depth + 1 FROM comments c JOIN t ON c.post_id = t.post_id AND c.parent_id = t.comment_id) SELECT c.post_id, c.comment_id, t.depth FROM comments c LEFT JOIN t ON c.post_id = t.post_id AND c.comment_id = t.comment_id")
+def _(s, d):
+    return groups.thread_depth(fx.comments(s, d))
+
+
+_CATEGORY = "CASE WHEN coalesce(link, '') = '' THEN 'self_post' WHEN coalesce(domain, '') = '' THEN 'external_unknown' " + " ".join(f"WHEN {' OR '.join(f'''ends_with(domain, '{e}')''' for e in ends)} THEN '{k}'" for k, ends in text.LINK_CLASSES.items()) + f" WHEN regexp_matches(domain, '{'|'.join(text.NEWS_MARKERS)}') THEN 'news_publisher' ELSE 'publisher_or_blog' END"
+
+
+@query("domain_stats", f"WITH {LINKS_SQL} SELECT domain, {_CATEGORY} AS category, count(*) AS n_posts, count(DISTINCT link) AS n_links FROM links GROUP BY 1, 2")
+def _(s, d):
+    return fx.links(s, d).groupBy("domain", text.link_category(F.col("link"), F.col("domain")).alias("category")).agg(F.count(F.lit(1)).alias("n_posts"), F.count_distinct("link").alias("n_links"))
+
+
+_KEY = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
+_FLAGS = {
+    "has_question": "contains(title, '?')",
+    "has_exclamation": "contains(title, '!')",
+    "has_colon": "contains(title, ':')",
+    "has_quote": """regexp_matches(title, '["''‘’“”]')""",
+    "has_digit": "regexp_matches(title, '[0-9]')",
+    "starts_question": f"split_part({_KEY}, ' ', 1) IN ({', '.join(repr(w) for w in text.QUESTION_WORDS)})",
+}
+
+
+@query("title_flags", f"WITH {POSTS_SQL} SELECT post_id, {_KEY} AS title_key, CAST(CASE WHEN {_KEY} = '' THEN 0 ELSE len(string_split({_KEY}, ' ')) END AS INT) AS n_words, round(length(regexp_replace(title, '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(title, '[^A-Za-z]', '', 'g')), 0), 6) + 0.0 AS uppercase_ratio, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())} FROM posts")
+def _(s, d):
+    t = F.col("title")
+    return rounded(fx.posts(s, d).select("post_id", text.title_key(t).alias("title_key"), text.word_count(text.title_key(t)).alias("n_words"), text.uppercase_ratio(t).alias("uppercase_ratio"), *[c.alias(k) for k, c in text.title_flags(t).items()]))
+
+
+_ALIVE = "state IN ('surging', 'alive')"
+
+
+@query(
+    "title_lift",
+    f"WITH {POSTS_SQL}, x AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS feature, {v} AS has, upvotes, CASE WHEN {_ALIVE} THEN 1.0 ELSE 0.0 END AS a FROM posts" for k, v in _FLAGS.items())
+    + """) SELECT feature, count(CASE WHEN has THEN 1 END) AS n_with, count(CASE WHEN NOT has THEN 1 END) AS n_without, round(avg(CASE WHEN has THEN a END), 6) AS alive_with, round(avg(CASE WHEN NOT has THEN a END), 6) AS alive_without,
+  round(median(CASE WHEN has THEN upvotes END), 6) AS median_with, round(median(CASE WHEN NOT has THEN upvotes END), 6) AS median_without, round(avg(CASE WHEN has THEN a END) - avg(CASE WHEN NOT has THEN a END), 6) + 0.0 AS lift FROM x GROUP BY 1""",
+)
+def _(s, d):
+    f = text.title_flags(F.col("title"))
+    return rounded(groups.feature_lift(fx.posts(s, d).select("*", *[c.alias(k) for k, c in f.items()]), list(f)))
+
+
+for _name, _by, _least in (("author_stats", ("author",), 3), ("listing_stats", ("listing",), 1), ("posting_hours", ("created_hour",), 1), ("community_hours", ("community", "created_hour"), 3)):
+
+    def _perf(s, d, by=_by, least=_least):
+        return rounded(groups.performance(fx.posts(s, d), list(by), least))
+
+    query(_name, f"WITH {POSTS_SQL} SELECT {', '.join(_by)}, count(*) AS n_posts, round(median(upvotes), 6) AS median_upvotes, round(avg(upvotes), 6) AS avg_upvotes, CAST(sum(upvotes) AS BIGINT) AS total_upvotes, round(avg(CASE WHEN {_ALIVE} THEN 1.0 ELSE 0.0 END), 6) AS alive_rate, round(avg(CASE WHEN state = 'dead' THEN 1.0 ELSE 0.0 END), 6) AS dead_rate FROM posts GROUP BY {', '.join(_by)} HAVING count(*) >= {_least}")(_perf)
+
+_WORDS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) >= 5)))"
+KEYWORDS_SQL = POSTS_SQL + f", kp AS (SELECT *, {_WORDS} AS words FROM posts)"
+_DAY = """count(*) AS n_posts, CAST(sum(upvotes) AS BIGINT) AS total_upvotes, max(upvotes) AS best_upvotes, count(DISTINCT community) AS n_communities, avg(CASE WHEN state IN ('surging', 'alive') THEN 1.0 ELSE 0.0 END) AS alive_rate,
+  avg(CASE WHEN state = 'surging' THEN 1.0 ELSE 0.0 END) AS surging_rate, avg(CASE WHEN state = 'dead' THEN 1.0 ELSE 0.0 END) AS dead_rate"""
+DAYS_SQL = KEYWORDS_SQL + f", days AS (SELECT day_no, topic, {_DAY} FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2)"
+PAIRS_SQL = KEYWORDS_SQL + f", days AS (SELECT day_no, topic, {_DAY} FROM (SELECT k.day_no, k.upvotes, k.community, k.state, a.w || '+' || b.w AS topic FROM kp k, unnest(k.words) a(w), unnest(k.words) b(w) WHERE a.w < b.w) GROUP BY 1, 2)"
+INDEX_SQL = ", di AS (SELECT *, CAST(dense_rank() OVER (ORDER BY day_no) - 1 AS INT) AS day_idx FROM days)"
+
+
+def with_words(s, d):
+    return fx.posts(s, d).withColumn("words", text.tokens(F.col("title")))
+
+
+def keyword_days(s, d):
+    return topics.topic_days(with_words(s, d), "words")
+
+
+def pair_days(s, d):
+    return topics.topic_days(with_words(s, d).withColumn("pairs", text.word_pairs(F.col("words"))), "pairs")
+
+
+_DAYCOLS = "day_no, topic, n_posts, total_upvotes, best_upvotes, n_communities, " + _r("alive_rate", "surging_rate", "dead_rate")
+query("keyword_days", f"WITH {DAYS_SQL} SELECT {_DAYCOLS} FROM days")(lambda s, d: rounded(keyword_days(s, d)))
+query("pair_days", f"WITH {PAIRS_SQL} SELECT {_DAYCOLS} FROM days")(lambda s, d: rounded(pair_days(s, d)))
+
+
+@query(
+    "keyword_trend",
+    f"""WITH {DAYS_SQL}{INDEX_SQL}, h AS (SELECT count(DISTINCT day_no) AS n_days, count(DISTINCT day_no) // 2 AS half FROM days), g AS (SELECT topic, CAST(sum(n_posts) AS BIGINT) AS n_posts, sum(CASE WHEN day_idx < half THEN n_posts ELSE 0 END) / max(half) AS f,
+  sum(CASE WHEN day_idx >= half THEN n_posts ELSE 0 END) / (max(n_days) - max(half)) AS s FROM di, h GROUP BY 1 HAVING sum(n_posts) >= 5), c AS (SELECT *, CASE WHEN f = 0 THEN 10.0 ELSE (s - f) / f END AS ch FROM g)
+SELECT topic, n_posts, round(f, 6) AS first_rate, round(s, 6) AS second_rate, round(ch, 6) + 0.0 AS change, CASE WHEN ch > 0.3 THEN 'rising' WHEN ch < -0.3 THEN 'falling' ELSE 'stable' END AS trend FROM c""",
+)
+def _(s, d):
+    return rounded(topics.keyword_trend(keyword_days(s, d)))
+
+
+@query(
+    "keyword_lift",
+    f"""WITH {KEYWORDS_SQL}, a AS (SELECT avg(upvotes) AS m FROM posts), g AS (SELECT topic, count(*) AS n_posts, avg(upvotes) AS mean_upvotes, avg(CASE WHEN {_ALIVE} THEN 1.0 ELSE 0.0 END) AS alive_rate FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1 HAVING count(*) >= 8)
+SELECT topic, n_posts, {_r("mean_upvotes", "alive_rate")}, round(mean_upvotes - m, 6) + 0.0 AS lift, round(mean_upvotes / m, 6) AS ratio FROM g, a""",
+)
+def _(s, d):
+    return rounded(topics.keyword_lift(with_words(s, d), "words", 8))
+
+
+@query(
+    "future_peak",
+    f"""WITH {DAYS_SQL}{INDEX_SQL}, p AS (SELECT *, coalesce(max(n_posts) OVER (PARTITION BY topic ORDER BY day_idx RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS future_peak, (SELECT max(day_idx) FROM di) AS m FROM di)
+SELECT day_no, topic, n_posts, n_communities, {_r("alive_rate")}, future_peak, future_peak >= 3 AS grows FROM p WHERE n_posts BETWEEN 1 AND 2 AND day_idx + 3 <= m""",
+)
+def _(s, d):
+    return rounded(topics.future_peak(keyword_days(s, d), 1, 2, 3))
+
+
+STATE_DAYS_SQL = (
+    DAYS_SQL
+    + INDEX_SQL
+    + """, yd AS (SELECT d.*, coalesce(y.n_posts, 0) AS yesterday FROM di d LEFT JOIN di y ON y.topic = d.topic AND y.day_idx = d.day_idx - 1), sd AS (SELECT *, CASE WHEN n_posts < 2 THEN 'dead' WHEN yesterday = 0 OR n_posts / yesterday > 1.5 THEN 'surging' WHEN n_posts / yesterday > 1.05 THEN 'growing'
+  WHEN n_posts / yesterday > 0.8 THEN 'stable' WHEN n_posts / yesterday > 0.5 THEN 'cooling' ELSE 'dying' END AS state FROM yd), ts AS (SELECT a.day_no, a.day_idx, a.topic, a.n_posts, a.yesterday, a.state, b.state AS next_state FROM sd a LEFT JOIN sd b ON b.topic = a.topic AND b.day_idx = a.day_idx + 1)"""
+)
+query("topic_state", f"WITH {STATE_DAYS_SQL} SELECT * FROM ts")(lambda s, d: topics.topic_states(keyword_days(s, d)))
+query("topic_transitions", f"WITH {STATE_DAYS_SQL} SELECT state, next_state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY state), 6) AS p FROM ts WHERE next_state IS NOT NULL GROUP BY 1, 2")(lambda s, d: rounded(topics.state_transitions(topics.topic_states(keyword_days(s, d)))))
+GRID_SQL = DAYS_SQL + INDEX_SQL + """, gr AS (SELECT t.topic, g.day_idx, coalesce(d.n_posts, 0) AS n_posts FROM (SELECT topic FROM di GROUP BY 1 HAVING sum(n_posts) >= 5) t CROSS JOIN (SELECT DISTINCT day_idx FROM di) g LEFT JOIN di d ON d.topic = t.topic AND d.day_idx = g.day_idx)"""
+
+
+def grid(s, d):
+    return tables.materialize(topics.dense_grid(keyword_days(s, d)))
+
+
+@query(
+    "death_runs",
+    f"""WITH {GRID_SQL}, w AS (SELECT *, lead(n_posts) OVER (PARTITION BY topic ORDER BY day_idx) AS nx, first_value(day_idx) OVER (PARTITION BY topic ORDER BY n_posts DESC, day_idx) AS pk FROM gr), g AS (SELECT topic, max(n_posts) AS peak_posts, max(pk) AS peak_idx, min(CASE WHEN day_idx >= pk AND n_posts < 2 AND nx < 2 THEN day_idx END) AS death_idx FROM w GROUP BY 1)
+SELECT topic, peak_posts, peak_idx, death_idx, death_idx - peak_idx AS days_to_death, death_idx - peak_idx <= 1 AS quick FROM g""",
+)
+def _(s, d):
+    return topics.confirmed_death(grid(s, d))
+
+
+@query(
+    "false_deaths",
+    f"""WITH {GRID_SQL}, w AS (SELECT *, lag(n_posts, 1) OVER o AS l1, lag(n_posts, 2) OVER o AS l2, lag(n_posts, 3) OVER o AS l3, max(n_posts) OVER (PARTITION BY topic ORDER BY day_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) >= 2 AS again FROM gr WINDOW o AS (PARTITION BY topic ORDER BY day_idx)),
+u AS (SELECT 1 AS run_length, again FROM w WHERE n_posts < 2 AND l1 >= 2 UNION ALL SELECT 2, again FROM w WHERE n_posts < 2 AND l1 < 2 AND l2 >= 2 UNION ALL SELECT 3, again FROM w WHERE n_posts < 2 AND l1 < 2 AND l2 < 2 AND l3 >= 2)
+SELECT run_length, count(*) AS deaths, count(CASE WHEN again THEN 1 END) AS revivals, round(avg(CASE WHEN again THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS false_rate FROM u GROUP BY 1""",
+)
+def _(s, d):
+    return rounded(topics.false_deaths(grid(s, d)))
+
+
+@query(
+    "revivals",
+    f"""WITH {GRID_SQL}, w AS (SELECT *, n_posts < 2 AND lag(n_posts) OVER o >= 2 AS dropped, max(n_posts) OVER (PARTITION BY topic ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before, coalesce(max(n_posts) OVER (PARTITION BY topic ORDER BY day_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) >= 2, false) AS revives FROM gr WINDOW o AS (PARTITION BY topic ORDER BY day_idx)),
+x AS (SELECT *, CAST(coalesce(sum(CASE WHEN dropped THEN 1 ELSE 0 END) OVER (PARTITION BY topic ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS drops_before FROM w) SELECT topic, day_idx, max_before, drops_before, revives FROM x WHERE dropped""",
+)
+def _(s, d):
+    return topics.drops_and_revivals(grid(s, d))
+
+
+@query(
+    "spread_routes",
+    f"""WITH {KEYWORDS_SQL}, a AS (SELECT topic, community, min(day_no) AS d, count(*) AS n FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2), b AS (SELECT *, sum(n) OVER (PARTITION BY topic) AS total, first_value(community) OVER (PARTITION BY topic ORDER BY d, community) AS first, min(d) OVER (PARTITION BY topic) AS d0 FROM a)
+SELECT first, community, count(*) AS n_topics, round(avg(d - d0), 6) + 0.0 AS mean_days FROM b WHERE total >= 2 AND community <> first GROUP BY 1, 2""",
+)
+def _(s, d):
+    return rounded(topics.spread_routes(with_words(s, d), "words"))
+
+
+@query(
+    "similar_posts",
+    f"""WITH {KEYWORDS_SQL}, t AS (SELECT post_id, community, len(words) AS n, unnest(words) AS w FROM kp), c AS (SELECT a.post_id AS a, b.post_id AS b, any_value(a.community) AS community_a, any_value(b.community) AS community_b, count(*) / least(any_value(a.n), any_value(b.n)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.community < b.community GROUP BY 1, 2)
+SELECT a, b, community_a, community_b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.5""",
+)
+def _(s, d):
+    return rounded(groups.similar_titles(with_words(s, d)))
+
+
+def transitions(s, d):
+    return markov.transition_counts(timeline.next_labels(tables.materialize(states(s, d))))
+
+
+_FIVE = "('surging', 'alive', 'cooling', 'dying', 'dead')"
+COUNTS_SQL = NEXT_SQL + f""", mc AS (SELECT community, state, next_state, CAST(grouping(community) AS TINYINT) AS is_global, count(*) AS n FROM lab WHERE state IN {_FIVE} AND next_state IN {_FIVE} GROUP BY GROUPING SETS ((community, state, next_state), (state, next_state)))"""
+query("markov_counts", f"WITH {COUNTS_SQL} SELECT * FROM mc")(transitions)
+_FIVE_ROWS = "(VALUES ('surging'), ('alive'), ('cooling'), ('dying'), ('dead'))"
+
+
+def rollout(s, d):
+    st = tables.materialize(states(s, d))
+    counts = markov.transition_counts(timeline.next_labels(st))
+    use = st.where(F.col("state").isin(*markov.STATES))
+    from pyspark.sql import Window
+
+    start = use.groupBy("community", "state").count().withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy("community"))).select("community", "state", "p")
+    return markov.roll_out(start, markov.transition_matrix(counts, st.select("community").distinct()), 7)
+
+
+query(
+    "markov_rollout",
+    f"""WITH RECURSIVE {COUNTS_SQL}, c AS (SELECT DISTINCT community FROM st), j AS (SELECT c.community, a.s AS state, b.s AS next_state, coalesce(o.n, 0) AS n1, coalesce(g.n, 0) AS n0 FROM c CROSS JOIN {_FIVE_ROWS} a(s) CROSS JOIN {_FIVE_ROWS} b(s)
+  LEFT JOIN mc o ON o.is_global = 0 AND o.community = c.community AND o.state = a.s AND o.next_state = b.s LEFT JOIN mc g ON g.is_global = 1 AND g.state = a.s AND g.next_state = b.s),
+m AS (SELECT community, state, next_state, CASE WHEN sum(n1) OVER w >= 10 THEN n1 / sum(n1) OVER w WHEN sum(n0) OVER w > 0 THEN n0 / sum(n0) OVER w ELSE 0.2 END AS q FROM j WINDOW w AS (PARTITION BY community, state)),
+s0 AS (SELECT community, state, count(*) / sum(count(*)) OVER (PARTITION BY community) AS p FROM st WHERE state IN {_FIVE} GROUP BY 1, 2),
+r AS (SELECT community, 0 AS step, state, p FROM s0 UNION ALL SELECT x.community, x.step, x.state, x.p FROM (SELECT r.community, r.step + 1 AS step, m.next_state AS state, sum(r.p * m.q) AS p FROM r JOIN m ON m.community = r.community AND m.state = r.state WHERE r.step < 7 GROUP BY 1, 2, 3) x)
+SELECT community, step, state, round(p, 6) + 0.0 AS p FROM r""",
+)(lambda s, d: rounded(rollout(s, d)))
+
+
+def _life(s, d):
+    return timeline.lifecycles(states(s, d))
+
+
+_MULT = "CASE latest_state WHEN 'surging' THEN 1.0 WHEN 'alive' THEN 0.9 WHEN 'emerging' THEN 0.8 WHEN 'cooling' THEN 0.45 WHEN 'dying' THEN 0.15 WHEN 'dead' THEN 0.0 ELSE 0.5 END"
+_DECAY = "CASE latest_state WHEN 'surging' THEN 0.9 WHEN 'alive' THEN 0.8 WHEN 'emerging' THEN 0.72 WHEN 'cooling' THEN 0.45 WHEN 'dying' THEN 0.2 WHEN 'dead' THEN 0.0 ELSE 0.5 END"
+_BASE = "CASE latest_state WHEN 'surging' THEN 0.08 WHEN 'alive' THEN 0.22 WHEN 'emerging' THEN 0.34 WHEN 'cooling' THEN 0.72 WHEN 'dying' THEN 0.9 WHEN 'dead' THEN 1.0 ELSE 0.35 END"
+_ratio = lambda v, t, top: f"least(coalesce({v} / nullif({t}, 0), 0), {top})"
+_over = lambda k: f"(next_upvotes >= {k}_upvotes OR next_comments >= {k}_comments)"
+query(
+    "forecast",
+    f"""WITH {LIFE_SQL}, v AS (SELECT *, greatest(coalesce(last_upvote_velocity, 0), 0) AS u, greatest(coalesce(last_comment_velocity, 0), 0) AS c, {_MULT}::DOUBLE AS k, {_DECAY}::DOUBLE AS q, {_BASE}::DOUBLE AS base FROM life),
+f AS (SELECT *, u * k AS next_upvotes, c * k AS next_comments, CASE WHEN latest_state = 'dead' THEN 1.0 ELSE least(1.0, greatest(0.0, 0.42 * base + 0.28 * (1 - least(1, greatest(0, ({_ratio("u", "alive_upvotes", 4)} + {_ratio("c", "alive_comments", 4)}) / 2 / 1.5)))
+  + 0.22 * (1 - least(1, greatest(0, ({_ratio("u", "dead_upvotes", 8)} + {_ratio("c", "dead_comments", 8)}) / 2 / 3.0))) + 0.08 * least(1, observed_hours / 6.0))) END AS die_soon FROM v)
+SELECT community, post_id, latest_state, {_r("next_upvotes", "next_comments")}, round(CASE WHEN next_upvotes <= 0 OR q <= 0 THEN 0 ELSE next_upvotes * (1 + q + q * q) END, 6) + 0.0 AS upvotes_3h, round(CASE WHEN next_upvotes <= 0 OR q <= 0 THEN 0 ELSE next_upvotes * (1 + q + q ** 2 + q ** 3 + q ** 4 + q ** 5) END, 6) + 0.0 AS upvotes_6h, {_r("die_soon")},
+  CASE WHEN {_over("surging")} THEN 'surge_watch' WHEN {_over("alive")} THEN 'active_watch' WHEN latest_state = 'dying' THEN 'dying_watch' WHEN latest_state = 'cooling' THEN 'cooling_watch' WHEN latest_state = 'dead' THEN 'stop_watch' ELSE 'low_watch' END AS recommendation,
+  CASE WHEN {_over("surging")} THEN 'surging' WHEN {_over("alive")} THEN 'alive' WHEN die_soon >= 0.9 OR latest_state = 'dead' THEN 'dead' WHEN die_soon >= 0.65 OR latest_state = 'dying' THEN 'dying' ELSE 'cooling' END AS predicted_state FROM f""",
+)(lambda s, d: rounded(markov.forecast(_life(s, d))))
+
+
+def eval_rows(s, d):
+    lab = timeline.next_labels(tables.materialize(states(s, d)))
+    return lab.join(neighbours(s, d).select("community", "post_id", "snapshot_no", "upvote_velocity"), ["community", "post_id", "snapshot_no"])
+
+
+query(
+    "forecast_eval",
+    f"""WITH {NEXT_SQL}, e AS (SELECT l.community, l.next_growth_per_hour AS a, n.upvote_velocity - l.next_growth_per_hour AS e FROM lab l JOIN nb n ON n.community = l.community AND n.post_id = l.post_id AND n.snapshot_no = l.snapshot_no WHERE l.next_growth_per_hour IS NOT NULL AND n.upvote_velocity IS NOT NULL)
+SELECT community, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(median(abs(e)), 6) AS median_ae, round(1 - sum(e * e) / nullif(sum(a * a) - sum(a) * sum(a) / count(*), 0), 6) AS r2 FROM e GROUP BY GROUPING SETS ((community), ())""",
+)(lambda s, d: rounded(markov.regression_metrics(eval_rows(s, d), "next_growth_per_hour", "upvote_velocity", "community")))
+
+
+def corr_series(s, d):
+    return neighbours(s, d).groupBy("community", "snapshot_no").agg(F.avg("upvote_velocity").alias("v")).where("v IS NOT NULL")
+
+
+query(
+    "pairwise_corr",
+    f"""WITH {NEIGHBOURS_SQL}, v AS (SELECT community, snapshot_no, avg(upvote_velocity) AS v FROM nb GROUP BY 1, 2 HAVING avg(upvote_velocity) IS NOT NULL), k AS (SELECT snapshot_no FROM v GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT community) FROM v))
+SELECT x.community AS a, y.community AS b, count(*) AS n, round(coalesce(CASE WHEN isnan(corr(x.v, y.v)) THEN NULL ELSE corr(x.v, y.v) END, 0), 6) + 0.0 AS r FROM v x JOIN v y ON x.snapshot_no = y.snapshot_no AND x.community < y.community JOIN k ON k.snapshot_no = x.snapshot_no GROUP BY 1, 2 HAVING count(*) >= 5""",
+)(lambda s, d: rounded(groups.pairwise_correlation(corr_series(s, d), "community", "snapshot_no", "v")))
+
+query(
+    "quality_report",
+    f"""WITH {POSTS_SQL}, {COMMENTS_SQL}, x AS (SELECT 'duplicate_keys' AS c, (SELECT count(*) FROM (SELECT post_id FROM posts GROUP BY 1 HAVING count(*) > 1)) AS n, 'error' AS s UNION ALL SELECT 'orphan_comments', (SELECT count(DISTINCT post_id) FROM comments WHERE post_id NOT IN (SELECT post_id FROM posts)), 'warning'
+  UNION ALL SELECT 'missing_core', (SELECT count(*) FROM posts WHERE community IS NULL OR post_id IS NULL OR coalesce(title, '') = ''), 'error' UNION ALL SELECT 'negative_upvotes', (SELECT count(*) FROM posts WHERE upvotes < 0), 'warning' UNION ALL SELECT 'excluded_present', (SELECT count(*) FROM posts WHERE community IN ('s4')), 'error'
+  UNION ALL SELECT 'unknown_state', (SELECT count(*) FROM posts WHERE state = 'unknown'), 'info') SELECT c AS "check", n AS n_rows, CASE WHEN n = 0 THEN 'ok' ELSE s END AS severity FROM x""",
+)(lambda s, d: groups.quality_report(fx.posts(s, d), fx.comments(s, d), ("s4",)))
+
+
+def growth_frame(s, d):
+    return topics.future_peak(keyword_days(s, d), 1, 2, 3).withColumn("y", F.col("grows").cast("int"))
+
+
+PEAK_SQL = DAYS_SQL + INDEX_SQL + """, p AS (SELECT *, coalesce(max(n_posts) OVER (PARTITION BY topic ORDER BY day_idx RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS future_peak, (SELECT max(day_idx) FROM di) AS m FROM di), fp AS (SELECT *, CASE WHEN future_peak >= 3 THEN 1 ELSE 0 END AS y FROM p WHERE n_posts BETWEEN 1 AND 2 AND day_idx + 3 <= m)"""
+query("auc_exact", f"WITH {PEAK_SQL}, g AS (SELECT alive_rate AS s, sum(y) AS pos, count(*) AS c FROM fp GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) - (c - 1) / 2.0 AS rk FROM g) SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(pos) AS DOUBLE) AS positives, round((sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / nullif(sum(pos) * (sum(c) - sum(pos)), 0), 6) AS auc FROM r")(lambda s, d: rounded(markov.auc(growth_frame(s, d), "alive_rate", "y")))
+query("threshold_grid", f"WITH {PEAK_SQL}, c AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS cut), g AS (SELECT cut, count(CASE WHEN alive_rate >= cut THEN 1 END) AS flagged, count(CASE WHEN alive_rate >= cut AND y = 1 THEN 1 END) AS tp, count(CASE WHEN y = 1 THEN 1 END) AS positives FROM fp, c GROUP BY 1) SELECT cut, flagged, tp, positives, round(tp / nullif(flagged, 0), 6) AS precision, round(tp / nullif(positives, 0), 6) AS recall, round(2 * tp / nullif(flagged + positives, 0), 6) AS f1 FROM g")(lambda s, d: rounded(markov.threshold_grid(growth_frame(s, d), "alive_rate", "y", (0.5, 0.6, 0.7, 0.8, 0.9))))
+query("szabo_huberman", f"WITH {PEAK_SQL}, x AS (SELECT ln(1 + total_upvotes) AS x, ln(1 + n_posts * best_upvotes) AS y FROM days) SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM x")(lambda s, d: rounded(markov.log_log_fit(keyword_days(s, d).select("total_upvotes", (F.col("n_posts") * F.col("best_upvotes")).alias("yy")), "total_upvotes", "yy")))
+query(
+    "hourly_counts",
+    "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+)(lambda s, d: __import__("threadpulse.streaming.ingest", fromlist=["x"]).hourly_counts(fx.table(s, d, "events")).withColumn("total", F.round("total", 4)))
+query("infer_types", "SELECT * FROM (VALUES ('post_id', 'INTEGER'), ('community', 'TEXT'), ('upvotes', 'INTEGER'), ('share', 'REAL')) t(\"column\", inferred)")(lambda s, d: tables.infer_types(fx.posts(s, d).select("post_id", "community", "upvotes", (F.col("upvotes") / 7 + 0.5).cast("string").alias("share"))))
+query("age_gap_buckets", f"WITH {NEIGHBOURS_SQL} SELECT CASE WHEN hours_since_previous IS NULL THEN 'missing' WHEN hours_since_previous < 0.75 THEN 'short' WHEN hours_since_previous <= 1.5 THEN 'regular' WHEN hours_since_previous <= 2.5 THEN 'wide' ELSE 'very_wide' END AS gap, CASE WHEN a < 60 THEN '0-1h' WHEN a < 180 THEN '1-3h' WHEN a < 360 THEN '3-6h' WHEN a < 720 THEN '6-12h' WHEN a < 1440 THEN '12-24h' WHEN a < 2880 THEN '24-48h' ELSE '48h+' END AS age, count(*) AS n FROM (SELECT *, (hours - min(hours) OVER (PARTITION BY post_id)) * 60 AS a FROM nb) GROUP BY 1, 2")(
+    lambda s, d: states(s, d).groupBy(__import__("threadpulse.functions.states", fromlist=["x"]).gap_bucket(F.col("hours_since_previous")).alias("gap"), __import__("threadpulse.functions.states", fromlist=["x"]).age_bucket(F.col("age_minutes")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
+)
+query("velocity_p90", f"WITH {NEIGHBOURS_SQL}, r AS (SELECT community, upvote_velocity AS v, row_number() OVER (PARTITION BY community ORDER BY upvote_velocity) - 1 AS i, count(*) OVER (PARTITION BY community) AS n FROM nb WHERE upvote_velocity IS NOT NULL) SELECT community, round(max(CASE WHEN i = least(floor(n * 0.9), n - 1) THEN v END), 6) AS p90 FROM r GROUP BY 1")(lambda s, d: rounded(groups.index_quantile(neighbours(s, d), ["community"], "upvote_velocity", 0.9, "p90")))
+
+_LEXICON = {"thing": 1.5, "nicht": -1.2, "retion": 2.0, "bleer": -2.1, "pour": 0.7}
+query(
+    "sentiment",
+    f"""WITH {POSTS_SQL}, w AS (SELECT post_id, unnest(regexp_extract_all(lower(title), '\\p{{L}}+')) AS token, generate_subscripts(regexp_extract_all(lower(title), '\\p{{L}}+'), 1) AS pos FROM posts), b AS (SELECT *, lag(token) OVER (PARTITION BY post_id ORDER BY pos) AS before FROM w),
+s AS (SELECT post_id, sum(CASE WHEN before IN ('not', 'no', 'never') THEN -0.74 * valence ELSE valence END)::DOUBLE AS s FROM b JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _LEXICON.items())}) l(t, valence) ON l.t = b.token GROUP BY 1)
+SELECT p.post_id, round(coalesce(s / sqrt(s * s + 15), 0), 6) + 0.0 AS compound FROM posts p LEFT JOIN s ON s.post_id = p.post_id""",
+)(lambda s, d: rounded(groups.sentiment(fx.posts(s, d), s.createDataFrame(list(_LEXICON.items()), "token string, valence double"), "post_id", "title")))
+
+#: models: rows only
+query("forest_emergence")(lambda s, d: rounded(models.forest_scores(growth_frame(s, d).select("day_no", "topic", "y", *[F.col(c).cast("double").alias(c) for c in ("n_posts", "n_communities", "alive_rate")]), "y", ["n_posts", "n_communities", "alive_rate"], "day_no", 8)))
+query("kmeans_text")(lambda s, d: models.text_clusters(with_words(s, d).select("post_id", "words"), "words").select("post_id", "cluster"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
