@@ -67,10 +67,12 @@ def pairwise_correlation(series: DataFrame, key: str, at: str, value: str, least
 
 
 def index_quantile(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
-    """The value at place floor(p n) of the sorted values (from 0), without interpolation."""
+    """The value at place floor(p n) of the sorted values (from 0), without interpolation. Equal values are counted before the windows, which see distinct values only."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group)
-    r = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return r.groupBy(*group).agg(F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1), F.col(value))).alias(name))
+    r = c.withColumn("_hi", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    place = F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
+    return r.groupBy(*group).agg(F.max(F.when((F.col("_hi") > place) & (F.col("_hi") - F.col("_c") <= place), F.col(value))).alias(name))
 
 
 def per_group_limit(df: DataFrame, group: str, k: int, by: list[Column], total: int | None = None) -> DataFrame:
