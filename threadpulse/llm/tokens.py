@@ -66,6 +66,23 @@ class Encoder:
             out += ["\n" + line[:cut] if k else line[:cut]] + ["\t" + line[cut:]] * (cut < len(line))
         return out
 
+    def _lines(self, words: pa.Array, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words at `which`, which hold no white space, each after a space: (ids, where each of n words begins, how many it has).
+
+        A thousand go in one text, one to a line; the line feeds' ids part them, so no word is touched one by one."""
+        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if not len(which):
+            return np.empty(0, "<u4"), start, size
+        offsets = np.append(np.arange(0, len(which), 1000), len(which))
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.take(pa.array(which))), pa.scalar("\n ", pa.large_string()))
+        ids = np.concatenate([np.array(self.lib.encode_batch_fast([f" {t.as_py()}\n"], add_special_tokens=False)[0].ids, "<u4") for t in texts])
+        stop = np.flatnonzero(ids == self.newline[0])
+        if len(stop) != len(which):
+            raise ValueError("this tokenizer joins line feeds with other characters")
+        start[which] = np.append(0, stop[:-1] + 1)
+        size[which] = stop - start[which]
+        return ids, start, size
+
     def _words(self, keys: list[str]) -> list[bytes]:
         """Ids of distinct keys: a word after a space, or a line feed and a word that stands first in its text.
 
@@ -116,26 +133,29 @@ class Encoder:
         at, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
         heads = flat.take(pa.array(at[:-1])).to_pylist()
         coded = flat.dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         first: dict[str, int] = {}
         end = [first.setdefault("\n" + h, len(first)) for h in heads]
         used = np.zeros(len(words) + len(first) + 1, bool)
         codes[at[:-1]] = len(words) + np.asarray(end, np.int64)
         used[codes] = True
-        wanted = np.flatnonzero(used[: len(words)]).tolist()
-        seqs = [b""] * len(words)
-        plain = [i for i in wanted if words[i][:1] != "\n"]
-        for i, x in zip(plain, self._words([words[i] for i in plain])):
-            seqs[i] = x
-        for i in set(wanted).difference(plain):
-            seqs[i] = self.library(" " + words[i]).tobytes()
-        seqs += self._words(list(first))
-        seqs.append(np.array([self.end_id], "<u4").tobytes())
-        codes = np.insert(codes, at[1:], len(seqs) - 1)
+        lines = used[: len(words)] & pc.utf8_is_printable(words).to_numpy(zero_copy_only=False) & (pc.binary_length(words).to_numpy() > 0)
+        pool, start, size = self._lines(words, np.flatnonzero(lines), len(used))
+        rest = np.flatnonzero(used[: len(words)] & ~lines)
+        odd_words = words.take(pa.array(rest)).to_pylist()
+        plain = [k for k, x in enumerate(odd_words) if x[:1] != "\n"]
+        seqs = [b""] * len(rest)
+        for k, x in zip(plain, self._words([odd_words[k] for k in plain])):
+            seqs[k] = x
+        for k in set(range(len(rest))).difference(plain):
+            seqs[k] = self.library(" " + odd_words[k]).tobytes()
+        seqs += [*self._words(list(first)), np.array([self.end_id], "<u4").tobytes()]
+        late = np.concatenate([rest, np.arange(len(words), len(used))])
+        size[late] = np.fromiter(map(len, seqs), np.int64, len(seqs)) // 4
+        start[late] = len(pool) + np.cumsum(size[late]) - size[late]
+        pool = np.concatenate([pool, np.frombuffer(b"".join(seqs), "<u4")])
+        codes = np.insert(codes, at[1:], len(used) - 1)
         at = at + np.arange(len(at))
-        pool = np.frombuffer(b"".join(seqs), "<u4")
-        size = np.fromiter(map(len, seqs), np.int64, len(seqs)) // 4
-        start = np.cumsum(size) - size
         n = size[codes]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
