@@ -14,6 +14,26 @@ import pyarrow.compute as pc
 ODD_SPACE = re.compile(r" (?:\s|$)")
 SAFE_SPLIT = re.compile(r" (?=\S)")
 MARKS = "".join(c for c in string.punctuation if c != "'")
+STEM_AND_MARKS = rf"^(?P<stem>\pL+)(?P<marks>[{re.escape(MARKS)}]*)$"
+
+
+def spelling() -> list[str]:
+    """The byte alphabet by its rule: visible Latin-1 bytes stand for themselves, the others follow from U+0100 on. A line feed is set off by spaces."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    out = [chr(b) if b in seen else chr(256 + rest.index(b)) for b in range(256)]
+    out[10] = f" {out[10]} "
+    return out
+
+
+SPELLING = spelling()
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of the pool that the codes name, one after another, and where each begins (one more entry: the end)."""
+    n = size[codes]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])], upto
 
 
 class Encoder:
@@ -27,9 +47,14 @@ class Encoder:
     def __init__(self, path: str, end_id: int = 2, generation: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        # the same merges without the splitting pattern, for pieces already cut and spelt in the byte alphabet
+        self.merges = Tokenizer.from_file(path)
+        self.merges.encode_special_tokens = True
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.end_id = end_id
         self.newline = self.library("\n")
         self.limit = generation
@@ -66,21 +91,41 @@ class Encoder:
             out += ["\n" + line[:cut] if k else line[:cut]] + ["\t" + line[cut:]] * (cut < len(line))
         return out
 
-    def _lines(self, words: pa.Array, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the words at `which`, which hold no white space, each after a space: (ids, where each of n words begins, how many it has).
+    def _parted(self, lib, words: pa.Array, spell) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that hold no white space, each after a space, one after another, and how many each has.
 
         A thousand go in one text, one to a line; the line feeds' ids part them, so no word is touched one by one."""
-        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        if not len(which):
-            return np.empty(0, "<u4"), start, size
-        offsets = np.append(np.arange(0, len(which), 1000), len(which))
-        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.take(pa.array(which))), pa.scalar("\n ", pa.large_string()))
-        ids = np.concatenate([np.array(self.lib.encode_batch_fast([f" {t.as_py()}\n"], add_special_tokens=False)[0].ids, "<u4") for t in texts])
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        offsets = np.append(np.arange(0, len(words), 1000), len(words))
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words), pa.scalar("\n ", pa.large_string()))
+        ids = np.concatenate([np.array(lib.encode_batch_fast([spell(f" {t.as_py()}\n")], add_special_tokens=False)[0].ids, "<u4") for t in texts])
         stop = np.flatnonzero(ids == self.newline[0])
-        if len(stop) != len(which):
+        if len(stop) != len(words):
             raise ValueError("this tokenizer joins line feeds with other characters")
-        start[which] = np.append(0, stop[:-1] + 1)
-        size[which] = stop - start[which]
+        return np.delete(ids, stop), np.diff(stop, prepend=-1) - 1
+
+    def _lines(self, words: pa.Array, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words at `which`, which hold no white space, each after a space: (ids, where each of n words begins, how many it has).
+
+        A word of letters and marks after them is two pieces, so each distinct stem is encoded once and its marks apart."""
+        words = words.take(pa.array(which))
+        # letters of later Unicode versions may be unknown to the library: with any beyond U+052F the whole word is left to it
+        pieces = pc.extract_regex(words, STEM_AND_MARKS)
+        plain = pc.and_(pc.is_valid(pieces), pc.match_substring_regex(words, r"^[\x{0}-\x{52F}]*$")).to_numpy(zero_copy_only=False)
+        split = np.flatnonzero(plain)
+        stem, mark = (pieces.field(k).take(pa.array(split)).dictionary_encode() for k in (0, 1))
+        marks = [self.library(x) for x in mark.dictionary.to_pylist()]
+        parts = [self._parted(self.merges, stem.dictionary, lambda t: t.encode().decode("latin-1").translate(SPELLING)), (np.concatenate([*marks, np.empty(0, "<u4")]), np.array(list(map(len, marks)), np.int64)), self._parted(self.lib, words.take(pa.array(np.flatnonzero(~plain))), str)]
+        pool, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        k = len(stem.dictionary)
+        # two pieces to a word: stem and marks, or the whole word and nothing
+        piece = np.full((len(words), 2), len(sizes))
+        piece[split, 0], piece[split, 1] = stem.indices.to_numpy(), k + mark.indices.to_numpy()
+        piece[~plain, 0] = k + len(marks) + np.arange(len(words) - len(split))
+        ids, upto = gathered(pool, np.append(np.cumsum(sizes) - sizes, 0), np.append(sizes, 0), piece.ravel())
+        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        start[which], size[which] = upto[:-1:2], np.diff(upto[::2])
         return ids, start, size
 
     def _words(self, keys: list[str]) -> list[bytes]:
@@ -156,9 +201,7 @@ class Encoder:
         pool = np.concatenate([pool, np.frombuffer(b"".join(seqs), "<u4")])
         codes = np.insert(codes, at[1:], len(used) - 1)
         at = at + np.arange(len(at))
-        n = size[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(start[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        ids, upto = gathered(pool, start, size, codes)
         return ids, upto[at]
 
 
