@@ -515,7 +515,7 @@ query("forest_emergence")(lambda s, d: rounded(models.forest_scores(growth_frame
 query("kmeans_text")(lambda s, d: models.text_clusters(with_words(s, d).select("post_id", "words"), "words").select("post_id", "cluster"))
 
 
-from . import now  # noqa: E402, F401  (adds its queries to the above)
+from . import learn, now  # noqa: E402, F401  (they add their queries to the above)
 
 
 def queries() -> dict[str, Query]:
