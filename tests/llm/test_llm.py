@@ -259,3 +259,19 @@ def test_pipeline(spark, docs):
     assert mixed.count() == sum(r.copies for r in mixing.mix_documents(kept).collect())
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and not out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count()
+
+
+def test_encoder_equals_the_library_on_any_mixture():
+    import random
+
+    from threadpulse.llm.queries import tokenizer_path
+    from threadpulse.llm.tokens import Encoder
+
+    rng = random.Random(3)
+    parts = ["a", "É", "ß", "ab", "'", "'s", "n't", ".", ",", "!?", " ", "  ", "\n", "\r\n", "\t", "7", "٣", "中", "ё", "́", "ԯ", "԰", "ᲊ", "🙂", "​", "\xa0", "\xad", "\x85", "<|endoftext|>", "_", "\x00", "ª", "²"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", None, " ", "\n", "word, word. Word"]
+    enc = Encoder(tokenizer_path())
+    for some in (texts, texts[::-1]):
+        ids, at = enc.encode(some)
+        for t, a, b in zip(some, at, at[1:]):
+            assert ids[a:b].tolist() == [*enc.library(t or "").tolist(), 2], repr(t)
