@@ -244,6 +244,43 @@ def test_passages(spark):
     assert tree.query(2) == (3.0, 0) and tree.query(4) == (5.0, 2)
 
 
+def test_passages_with_even_edits(spark):
+    """Every passage of 55 or 80 words with one changed word in each 5 to 15 is found in both documents."""
+    rng, rows = np.random.default_rng(5), []
+    text = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    for spacing in range(5, 16):
+        for n in (55, 80):
+            for _ in range(3):
+                passage = text(n)
+                edited = [f"edit{len(rows)}x{i}" if i % spacing == spacing - 1 else w for i, w in enumerate(passage)]
+                rows += [(len(rows), " ".join(text(40) + passage + text(40))), (len(rows) + 1, " ".join(text(40) + edited + text(40)))]
+    got = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, _ in rows if got[i].n_passages != 1 or got[i].first_partner != i ^ 1] == []
+
+
+def test_passage_whose_pieces_stand_in_earlier_documents(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    passage = text(120)
+    rows = [(k, " ".join(text(60) + passage[40 * k : 40 * k + 40] + text(60))) for k in range(3)] + [(k, " ".join(text(50) + passage + text(50))) for k in (3, 4)]
+    got = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = " ".join(passage)
+    for i, t in rows:
+        assert got[i].n_passages == (i > 2)
+        if i > 2:
+            a, b = map(int, got[i].passages.split(":"))
+            assert abs(a - t.index(want)) <= 12 and abs(b - t.index(want) - len(want)) <= 12
+
+
+def test_links():
+    """Up to 8 occurrences each pair of different documents is linked; of more, each document is linked with the first and a neighbour."""
+    h, doc, at = np.array([7] * 5 + [9], np.uint32), np.array([3, 1, 2, 2, 1, 4]), np.array([0, 5, 6, 9, 8, 1], np.int32)
+    brute = {(b, a, x, y) for b, x in zip(doc[:5], at[:5]) for a, y in zip(doc[:5], at[:5]) if b > a}
+    assert set(zip(*chaining.links(h, doc, at))) == brute
+    b, a, _, _ = chaining.links(np.full(40, 7, np.uint32), np.repeat(np.arange(20), 2), np.tile(np.array([0, 4], np.int32), 20))
+    assert {(i, 0) for i in range(1, 20)} | {(i + 1, i) for i in range(19)} <= set(zip(b, a)) and (b > a).all()
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
