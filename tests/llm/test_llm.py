@@ -223,6 +223,33 @@ def test_mixing(docs):
     assert all(again[r.doc_id] == r.taken for r in got)
 
 
+def test_tree_matching():
+    """The size is that of the plain recursion on random trees, and long lists that are shifted against each other align as short ones do."""
+
+    def size(a, b):
+        if a[0] != b[0]:
+            return 0
+        if a[0] == "#":
+            return 2 if a[1] == b[1] else 1
+        best = np.zeros((len(a[2]) + 1, len(b[2]) + 1), int)
+        for i, x in enumerate(a[2]):
+            for j, y in enumerate(b[2]):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + size(x, y))
+        return int(best[-1, -1]) + 1
+
+    rng = np.random.default_rng(8)
+    tree = lambda d: ("#", int(rng.integers(3)), []) if d == 0 or rng.random() < 0.2 else ("dp"[rng.integers(2)], 0, [tree(d - 1) for _ in range(rng.integers(1, 4))])
+    for _ in range(150):
+        a, b, pairs = ("r", 0, [tree(3) for _ in range(3)]), ("r", 0, [tree(3) for _ in range(4)]), []
+        assert html_extract.tree_matching(a, b, "", pairs) == size(a, b)
+        assert all(slot for slot, _, _ in pairs)
+    p = lambda t: ("p", 0, [("#", t, [])])
+    tail, pairs = [p(t) for t in range(9000, 9005)], []
+    page = lambda start, n: ("b", 0, [p(start + k) for k in range(n)] + tail + [p(start - 1)])
+    html_extract.tree_matching(page(1000, 220), page(2000, 260), "", pairs)
+    assert [x for _, x, y in pairs if x == y] in ([9000, 9001, 9002, 9003, 9004], [9004, 9003, 9002, 9001, 9000])
+
+
 def test_passages(spark):
     rng = np.random.default_rng(3)
     words = [f"v{i}" for i in range(5000)]

@@ -162,45 +162,79 @@ def _tree(rows: list) -> tuple:
     return root
 
 
-def tree_matching(a: tuple, b: tuple, slot: str, pairs: list) -> int:
+def _digest(node: tuple, known: dict) -> int:
+    """A number of the subtree's labels and texts; equal subtrees have equal ones. `known` keeps the nodes, so that their ids stay theirs."""
+    got = known.get(id(node))
+    if got is None:
+        got = known[id(node)] = (hash((node[0], node[1], tuple(_digest(c, known) for c in node[2]))), node)
+    return got[0]
+
+
+def _equal_leaves(node: tuple, slot: str, pairs: list) -> int:
+    """What `tree_matching` gives for a subtree and its equal."""
+    if node[0] == "#":
+        pairs.append((slot, node[1], node[1]))
+        return 2
+    slot = f"{slot}/{node[0]}" if node[0] else slot
+    return 1 + sum(_equal_leaves(c, slot, pairs) for c in node[2])
+
+
+def tree_matching(a: tuple, b: tuple, slot: str, pairs: list | None, known: dict | None = None) -> int:
     """Simple tree matching: the size of the largest ordered top-down match of two trees with equal root labels; appends the matched
-    leaves as (slot, text of a, text of b). Child lists with over 40,000 pairs are matched label by label in order."""
+    leaves as (slot, text of a, text of b). Equal children at the head and the tail of both lists match each other, which loses nothing
+    as no match of theirs is larger; the lists between them are aligned whole, whatever their length. Of the sums only two rows are
+    kept, of the choices a byte for each pair. With `pairs` None only the size is found, once for each pair of different subtrees."""
     if a[0] != b[0]:
         return 0
     if a[0] == "#":
-        pairs.append((slot, a[1], b[1]))
+        if pairs is not None:
+            pairs.append((slot, a[1], b[1]))
         return 2 if a[1] == b[1] else 1
-    m, n = len(a[2]), len(b[2])
+    known = {} if known is None else known
     slot = f"{slot}/{a[0]}" if a[0] else slot
-    if m * n > 40_000:
-        waiting: dict[str, list] = {}
-        for y in b[2]:
-            waiting.setdefault(y[0], []).append(y)
-        got = 1
-        for x in a[2]:
-            if waiting.get(x[0]):
-                got += tree_matching(x, waiting[x[0]].pop(0), slot, pairs)
-        return got
-    weight, found = {}, {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            w = 0
-            if a[2][i][0] == b[2][j][0]:
-                inner: list = []
-                w = weight[i, j] = tree_matching(a[2][i], b[2][j], slot, inner)
-                found[i, j] = inner
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+    xs, ys = a[2], b[2]
+    if len(xs) == 1 == len(ys):
+        return 1 + tree_matching(xs[0], ys[0], slot, pairs, known)
+    key = (_digest(a, known), _digest(b, known))
+    if pairs is None and key in known:
+        return known[key]
+    dx, dy = [_digest(c, known) for c in xs], [_digest(c, known) for c in ys]
+    head, got = 0, 1
+    leaves: list = [] if pairs is None else pairs
+    while head < min(len(xs), len(ys)) and dx[head] == dy[head]:
+        got += _equal_leaves(xs[head], slot, leaves)
+        head += 1
+    m, n = len(xs), len(ys)
+    while m > head and n > head and dx[m - 1] == dy[n - 1]:
+        m, n = m - 1, n - 1
+        got += _equal_leaves(xs[m], slot, leaves)
+    xs, ys = xs[head:m], ys[head:n]
+    m, n = len(xs), len(ys)
+    before, choices = [0] * (n + 1), []
+    for x in xs:
+        label, row, chosen, left = x[0], [0] * (n + 1), bytearray(n + 1), 0
+        for j, y in enumerate(ys):
+            up = before[j + 1]
+            best, how = (up, 1) if up >= left else (left, 2)
+            if label == y[0]:
+                w = before[j] + tree_matching(x, y, slot, None, known)
+                if w >= best:
+                    best, how = w, 0
+            row[j + 1] = left = best
+            chosen[j + 1] = how
+        before = row
+        if pairs is not None:
+            choices.append(chosen)
+    if pairs is None:
+        known[key] = got + before[n]
+        return known[key]
     i, j = m, n
     while i and j:
-        if (i - 1, j - 1) in weight and best[i][j] == best[i - 1][j - 1] + weight[i - 1, j - 1]:
-            pairs += found[i - 1, j - 1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1
+        how = choices[i - 1][j]
+        if how == 0:
+            tree_matching(xs[i - 1], ys[j - 1], slot, pairs, known)
+        i, j = i - (how != 2), j - (how != 1)
+    return got + before[n]
 
 
 def host_of(url):
