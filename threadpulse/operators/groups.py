@@ -41,13 +41,15 @@ def engagement_profile(comments: DataFrame) -> DataFrame:
     return per.join(gini(comments, "post_id", "upvotes").select("post_id", "gini"), "post_id")
 
 
-def thread_depth(comments: DataFrame, most: int = 200) -> DataFrame:
-    """Depth of each comment: 1 under the post, its parent's plus 1; null where the parent is unknown. Parents jump to their own ancestors, so rounds grow with the logarithm of the depth (and end at `most` levels)."""
+def thread_depth(comments: DataFrame) -> DataFrame:
+    """Depth of each comment: 1 under the post, its parent's plus 1; null where the parent is unknown. Parents jump to their own ancestors, so rounds grow with the logarithm of the depth; they end when no ancestor is left or when
+    the jumps exceed the largest thread's comments, which only replies in a circle outlast (null: no parent of theirs leads to the post)."""
     from ..sources.tables import materialize
 
     step = comments.select("post_id", "comment_id", F.col("parent_id").alias("up"), F.lit(1).alias("depth"))
+    largest = comments.groupBy("post_id").count().agg(F.max("count")).first()[0] or 0
     done = 1
-    while done < most and not step.where("up IS NOT NULL AND up != -1").isEmpty():
+    while done <= largest and not step.where("up IS NOT NULL AND up != -1").isEmpty():
         above = step.select("post_id", F.col("comment_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.lit(True).alias("_known"))
         both = step.join(above, ["post_id", "up"], "left")
         lost = F.col("up").isNotNull() & (F.col("_known").isNull() | (F.col("_up") == -1))

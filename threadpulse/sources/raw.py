@@ -38,14 +38,14 @@ def snapshot_context(posts: DataFrame, metadata: DataFrame) -> DataFrame:
     return first.join(metadata, "stem", "left").select("stem", F.regexp_replace(F.coalesce(blank(F.col("subreddit")), F.col("f.communityName")), "(?i)^r/", "").alias("community"), F.coalesce(blank(F.col("listing")), F.lit("new")).alias("listing"), F.coalesce(F.try_to_timestamp("saved_at"), by_name, F.try_to_timestamp("f.scrapedAt")).alias("snapshot_time"))
 
 
-def flatten_comments(trees: DataFrame, json: str, key: str, levels: int = 64) -> DataFrame:
+def flatten_comments(trees: DataFrame, json: str, key: str) -> DataFrame:
     """Comments of nested listing trees, depth first: key, path (places from the root), id, parent_id, body, depth. One explode per level until none is left."""
     from ..sources.tables import materialize
 
     kids = lambda c: F.from_json(F.get_json_object(c, "$.data.children"), "array<string>")
     now = trees.select(key, F.array().cast("array<int>").alias("path"), F.posexplode(kids(F.col(json))).alias("pos", "node"))
     out = None
-    for _ in range(levels):
+    while True:
         now = materialize(now.select(key, F.concat("path", F.array("pos")).alias("path"), "node"))
         if now.isEmpty():
             break
