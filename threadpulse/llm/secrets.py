@@ -24,15 +24,22 @@ NAME = r"[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*"
 #: name-literal pairs of source and configuration syntax; a value is quoted, bare, or a sum of names and quoted parts
 PAIR = re.compile(
     rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<item>[\w.-]{{1,80}})["']\])?[ \t]*(?P<op>:=|=>|=(?!=)|:(?!//))[ \t]*"""
-    rf"""(?P<value>(?:"[^"\n]{{0,4096}}"|'[^'\n]{{0,4096}}'|{NAME})(?:[ \t]*\+[ \t]*(?:"[^"\n]{{0,4096}}"|'[^'\n]{{0,4096}}'|{NAME}))+|"[^"\n]{{0,4096}}"|'[^'\n]{{0,4096}}'|[^\s"',;{{}}()<>\[\]]+)""",
+    rf"""(?P<value>(?:"[^"\n]*+"|'[^'\n]*+'|{NAME})(?:[ \t]*\+[ \t]*(?:"[^"\n]*+"|'[^'\n]*+'|{NAME}))+|"[^"\n]*+"|'[^'\n]*+'|[^\s"',;{{}}()<>\[\]]+)""",
     re.A,
 )
 ITEM = re.compile(rf""""([^"\n]*)"|'([^'\n]*)'|({NAME})""", re.A)
-ATTRIBUTE = re.compile(r"""\b(?:key|name)[ ]*=[ ]*["'](?P<name>[\w.-]{1,80})["'][ ]+value[ ]*=[ ]*["'](?P<value>[^"'\n]{1,4096})["']""", re.A)
+ATTRIBUTE = re.compile(r"""\b(?:key|name)[ ]*=[ ]*["'](?P<name>[\w.-]{1,80})["'][ ]+value[ ]*=[ ]*["'](?P<value>[^"'\n]++)["']""", re.A)
 #: what any pair needs, so that prose without it is not lexed
 HINT = re.compile(r"[A-Za-z0-9_\"'\]][ \t]*(?::=|=>|[=:])", re.A)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
+#: begin and end lines of private keys, and what follows a begin line without its end
+KEY_MARK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{0,40}?PRIVATE KEY(?: BLOCK)?-----", re.A)
+KEY_BODY = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+", re.A)
+SCHEME = re.compile(r"\s*(?:bearer|basic|token|digest|apikey)\s+(?=\S)", re.I | re.A)
+#: Words of messages about a secret, which a pass phrase is told from by
+MESSAGE = frozenset("please enter your must should invalid incorrect forgot forgotten required missing expired".split())
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches; kind 0 assign, 1 access, 2 hex."""
@@ -63,16 +70,40 @@ def literal_weight(value: str) -> float:
     return (min(len(value), 32) / 32 + min(entropy(value), 4.0) / 4 + kinds / 4) * (0.3 if kinds == 1 and value.isalpha() else 1.0) * (0.2 if " " in value else 1.0)
 
 
+def is_pass_phrase(name: str, value: str) -> bool:
+    """Whether a literal of several words is a secret of its own: its name ends in a word of weight 2.5 or more, and it isn't a message."""
+    words = value.split()
+    if len(words) < 2 or len(value) < 10 or len(set(value)) < 4:
+        return False
+    last = [p.lower() for p in PARTS.findall(name)][-2:]
+    return bool(last) and max(SENSITIVE.get(last[-1], 0.0), SENSITIVE.get("".join(last), 0.0)) >= 2.5 and not MESSAGE & {w.lower().strip(".,:;!?'") for w in words}
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys from their begin to their end line; without an end, up to the last base64 line."""
+    if "PRIVATE KEY" not in text:
+        return []
+    marks, out = list(KEY_MARK.finditer(text)), []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1] == "BEGIN":
+            out.append((m.start(), after.end() if after and after[1] == "END" else KEY_BODY.match(text, m.end()).end()))
+    return out
+
+
 def method_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int]]:
-    """Literals that reach a sensitive name, directly or through constants, whose score (name weight x literal weight) is at least `threshold`."""
+    """Literals that reach a sensitive name, directly or through constants, whose score (name weight x literal weight) is at least `threshold`
+    or that are pass phrases; a scheme before a token (Bearer ...) isn't scored. Private key blocks need no name."""
+    found = set(key_blocks(text))
     if not HINT.search(text):
-        return []
+        return sorted(found)
     constants: dict[str, list[tuple[int, int]]] = {}
-    found = set()
 
     def judge(name: str, parts: list[tuple[int, int]]) -> None:
-        w = name_weight(name)
-        if w and parts and w * literal_weight("".join(text[a:b] for a, b in parts)) >= threshold:
+        w, value = name_weight(name), "".join(text[a:b] for a, b in parts)
+        scheme = SCHEME.match(value)
+        if scheme and (w or "authorization" in name.lower()):
+            w, value = max(w, SENSITIVE["bearer"]), value[scheme.end() :]
+        if w and (w * literal_weight(value) >= threshold or is_pass_phrase(name, value)):
             found.update(parts)
 
     for m in PAIR.finditer(text):
@@ -88,7 +119,7 @@ def method_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int]]:
                     parts.append((at, at + len(value)))
         else:
             parts = [(at, at + len(value.rstrip(".")))]
-        parts = [(a, b) for a, b in parts if b > a][:64]
+        parts = list(dict.fromkeys((a, b) for a, b in parts if b > a))
         if m["op"] != ":" or m["q"]:
             constants[m["name"]] = parts
         judge(m["item"] or m["name"], parts)
