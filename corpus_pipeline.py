@@ -36,7 +36,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_rules", quality_stage), ("ngram_jaccard_join", near_duplicate_stage), ("secret_scan", secret_stage), ("source_mixing", mixing_stage), ("best_fit_packing", packing_stage)]
 
-#: Trained cutoffs, MinHash classes, hash draws and token ids are beyond SQL; tests/llm compares run() with a brute-force version.
+#: Trained cutoffs, MinHash classes, hash draws and token ids are beyond SQL; tests/llm compares the stages with their operators.
 ORACLE_SQL = None
 
 
