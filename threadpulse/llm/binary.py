@@ -6,11 +6,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, shared_dir
-from .tokens import encoder
+from .common import arrow_schema, in_frames, partitions_for, shared_dir
+from .tokens import encoder, runs_of
 
 MAGIC, BLOCK = b"PFOR1\0\0\0", 128
 SEGMENT_IDS = 1 << 20
@@ -98,19 +100,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     n = partitions_for(docs)
     cuts = np.array(_bounds(docs, n), np.int64)
 
-    def tokens(frames):
+    encoded_schema = "part int, doc_id long, n long, ids binary"
+    want = arrow_schema(encoded_schema)
+
+    def tokens(batches):
         enc = encoder(tokenizer, end_id)
         kind = "<u2" if enc.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        for frame in frames:
-            for i in range(0, len(frame), 4000):
-                part = frame.iloc[i : i + 4000]
-                ids, at = enc.encode(part["text"])
-                raw, size = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
-                doc = part["doc_id"].astype("Int64").array
-                known = ~np.asarray(pd.isna(doc))
-                to = np.zeros(len(part), np.int32)
-                to[known] = np.searchsorted(cuts, np.asarray(doc[known], np.int64), side="left")
-                yield pd.DataFrame({"part": to, "doc_id": doc, "n": np.diff(at), "ids": [bytes(raw[a * size : b * size]) for a, b in zip(at.tolist(), at[1:].tolist())]})
+        for batch in batches:
+            for a, b in runs_of(batch["text"]):
+                doc = batch["doc_id"].slice(a, b - a)
+                ids, at = enc.encode(batch["text"].slice(a, b - a))
+                known = pc.is_valid(doc).to_numpy(zero_copy_only=False)
+                to = np.where(known, np.searchsorted(cuts, doc.fill_null(0).to_numpy(), side="left"), 0).astype(np.int32)
+                raw = ids.astype(kind)
+                offsets = (at * raw.itemsize).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(to), doc, pa.array(np.diff(at)), data], schema=want)
 
     def segments(frames):
         held, total, where, number = [], 0, None, 0
@@ -123,7 +128,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pd.DataFrame(row)
 
         for frame in frames:
-            for p, d, k, x in zip(frame["part"], frame["doc_id"].astype("Int64"), frame["n"], frame["ids"]):
+            for p, d, k, x in zip(frame["part"], frame["doc_id"], frame["n"], frame["ids"]):
                 if held and (p != where or total + k > SEGMENT_IDS):
                     yield flush()
                 if p != where:
@@ -133,24 +138,29 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if held:
             yield flush()
 
-    encoded = docs.select("doc_id", "text").mapInPandas(tokens, "part int, doc_id long, n long, ids binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(tokens, encoded_schema)
     ordered = encoded.repartitionById(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    out = ordered.mapInPandas(segments, "part int, segment int, n_ids long, doc_ids array<long>, counts array<long>, payload binary")
+    out = in_frames(ordered, segments, "part int, segment int, n_ids long, doc_ids array<long>, counts array<long>, payload binary")
     out.write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32; ids are decoded from the blocks."""
     files = spark.read.parquet(path)
-
-    def run(frames):
-        for frame in frames:
-            for p, s, docs, counts, data in zip(frame["part"], frame["segment"], frame["doc_ids"], frame["counts"], frame["payload"]):
-                raw, counts = memoryview(decode_segment(data).tobytes()), np.asarray(counts, np.int64)
+    out_schema = "part int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long"
+    want = arrow_schema(out_schema)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs, counts = batch["doc_ids"][i].values, batch["counts"][i].values.to_numpy()
+                raw, n = memoryview(decode_segment(batch["payload"][i].as_py())).cast("B"), len(counts)
                 upto = np.cumsum(counts)
-                yield pd.DataFrame({"part": np.int32(p), "segment": np.int32(s), "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], dtype="Int64"), "local": upto - counts, "n_tokens": counts, "ids_crc32": [zlib.crc32(raw[4 * (b - c) : 4 * b]) for b, c in zip(upto.tolist(), counts.tolist())]})
+                crc = np.fromiter((zlib.crc32(raw[4 * (b - c) : 4 * b]) for b, c in zip(upto.tolist(), counts.tolist())), np.int64, n)
+                part, segment = (pa.array(np.full(n, batch[c][i].as_py(), np.int32)) for c in ("part", "segment"))
+                yield pa.RecordBatch.from_arrays([part, segment, docs, pa.array(upto - counts), pa.array(counts), pa.array(crc)], schema=want)
 
-    docs = files.mapInPandas(run, "part int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(run, out_schema)
     # one row for each segment (about a million ids): starts come from a window within parts and one over the parts
     seg = files.select("part", "segment", "n_ids")
     parts = seg.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
@@ -160,7 +170,12 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write the files to the shared folder and read them back. Null text is empty: the end id alone. No rows give no files' rows."""
+    """Write the files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32, one row per document.
+
+    Null text is empty: the end id alone. Null ids come first and stay null; rows repeated with one id are documents of
+    their own, in the order of their ids' bytes. Texts of any length are encoded whole (a document over a segment's size is a
+    segment of its own). Other columns, whatever their names, are not read; an empty table gives no rows.
+    """
     path = shared_dir(docs.sparkSession, "token-files")
     write_token_files(docs, tokenizer, path, end_id)
     return read_token_files(docs.sparkSession, path)

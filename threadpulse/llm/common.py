@@ -7,11 +7,14 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space that parts words, as a regular expression's class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,12 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one only where none is configured."""
+    """A new path in the folder that the cluster shares."""
     return f"{checkpoint_dir(spark).rstrip('/')}/threadpulse-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "threadpulse-shared")
+    """spark.checkpoint.dir. Where it is unset, a temporary folder will do for a local master only; on a cluster that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "threadpulse-shared")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -38,15 +45,49 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: pandas types that keep whole numbers whole beside nulls
+EXACT = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
+
+
+def exact_frame(data: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    """The batch in pandas; 64-bit numbers beside nulls don't become floats, so no id changes."""
+    return data.to_pandas(types_mapper=EXACT.get)
+
+
+def in_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
+    """mapInPandas whose frames keep 64-bit numbers exact (see `exact_frame`)."""
+    want = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(map(exact_frame, batches)):
+            yield pa.RecordBatch.from_pandas(out[want.names], schema=want, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def in_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 2000) -> DataFrame:
-    """mapInPandas with a function of one frame of at most `rows` rows."""
+    """in_frames with a function of one frame of at most `rows` rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), rows):
                 yield f(frame.iloc[i : i + rows].reset_index(drop=True))
 
-    return df.mapInPandas(run, schema)
+    return in_frames(df, run, schema)
+
+
+def in_groups(groups: GroupedData, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
+    """applyInPandas whose frames keep 64-bit numbers exact; for groups of bounded size only."""
+    want = arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(f(exact_frame(table))[want.names], schema=want, preserve_index=False)
+
+    return groups.applyInArrow(run, schema)
 
 
 def text_of(x) -> str:

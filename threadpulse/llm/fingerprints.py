@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, scramble, sha256, text_of
+from .common import in_frames, partitions_for, scramble, sha256, text_of
 
 CELLS, HASHES = 24, 3
 #: A paragraph's pieces: up to a line feed, the end of a sentence, or the first word end after 16 characters.
@@ -188,8 +188,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = partitions_for(docs)
     spread = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").withColumn("p", F.spark_partition_id())
     ordered = spread.sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
-    inner = ordered.mapInPandas(_with_next, SCHEMA)
-    edge = ordered.mapInPandas(_edges, "p int, head string, doc_id long, text string")
+    inner = in_frames(ordered, _with_next, SCHEMA)
+    edge = in_frames(ordered, _edges, "p int, head string, doc_id long, text string")
     # one row for each partition: small enough for a window over all of them
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("p"))
     every = Window.partitionBy(F.lit(0)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -200,4 +200,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             if len(frame):
                 yield compare([None if pd.isna(x) else int(x) for x in frame["doc_id"]], list(frame["text"]), list(frame["following"]))
 
-    return inner.unionByName(ends.select("doc_id", "text", "following").mapInPandas(last, SCHEMA))
+    return inner.unionByName(in_frames(ends.select("doc_id", "text", "following"), last, SCHEMA))

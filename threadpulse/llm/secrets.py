@@ -7,9 +7,10 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_batches, sha256, text_of
+from .common import arrow_schema, in_batches, sha256, text_of
 
 #: The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -175,14 +176,17 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with all secrets replaced by a mark and n_chars counted anew; null texts and other columns stay as they are."""
-    names, schema = docs.columns, docs.schema
-
-    def run(frames):
-        for frame in frames:
-            new = [redact(t) if isinstance(t, str) else None for t in frame["text"]]
-            frame = frame.assign(text=pd.Series(new, dtype=object, index=frame.index))
-            if "n_chars" in names:
-                frame["n_chars"] = pd.Series([len(t) if t is not None else n for t, n in zip(new, frame["n_chars"])], index=frame.index)
-            yield frame
-
-    return docs.mapInPandas(run, schema)
+    schema = docs.schema
+    want = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(want.names)}
+            new = [None if t is None else redact(t) for t in columns["text"].to_pylist()]
+            columns["text"] = pa.array(new, want.field("text").type)
+            if "n_chars" in columns:
+                counts = [n if t is None else len(t) for t, n in zip(new, columns["n_chars"].to_pylist())]
+                columns["n_chars"] = pa.array(counts, want.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in want.names], schema=want)
+
+    return docs.mapInArrow(run, schema)

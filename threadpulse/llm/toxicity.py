@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, word_hashes, WordHashes
+from .common import in_frames, text_of, word_hashes, WordHashes
 
 #: training rows of each label at most: the documented bound of the sample that the model is fitted on
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
@@ -123,7 +123,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
     score is the noisy-or over the whole text's sentences; null and empty texts, without sentences, score 0. Without toxic
     labels to learn from all scores are near 0. Repeated rows score alike; null ids are scored, not held out; labels, lang, source and ids
-    are no inputs of a score.
+    are no inputs of a score; equal texts score alike; other columns, whatever their names, are not read; an empty table gives no rows.
     """
     model = train(docs, labels)
     used = np.flatnonzero(model[:-1])
@@ -146,5 +146,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             spans = [",".join(f"{a}:{b}" for a, b in locate(t, full, hashes, threshold)) if s >= threshold else "" for t, s in zip(texts, score)]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": score, "sentences": spans})
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, sentences string")
+    scored = in_frames(docs.select("doc_id", "text"), run, "doc_id long, score double, sentences string")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
