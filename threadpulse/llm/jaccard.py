@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, in_batches, scramble, shingle_hashes, text_of, word_hashes, WordHashes
+from .common import cut_lineage, in_batches, partitions_for, scramble, shingle_hashes, text_of, word_hashes, WordHashes
 
 TREES, DEPTH, SHINGLE, THRESHOLD, RECALL = 18, 8, 5, 0.8, 0.9999
-GROUP_DOCS, GROUP_SHINGLES = 512, 1_000_000
+#: Sets and shingles that meet in one task at most, and sets in a full-depth trie node from which it is searched before prefixes are shortened.
+GROUP_DOCS, GROUP_SHINGLES, CROWD = 512, 1_000_000, 128
+
+
+def chance(similarity, depth: int, trees: int = TREES):
+    """Probability that a pair of this similarity shares a prefix of `depth` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """How far matched prefixes are shortened: from the full depth on, until a pair at the threshold meets in some tree with the target probability."""
+    """The depth at which shortening ends for every document: there a pair at the threshold meets in some tree with the target probability."""
     for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        if chance(threshold, k, trees) >= recall:
             return k
     raise ValueError("even one value to a prefix misses the target recall; use more trees")
 
@@ -33,16 +39,25 @@ def node_name(s: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(s.astype("<u8").tobytes())
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE, trees: int = TREES, depth: int | None = None, seed: int = 1) -> DataFrame:
-    """doc_id, node (name of the shingle set; null without words), n, keys: the trie node of each tree that holds the document."""
-    depth = depth or prefix_depth(trees=trees)
+def text_name() -> Column:
+    """A number that tells the texts under one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def signatures(docs: DataFrame, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, shortest: int | None = None, seed: int = 1) -> DataFrame:
+    """doc_id, name (see `text_name`), node (name of the shingle set; null without words), n, deep, keys.
+
+    Each tree is a trie of MinHash paths of `depth` values. A trie node is named by a hash chained along its path, so a prefix of a path names
+    the node above; deep names the document's node at full depth in each tree, keys that at the shortest prefix.
+    """
+    shortest = shortest or prefix_depth(trees=trees, depth=depth)
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(text_of(t), word_hashes(), size) for t in frame["text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys = np.zeros((len(sets), trees), np.uint64)
+        keys, deep = np.zeros((len(sets), trees), np.uint64), np.zeros((len(sets), trees), np.uint64)
         if full:
             flat = np.concatenate([sets[i] for i in full])
             at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
@@ -52,30 +67,49 @@ def signatures(docs: DataFrame, size: int = SHINGLE, trees: int = TREES, depth:
                     for d in range(depth):
                         k = t * depth + d
                         path = scramble(path * np.uint64(0x100000001B3) ^ np.minimum.reduceat(flat * a[k] + b[k], at))
-                    keys[full, t] = path
-        return pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "node": [node_name(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "keys": list(keys.view(np.int64))})
+                        if d + 1 == shortest:
+                            keys[full, t] = path
+                    deep[full, t] = path
+        return pd.DataFrame({"doc_id": frame["doc_id"], "name": frame["name"], "node": [node_name(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "deep": list(deep.view(np.int64)), "keys": list(keys.view(np.int64))})
+
+    return in_batches(docs.select("doc_id", "text", text_name().alias("name")), f, "doc_id long, name long, node string, n long, deep array<long>, keys array<long>", 1000)
 
-    return in_batches(docs.select("doc_id", "text"), f, "doc_id long, node string, n long, keys array<long>", 1000)
+
+def key_matrix(rows: list, column: str) -> np.ndarray:
+    """The rows' keys by tree; 0 (no key to meet at) becomes a number that no other row has."""
+    keys = np.array([r[column] for r in rows], np.int64)
+    return np.where(keys == 0, -1 - np.arange(len(rows))[:, None], keys)
 
 
 def _met_first(keys: np.ndarray, key: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of positions) for which `key` is the first trie node they share, so that each pair counts in one group only."""
-    same = keys[left][:, None, :] == keys[right][None, :, :]
-    first = same.argmax(2)
-    hit = same.any(2) & (keys[left][np.arange(len(left))[:, None], first] == key)
-    i, j = np.nonzero(hit)
+    tree = int(np.flatnonzero((keys[left[0]] == key))[0])
+    met = np.zeros((len(left), len(right)), bool)
+    for t in range(tree):
+        met |= keys[left, t][:, None] == keys[right, t][None, :]
+    i, j = np.nonzero(~met)
     return left[i], right[j]
 
 
-def _sides(part: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(part == bi), np.flatnonzero(part == bj)
-
-
-def _group_pairs(keys: np.ndarray, key: int, part: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
-    left, right = _sides(part, bi, bj)
+def group_pairs(rows: list, key: int, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's rows to verify: met first at this node, not met in a crowded node before, not both complete already."""
+    keys, part = key_matrix(rows, "keys"), np.array([r["part"] for r in rows])
+    left, right = np.flatnonzero(part == bi), np.flatnonzero(part == bj)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
     i, j = _met_first(keys, key, left, right)
     if bi == bj:
         i, j = i[i < j], j[i < j]
+    if any(r["complete"] for r in rows):
+        complete = np.array([r["complete"] for r in rows], bool)
+        i, j = i[~(complete[i] & complete[j])], j[~(complete[i] & complete[j])]
+    if any(r["crowds"] is not None for r in rows):
+        none = [0] * keys.shape[1]
+        crowds = key_matrix([{"crowds": none if r["crowds"] is None else r["crowds"]} for r in rows], "crowds")
+        apart = np.ones(len(i), bool)
+        for t in range(crowds.shape[1]):
+            apart &= crowds[i, t] != crowds[j, t]
+        i, j = i[apart], j[apart]
     return i, j
 
 
@@ -97,15 +131,17 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[i, j].astype(np.int64)
 
 
-def linked(nodes: list[str], copies: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> list[tuple[str, int, str]]:
-    """(node, documents linked to it, least node of its part) for nodes with a verified link in this group."""
+def linked(nodes: list[str], copies: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float, depth: int, trees: int) -> list[tuple[str, int, int, float, str]]:
+    """(node, documents linked to it, sets linked to it, links expected to be missed at this depth, least node of its part) for nodes with a verified link in this group."""
     n = np.array([len(s) for s in sets], np.int64)
     both = _intersections(sets, i, j)
     ok = both >= threshold * (n[i] + n[j] - both) - 1e-9
-    i, j = i[ok], j[ok]
-    degree = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
-    root = np.array([sorted(nodes).index(x) for x in nodes]) if len(i) else np.arange(len(nodes))
+    i, j, both = i[ok], j[ok], both[ok]
+    p = chance(both / np.maximum(n[i] + n[j] - both, 1), depth, trees)
+    degree, times, missed = (np.bincount(i, x, len(nodes)) + np.bincount(j, y, len(nodes)) for x, y in ((copies[j], copies[i]), (np.ones(len(i)), np.ones(len(i))), (1 / p - 1, 1 / p - 1)))
     names = sorted(nodes)
+    place = {x: k for k, x in enumerate(names)}
+    root = np.array([place[x] for x in nodes])
     while len(i):
         low = np.minimum(root[i], root[j])
         new = root.copy()
@@ -114,35 +150,41 @@ def linked(nodes: list[str], copies: np.ndarray, sets: list[np.ndarray], i: np.n
         if (new == root).all():
             break
         root = new
-    return [(nodes[k], int(degree[k]), names[root[k]]) for k in np.flatnonzero(degree > 0)]
+    return [(nodes[k], int(degree[k]), int(times[k]), float(missed[k]), names[root[k]]) for k in np.flatnonzero(times > 0)]
 
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """members (key, node, keys, n, ...) dealt into groups of bounded size: the blocks of a large trie node meet two by two."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
-    size = size.withColumn("blocks", F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int"))
-    dealt = members.join(size.select("key", "blocks"), "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+def _groups(nodes: DataFrame, column: str, least: int) -> DataFrame:
+    """node, tree, key, part, bi, bj: the trie nodes of `column` with `least` sets or more, dealt into groups of bounded size; the blocks of a large one meet two by two."""
+    members = nodes.select("node", "n", F.posexplode(column).alias("tree", "key"))
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where(F.col("m") >= least)
+    size = size.select("key", F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int").alias("blocks"))
+    # the join's skewed keys are split at run time, as nothing later needs its partitioning
+    dealt = members.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("other", other).withColumn("bi", F.least("part", "other")).withColumn("bj", F.greatest("part", "other")).drop("other", "blocks")
+    return dealt.withColumn("other", other).select("node", "tree", "key", "part", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"))
+
 
+def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, threshold: float, depth: int, trees: int) -> DataFrame:
+    """node, links, found, missed, root: verified links of shingle sets among the groups, one or more rows for each set that has any.
 
-def similar_nodes(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """node, links, root: verified links of shingle sets, one or more rows for each set that has any."""
-    members = nodes.select("node", "n", "keys", F.explode("keys").alias("key"))
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = cut_lineage(members.join(counted, "key"))
+    nodes: node, rep, copies, keys, crowds, complete. Groups are gathered twice: first keys alone tell which sets have a pair to
+    verify there, then those sets' shingles follow."""
+    n_parts = partitions_for(docs)
+
+    def gather(df: DataFrame, *cols: str) -> DataFrame:
+        # by the group and not by its key alone, so that the blocks of a large trie node go to many tasks
+        return df.repartition(n_parts, "key", "bi", "bj").groupBy("key", "bi", "bj").agg(F.collect_list(F.struct(*cols)).alias("rows"))
 
     def needed(frames):
         for frame in frames:
             for key, bi, bj, rows in zip(frame["key"], frame["bi"], frame["bj"], frame["rows"]):
-                keys, part = np.array([r["keys"] for r in rows]), np.array([r["part"] for r in rows])
-                i, j = _group_pairs(keys, key, part, bi, bj)
+                i, j = group_pairs(rows, key, bi, bj)
                 if len(i):
                     k = np.unique(np.concatenate([i, j]))
-                    yield pd.DataFrame({"key": key, "bi": np.int32(bi), "bj": np.int32(bj), "node": [rows[x]["node"] for x in k], "part": part[k].astype(np.int32)})
+                    yield pd.DataFrame({"key": key, "bi": np.int32(bi), "bj": np.int32(bj), "node": [rows[x]["node"] for x in k], "part": np.array([rows[x]["part"] for x in k], np.int32)})
 
-    gather = lambda df, *cols: df.groupBy("key", "bi", "bj").agg(F.collect_list(F.struct(*cols)).alias("rows"))
-    wanted = cut_lineage(gather(_grouped(members), "node", "keys", "part").mapInPandas(needed, "key long, bi int, bj int, node string, part int"))
+    slim = ("node", "keys", "crowds", "complete")
+    wanted = cut_lineage(gather(groups.select("node", "key", "part", "bi", "bj").join(nodes.select(*slim), "node"), *slim, "part").mapInPandas(needed, "key long, bi int, bj int, node string, part int"))
     chosen = wanted.select("node").distinct().join(nodes, "node")
 
     def to_sets(frame: pd.DataFrame) -> pd.DataFrame:
@@ -152,18 +194,17 @@ def similar_nodes(docs: DataFrame, sig: DataFrame, nodes: DataFrame, size: int,
         return out[[node_name(s) == x for s, x in zip(sets, frame["node"])]].drop(columns=["text"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(chosen, "rep")
-    sets = in_batches(texts.select("node", "copies", "keys", "text"), to_sets, "node string, copies long, keys array<long>, shingles binary", 500).dropDuplicates(["node"])
+    sets = in_batches(texts.select("node", "copies", "keys", "crowds", "complete", "text"), to_sets, "node string, copies long, keys array<long>, crowds array<long>, complete boolean, shingles binary", 500).dropDuplicates(["node"])
 
     def verify(frames):
         for frame in frames:
             for key, bi, bj, rows in zip(frame["key"], frame["bi"], frame["bj"], frame["rows"]):
-                keys, part = np.array([r["keys"] for r in rows]), np.array([r["part"] for r in rows])
-                i, j = _group_pairs(keys, key, part, bi, bj)
-                got = linked([r["node"] for r in rows], np.array([r["copies"] for r in rows], np.int64), [np.frombuffer(r["shingles"], "<u8") for r in rows], i, j, threshold)
+                i, j = group_pairs(rows, key, bi, bj)
+                got = linked([r["node"] for r in rows], np.array([r["copies"] for r in rows], np.int64), [np.frombuffer(r["shingles"], "<u8") for r in rows], i, j, threshold, depth, trees)
                 if got:
-                    yield pd.DataFrame(got, columns=["node", "links", "root"])
+                    yield pd.DataFrame(got, columns=["node", "links", "found", "missed", "root"])
 
-    return gather(wanted.join(sets, "node"), "node", "keys", "part", "copies", "shingles").mapInPandas(verify, "node string, links long, root string")
+    return gather(wanted.join(sets, "node"), "node", "keys", "crowds", "complete", "part", "copies", "shingles").mapInPandas(verify, "node string, links long, found long, missed double, root string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,32 +223,72 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def forest_links(docs: DataFrame, nodes: DataFrame, size: int, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
+    """node, links, found, missed, root over the whole forest; nodes: node, rep, copies, n, deep, keys.
+
+    Descent: crowded nodes (`CROWD` sets or more) of the full-depth tries are searched first. Each set's recall so far is then estimated from its
+    verified links: a link of similarity s stands for 1 / chance(s) links, and one more link at the threshold is supposed. Where the estimate
+    reaches `recall` the set is complete, which takes many close links; the prefixes of all others are shortened to the depth at which even
+    a pair at the threshold meets with probability `recall`. There a set meets every other one but pairs searched before and pairs of two complete sets."""
+    shortest = prefix_depth(threshold, trees, depth, recall)
+    # a set with fewer windows equals what it is similar to, and is in its node already
+    nodes = nodes.where(F.col("n") * (1 - threshold) >= threshold - 1e-9)
+    plain = nodes.select("*", F.lit(None).cast("array<long>").alias("crowds"), F.lit(False).alias("complete"))
+    if shortest == depth:
+        return cut_lineage(similar_nodes(docs, plain, _groups(nodes, "keys", 2), size, threshold, depth, trees))
+    crowded = cut_lineage(_groups(nodes, "deep", CROWD))
+    if crowded.isEmpty():
+        return cut_lineage(similar_nodes(docs, plain, _groups(nodes, "keys", 2), size, threshold, shortest, trees))
+    mine = crowded.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("tree", "key"))).alias("by_tree"))
+    crowds = cut_lineage(mine.select("node", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.col("by_tree")[t], F.lit(0).cast("long"))).alias("crowds")))
+    first = plain.drop("keys", "crowds").join(crowds.withColumnRenamed("crowds", "keys"), "node").withColumn("crowds", F.lit(None).cast("array<long>"))
+    found = cut_lineage(similar_nodes(docs, first, crowded, size, threshold, depth, trees))
+    per = found.groupBy("node").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed"))
+    unseen = 1 / chance(threshold, depth, trees) - 1
+    complete = per.select("node", ((F.col("missed") + unseen) <= (1 - recall) * (F.col("found") + F.col("missed") + unseen)).alias("complete"))
+    second = cut_lineage(plain.drop("crowds", "complete").join(crowds, "node", "left").join(complete, "node", "left").withColumn("complete", F.coalesce("complete", F.lit(False))))
+    return found.unionByName(cut_lineage(similar_nodes(docs, second, _groups(nodes, "keys", 2), size, threshold, shortest, trees)))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), n_links, n_shingles.
 
     Two documents are linked where the Jaccard index of their `size`-word windows is at least the threshold; classes are what
     links connect; n_links counts the documents linked to this one, copies too. Copies share one shingle set, which is
-    compared once. Every pair of different sets that meets in a trie is verified exactly, in groups of bounded size, and
-    no pair becomes a row. Texts with fewer words are one window; texts without words and rows with a null id have no
-    links, and class_id is their own id. Rows repeated with one id count as copies.
+    compared once. Every pair of different sets that meets in the forest (see `forest_links`) is verified exactly, in groups of bounded size,
+    and no pair becomes a row. Texts with fewer words are one window; texts without words and rows with a null id have no
+    links, and class_id is their own id. Rows repeated with one id count as copies. Ties don't matter: labels are least ids.
+    Columns other than doc_id and text, whatever their names, are not read; an empty table gives no rows.
     """
-    sig = cut_lineage(signatures(docs, size, trees, prefix_depth(threshold, trees, recall=recall)))
-    known = sig.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = cut_lineage(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    found = cut_lineage(similar_nodes(docs, sig, nodes, size, threshold))
-    label = components(found)
-    per = nodes.select("node", "rep", "copies").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sig, per = _labelled(docs, size, threshold, trees, depth, recall)
     least = per.groupBy("label").agg(F.min("rep").alias("class_id"))
     per = per.join(least, "label").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sig.join(per, "node", "left")
+    out = sig.select("doc_id", "node", "n").join(per, "node", "left")
     mine = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(mine, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(mine, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of each class the one with the least doc_id stays (once, if its row is repeated); null ids stay."""
-    found = near_duplicates(docs, **options)
-    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    names = docs.columns
-    once = docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+def _labelled(docs: DataFrame, size: int, threshold: float, trees: int, depth: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and for each shingle set its rep (least doc_id), copies, links and label (least set of its class)."""
+    sig = cut_lineage(signatures(docs, size, trees, depth, prefix_depth(threshold, trees, depth, recall)))
+    known = sig.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    nodes = cut_lineage(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("deep").alias("deep"), F.first("keys").alias("keys")))
+    found = forest_links(docs, nodes, size, threshold, trees, depth, recall)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    per = nodes.select("node", "rep", "copies").join(links, "node", "left").join(components(found), "node", "left")
+    return sig, per.withColumn("label", F.coalesce("label", "node"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """The documents without near duplicates: of each class the one with the least doc_id stays.
+
+    Different texts under one id are documents of their own, each judged by its own text. Of rows that agree in id and text one
+    stays, whichever's other columns. Texts without words have no duplicates but rows of the same id; rows with a null id all stay. Null texts are
+    empty; other columns stay as they are; an empty table gives none."""
+    sig, per = _labelled(docs, size, threshold, trees, depth, recall)
+    known = sig.where(F.col("doc_id").isNotNull()).join(per.select("node", "label"), "node", "left")
+    first = known.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("doc_id", "name")).alias("one")).select("one.*")
+    stay = first.unionByName(known.where(F.col("label").isNull()).select("doc_id", "name")).select(F.col("doc_id").alias("_llm_id"), F.col("name").alias("_llm_stays"))
+    named = docs.withColumn("_llm_name", text_name())
+    once = named.join(stay, (F.col("doc_id") == F.col("_llm_id")) & (F.col("_llm_name") == F.col("_llm_stays")), "left_semi").dropDuplicates(["doc_id", "_llm_name"])
+    return once.unionByName(named.where(F.col("doc_id").isNull())).select(*docs.columns)
