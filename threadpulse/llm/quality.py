@@ -7,15 +7,17 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, in_batches, text_of
+from .common import cut_lineage, in_batches, in_groups, text_of
 
 SYMBOLS = "#*$%&|<>"
 #: rules: a document whose measure is above the cutoff of its stratum is rejected
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share")
 GRID = 100
+#: levels of strictness: the share of good documents that a rule may reject where it is proposed
+LEVELS = (0.0, 0.0005, 0.001, 0.0015, 0.002, 0.003, 0.004, 0.005, 0.006, 0.008, 0.01, 0.0125, 0.015)
 MEASURES = ", ".join(f"{r} double" for r in RULES)
 
 
@@ -44,13 +46,17 @@ def text_stats(text: str) -> tuple:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the statistics of each document's whole text; a null text is empty."""
+    """doc_id, lang, name (a hash of the text) and the statistics of each document's whole text; a null text is empty."""
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame([text_stats(text_of(t)) for t in frame["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES])
-        return out.assign(doc_id=frame["doc_id"].astype("Int64"), lang=frame["lang"])
+        return out.assign(doc_id=frame["doc_id"], lang=frame["lang"], name=frame["name"])
 
-    return in_batches(docs.select("doc_id", "lang", "text"), f, f"doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, {MEASURES}")
+    return in_batches(docs.select("doc_id", "lang", "text", text_name().alias("name")), f, f"doc_id long, lang string, name long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, {MEASURES}")
+
+
+def text_name() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -64,56 +70,88 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def select_cutoffs(counts: DataFrame, alpha: float, delta: float, n_tests: int) -> DataFrame:
-    """The strictest cutoff of each (stratum, rule) whose false rejection rate is surely at most alpha.
+def least_good(alpha: float, delta: float) -> int:
+    """Good documents that a stratum needs before even no false rejection among them is proof enough."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
 
-    counts: stratum, rule, bin, good, bad (labelled documents whose measure falls in the bin). Cutoffs go from lax to
-    strict; each is tested at delta / n_tests (Bonferroni over strata and rules) and the first that fails ends the
-    series (fixed-sequence testing, which needs no further correction). A cutoff that rejects no bad document more
-    is not taken. No row where nothing passes.
-    """
+
+def propose_levels(counts: DataFrame, levels: tuple[float, ...] = LEVELS, lift: float = 4.0) -> DataFrame:
+    """stratum, rule, cuts: for each level of strictness the rule's cutoff (null: the rule rejects nothing), from the selection half.
+
+    counts: stratum, rule, bin, good, bad. At level q a rule rejects at most q of the good documents seen here, and only if it rejects `lift`
+    times as large a share of the bad ones; a stricter level keeps what laxer ones reject, so the levels are nested."""
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin", ascending=False)
-        n, false, best, risk, hit = int(frame["good"].sum()), 0, None, 0.0, 0
-        for b, good, bad in zip(frame["bin"], frame["good"], frame["bad"]):
-            false += int(good)
-            tail = binomial_tail(false, n, alpha) if n else 1.0
-            if tail > delta / n_tests:
-                break
-            if bad > 4 * good:
-                best, risk = int(b), tail
-            hit += int(bad)
+        good, bad = np.zeros(GRID + 2), np.zeros(GRID + 2)
+        np.add.at(good, frame["bin"].to_numpy(int), frame["good"].to_numpy(float))
+        np.add.at(bad, frame["bin"].to_numpy(int), frame["bad"].to_numpy(float))
+        over_good, over_bad = (x.sum() - np.cumsum(x) for x in (good, bad))  # documents above each bin
+        n, m, best, cuts = good.sum(), bad.sum(), None, []
+        for q in levels:
+            b = int(np.argmax(over_good <= q * n))
+            if n and m and over_bad[b] / m > lift * over_good[b] / n and (best is None or b < best):
+                best = b
+            cuts.append(best)
         key = frame.iloc[0]
-        rows = [] if best is None else [(key["stratum"], key["rule"], (best - 1) / GRID, n, risk)]
-        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "p_value"])
+        return pd.DataFrame({"stratum": [key["stratum"]], "rule": [key["rule"]], "cuts": [cuts]})
+
+    return in_groups(counts.groupBy("stratum", "rule"), f, "stratum string, rule string, cuts array<int>")
+
 
-    return counts.groupBy("stratum", "rule").applyInPandas(f, "stratum string, rule string, cutoff double, n_good long, p_value double")
+def test_levels(counts: DataFrame, alpha: float, delta: float, n_levels: int) -> DataFrame:
+    """stratum, level, n_good, p_value: the strictest level whose joint verdict surely rejects at most alpha of the stratum's good documents.
 
+    counts: stratum, first, good: good documents of the holdout by the first level that rejects them by any rule (n_levels: none does).
+    Levels go from lax to strict, each tested at delta, and the first that fails ends the series: fixed-sequence testing, which needs no
+    further correction within the stratum. No row where none passes."""
+
+    def f(frame: pd.DataFrame) -> pd.DataFrame:
+        good = np.zeros(n_levels + 1, int)
+        np.add.at(good, frame["first"].to_numpy(int), frame["good"].to_numpy(int))
+        n, rows = int(good.sum()), []
+        for level, false in enumerate(np.cumsum(good[:-1]).tolist()):
+            p = binomial_tail(false, n, alpha) if n else 1.0
+            if p > delta:
+                break
+            rows = [(frame["stratum"].iloc[0], level, n, p)]
+        return pd.DataFrame(rows, columns=["stratum", "level", "n_good", "p_value"])
+
+    return in_groups(counts.groupBy("stratum"), f, "stratum string, level int, n_good long, p_value double")
 
-def judge(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_strata: int = 64) -> DataFrame:
-    """stats with base_failed and kept.
 
-    Strata are languages: those with most labels have one each (at most `max_strata` - 1), all others and null share
-    one, so the table of cutoffs is bounded by max_strata x rules and may be broadcast. Labels that are null or of unknown
-    documents are not used; of a document labelled twice the worst counts. Without labels only the base rules decide.
+def judge(stats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """stats with base_failed and kept, the stratum, its cutoffs (cut_...), n_good and p_value.
+
+    Labelled documents are parted by a hash of their text: one half proposes nested levels of strictness, the other, the holdout, tests the joint
+    verdict of all rules at each level. Of equal texts only one counts, as copies are no trials of their own. Strata are languages: each with
+    enough labels for the test has its own, all others (and null) share one. The error delta is dealt over strata (Bonferroni). Labels
+    that are null or of unknown documents are not used; of a text labelled twice the worst counts. Without labels only the base rules decide.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    lab = stats.where(F.col("doc_id").isNotNull()).join(marked, "doc_id").where(~base_failed())
-    size = lab.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count()
-    own = cut_lineage(size.orderBy(F.desc("count"), "lang").limit(max_strata - 1).select("lang", F.concat(F.lit("="), "lang").alias("stratum")))
-    n_tests = (own.count() + 1) * len(RULES)
-    with_stratum = lambda df: df.withColumn("_l", F.coalesce("lang", F.lit(""))).join(F.broadcast(own.withColumnRenamed("lang", "_l")), "_l", "left").withColumn("stratum", F.coalesce("stratum", F.lit("others"))).drop("_l")
-    long = with_stratum(lab).select("stratum", "_quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.ceil(F.col(r) * GRID), F.lit(GRID)).cast("int").alias("bin")) for r in RULES])).alias("x"))
+    lab = stats.where(F.col("doc_id").isNotNull() & ~base_failed()).join(marked, "doc_id")
+    lab = lab.groupBy("name", F.coalesce("lang", F.lit("")).alias("_l")).agg(F.min("_quality").alias("_quality"), *[F.first(r).alias(r) for r in RULES])
+    lab = cut_lineage(lab.withColumn("holdout", F.pmod(F.xxhash64("name", F.lit(7)), F.lit(2)) == 1))
+    size = lab.where("holdout and _quality = 1").groupBy("_l").count()
+    # a language that can prove anything when the error is dealt over at most this many strata
+    strata = size.where(F.col("count") >= least_good(alpha, delta)).count() + 1
+    own = cut_lineage(size.where(F.col("count") >= least_good(alpha, delta / strata)).select("_l", F.concat(F.lit("="), "_l").alias("stratum")))
+    with_stratum = lambda df: df.join(own, "_l", "left").withColumn("stratum", F.coalesce("stratum", F.lit("others")))
+    lab = with_stratum(lab)
+    bins = [F.least(F.ceil(F.col(r) * GRID), F.lit(GRID)).cast("int").alias("bin") for r in RULES]
+    long = lab.where("not holdout").select("stratum", "_quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b) for r, b in zip(RULES, bins)])).alias("x"))
     counts = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.bin").alias("bin")).agg(F.count_if(F.col("_quality") == 1).alias("good"), F.count_if(F.col("_quality") == 0).alias("bad"))
-    cut = cut_lineage(select_cutoffs(counts, alpha, delta, n_tests))
-    wide = cut.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    over = [F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES]
-    rejected = over[0]
-    for x in over[1:]:
-        rejected = rejected | x
+    levels = cut_lineage(propose_levels(counts).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cuts"))).alias(f"cuts_{r}") for r in RULES]))
+    spared = lambda r: F.size(F.filter(F.coalesce(f"cuts_{r}", F.array_repeat(F.lit(None).cast("int"), len(LEVELS))), lambda c: c.isNull() | (F.least(F.ceil(F.col(r) * GRID), F.lit(GRID)) <= c)))
+    first = lab.where("holdout and _quality = 1").join(levels, "stratum").select("stratum", F.least(*[spared(r) for r in RULES]).alias("first"))
+    chosen = test_levels(first.groupBy("stratum", "first").agg(F.count(F.lit(1)).alias("good")), alpha, delta / strata, len(LEVELS))
+    cut = [(F.col(f"cuts_{r}")[F.col("level")] / float(GRID)).alias(f"cut_{r}") for r in RULES]
+    wide = cut_lineage(chosen.join(levels, "stratum").select("stratum", "level", "n_good", "p_value", *cut))
+    rejected = F.lit(False)
+    for r in RULES:
+        rejected = rejected | F.coalesce(F.ceil(F.col(r) * GRID) / float(GRID) > F.col(f"cut_{r}"), F.lit(False))
     failed = base_failed()
-    return with_stratum(stats).join(F.broadcast(wide), "stratum", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected)
+    judged = with_stratum(stats.withColumn("_l", F.coalesce("lang", F.lit("")))).drop("_l").join(wide, "stratum", "left")
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected)
 
 
 def base_failed():
@@ -123,19 +161,17 @@ def base_failed():
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row per document: doc_id, its counts, base_failed, kept, the measures and cutoffs.
 
-    kept is false where a measure is above the cutoff that labelled documents of its stratum allow: at confidence
-    1 - delta over all strata and rules, no rule rejects more than alpha of a stratum's good documents. Null text is
-    empty (and fails the base rules); repeated rows each give a row; extra columns are not read.
+    kept is false where the base rules fail or a measure is above the cutoff that labelled documents of its stratum allow: at confidence
+    1 - delta over all strata together, the rules between them reject at most alpha of a stratum's good documents. Null text is
+    empty (and fails the base rules); texts of any length are measured whole; repeated rows each give a row and equal texts of one
+    language one verdict; a measure equal to its cutoff passes; other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    stats = cut_lineage(measure(docs))
-    return judge(stats, labels, alpha, delta)
+    return judge(cut_lineage(measure(docs)), labels, alpha, delta).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES, "stratum", "level", "n_good", "p_value", *[f"cut_{r}" for r in RULES])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, with their columns as they were. Null ids are judged by the base rules alone."""
-    verdict = quality_rules(docs, labels, alpha, delta).groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"))
-    names = docs.columns
-    return docs.alias("d").join(verdict.where("_kept").select(F.col("doc_id").alias("_id")), F.col("d.doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*names)
-
-
-
+    """The documents that pass, with their columns as they were; each row is judged by its own text and language, also where ids repeat or are null."""
+    verdict = judge(cut_lineage(measure(docs)), labels, alpha, delta).where("kept")
+    kept = verdict.select(F.col("doc_id").alias("_llm_id"), F.col("lang").alias("_llm_lang"), F.col("name").alias("_llm_kept")).distinct()
+    same = (F.col("_llm_name") == F.col("_llm_kept")) & F.col("doc_id").eqNullSafe(F.col("_llm_id")) & F.col("lang").eqNullSafe(F.col("_llm_lang"))
+    return docs.withColumn("_llm_name", text_name()).join(kept, same, "left_semi").select(*docs.columns)
