@@ -64,7 +64,7 @@ def _pivot(state: Column, x: Column) -> Column:
 def pivotal_round(docs: DataFrame, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
     """docs (key, grp, size, p in [0, 1), other columns) with p rounded to 0 or 1; sums of size x p stay within one document's size in a group.
 
-    A tree: in each group, about `fan_in` documents meet by hash, all but one become integral, and the open ones meet
+    Keys tell all rows apart. A tree: in each group, about `fan_in` documents meet by hash, all but one become integral, and the open ones meet
     again, until a group has one open document, which is rounded by its own chance. Each level is written to the shared
     folder. Levels grow with the logarithm of the largest group.
     """
@@ -98,17 +98,29 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed:
 
     size counts words of the whole text (null: 0); copies is 0, 1 or 2, taken = copies x size; a document of size 0 is
     taken by its source's rate rounded down. A source's taken words differ from its target by at most its largest document. Null
-    sources are one source; repeated rows are documents of their own. The draw depends on ids, sizes and the seed only.
+    sources are one source; null ids stay null; repeated rows are documents of their own, rounded among themselves first, so that any number
+    of them is one row in the tree. The draw depends on ids, sources, texts and the seed only, ties included. Other columns, whatever their
+    names, are not read; an empty table gives no rows.
     """
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("key")))
-    targets = cut_lineage(source_targets(sized, share, most))
+    alike = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("key")).groupBy("doc_id", "source", "size", "key")
+    sized = cut_lineage(alike.agg(F.count(F.lit(1)).alias("rows")))
+    targets = cut_lineage(source_targets(sized.select("source", (F.col("size") * F.col("rows")).alias("size")), share, most))
     both = sized.alias("d").join(targets.withColumnRenamed("source", "_source"), F.col("d.source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + 1e-9)
     part = F.greatest(rate - whole, F.lit(0.0))
-    ready = both.select("doc_id", "size", "source_size", "target", "key", F.col("source").alias("grp"), whole.cast("long").alias("whole"), F.when(part < 1e-9, 0.0).otherwise(part).alias("p"))
-    copies = F.col("whole") + F.col("p").cast("long")
-    return pivotal_round(ready, seed).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "key")
+    # rows that are alike are rounded among themselves first: so many are taken whole, and one stays open for what is left
+    of_all = F.when(part < 1e-9, 0.0).otherwise(part) * F.col("rows")
+    taken = F.floor(of_all + 1e-9)
+    open_ = F.greatest(of_all - taken, F.lit(0.0))
+    ready = both.select("doc_id", "size", "source_size", "target", "key", "rows", F.col("source").alias("grp"), whole.cast("long").alias("whole"), F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("more"), F.when(open_ < 1e-9, 0.0).otherwise(open_).alias("p"))
+    rounded = pivotal_round(ready, seed)
+    # each of the rows again; a long series is made in two steps, so that no array holds it whole
+    step = 10_000
+    blocks = rounded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("rows") - 1).cast("long"), F.lit(step).cast("long"))))
+    each = blocks.withColumn("nth", F.explode(F.sequence(F.col("block") + 1, F.least(F.col("block") + step, F.col("rows")))))
+    copies = F.col("whole") + (F.col("nth") <= F.col("more") + F.col("p").cast("long")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "key")
 
 
 def row_key() -> Column:
