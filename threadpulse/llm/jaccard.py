@@ -33,10 +33,10 @@ def shingle_set(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarra
     return np.unique(shingle_hashes(words, min(size, len(words)))) if len(words) else words
 
 
-def node_name(s: np.ndarray) -> str:
+def node_name(s: np.ndarray) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_128_hexdigest(s.astype("<u8").tobytes())
+    return xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
 
 
 def text_name() -> Column:
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, trees: int = TREES, depth:
                     deep[full, t] = path
         return pd.DataFrame({"doc_id": frame["doc_id"], "name": frame["name"], "node": [node_name(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "deep": list(deep.view(np.int64)), "keys": list(keys.view(np.int64))})
 
-    return in_batches(docs.select("doc_id", "text", text_name().alias("name")), f, "doc_id long, name long, node string, n long, deep array<long>, keys array<long>", 1000)
+    return in_batches(docs.select("doc_id", "text", text_name().alias("name")), f, "doc_id long, name long, node binary, n long, deep array<long>, keys array<long>", 1000)
 
 
 def key_matrix(rows: list, column: str) -> np.ndarray:
@@ -131,7 +131,7 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total[i, j].astype(np.int64)
 
 
-def linked(nodes: list[str], copies: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float, depth: int, trees: int) -> list[tuple[str, int, int, float, str]]:
+def linked(nodes: list[bytes], copies: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float, depth: int, trees: int) -> list[tuple[bytes, int, int, float, bytes]]:
     """(node, documents linked to it, sets linked to it, links expected to be missed at this depth, least node of its part) for nodes with a verified link in this group."""
     n = np.array([len(s) for s in sets], np.int64)
     both = _intersections(sets, i, j)
@@ -153,13 +153,17 @@ def linked(nodes: list[str], copies: np.ndarray, sets: list[np.ndarray], i: np.n
     return [(nodes[k], int(degree[k]), int(times[k]), float(missed[k]), names[root[k]]) for k in np.flatnonzero(times > 0)]
 
 
-def _groups(nodes: DataFrame, column: str, least: int) -> DataFrame:
-    """node, tree, key, part, bi, bj: the trie nodes of `column` with `least` sets or more, dealt into groups of bounded size; the blocks of a large one meet two by two."""
-    members = nodes.select("node", "n", F.posexplode(column).alias("tree", "key"))
+def _shared(members: DataFrame, least: int) -> DataFrame:
+    """node, tree, key, m, blocks: members (node, n, tree, key) of the trie nodes that hold `least` sets or more."""
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where(F.col("m") >= least)
-    size = size.select("key", F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int").alias("blocks"))
-    # the join's skewed keys are split at run time, as nothing later needs its partitioning
-    dealt = members.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    size = size.select("key", "m", F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int").alias("blocks"))
+    # a skewed key of this join is split at run time, as nothing later needs its partitioning
+    return members.join(size, "key").select("node", "n", "tree", "key", "m", "blocks")
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """node, tree, key, part, bi, bj: trie nodes dealt into groups of bounded size; the blocks of a large one meet two by two."""
+    dealt = shared.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("other", other).select("node", "tree", "key", "part", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"))
 
@@ -184,7 +188,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: in
                     yield pd.DataFrame({"key": key, "bi": np.int32(bi), "bj": np.int32(bj), "node": [rows[x]["node"] for x in k], "part": np.array([rows[x]["part"] for x in k], np.int32)})
 
     slim = ("node", "keys", "crowds", "complete")
-    wanted = cut_lineage(gather(groups.select("node", "key", "part", "bi", "bj").join(nodes.select(*slim), "node"), *slim, "part").mapInPandas(needed, "key long, bi int, bj int, node string, part int"))
+    wanted = cut_lineage(gather(groups.select("node", "key", "part", "bi", "bj").join(nodes.select(*slim), "node"), *slim, "part").mapInPandas(needed, "key long, bi int, bj int, node binary, part int"))
     chosen = wanted.select("node").distinct().join(nodes, "node")
 
     def to_sets(frame: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +198,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: in
         return out[[node_name(s) == x for s, x in zip(sets, frame["node"])]].drop(columns=["text"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(chosen, "rep")
-    sets = in_batches(texts.select("node", "copies", "keys", "crowds", "complete", "text"), to_sets, "node string, copies long, keys array<long>, crowds array<long>, complete boolean, shingles binary", 500).dropDuplicates(["node"])
+    sets = in_batches(texts.select("node", "copies", "keys", "crowds", "complete", "text"), to_sets, "node binary, copies long, keys array<long>, crowds array<long>, complete boolean, shingles binary", 500).dropDuplicates(["node"])
 
     def verify(frames):
         for frame in frames:
@@ -204,7 +208,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: in
                 if got:
                     yield pd.DataFrame(got, columns=["node", "links", "found", "missed", "root"])
 
-    return gather(wanted.join(sets, "node"), "node", "keys", "crowds", "complete", "part", "copies", "shingles").mapInPandas(verify, "node string, links long, found long, missed double, root string")
+    return gather(wanted.join(sets, "node"), "node", "keys", "crowds", "complete", "part", "copies", "shingles").mapInPandas(verify, "node binary, links long, found long, missed double, root binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,21 +237,25 @@ def forest_links(docs: DataFrame, nodes: DataFrame, size: int, threshold: float,
     shortest = prefix_depth(threshold, trees, depth, recall)
     # a set with fewer windows equals what it is similar to, and is in its node already
     nodes = nodes.where(F.col("n") * (1 - threshold) >= threshold - 1e-9)
-    plain = nodes.select("*", F.lit(None).cast("array<long>").alias("crowds"), F.lit(False).alias("complete"))
-    if shortest == depth:
-        return cut_lineage(similar_nodes(docs, plain, _groups(nodes, "keys", 2), size, threshold, depth, trees))
-    crowded = cut_lineage(_groups(nodes, "deep", CROWD))
+    plain = nodes.drop("deep").select("*", F.lit(None).cast("array<long>").alias("crowds"), F.lit(False).alias("complete"))
+    shared = cut_lineage(_shared(nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("tree", "key")).withColumn("tree", F.col("tree").cast("byte")), 2))
+    last = lambda some: cut_lineage(similar_nodes(docs, some, _groups(shared), size, threshold, shortest, trees))
+    # only below a crowded node can there be another
+    crowded = shared.where(F.col("m") >= CROWD)
+    if shortest == depth or crowded.isEmpty():
+        return last(plain)
+    crowded = cut_lineage(_shared(crowded.join(nodes.select("node", "deep"), "node").select("node", "n", "tree", F.col("deep")[F.col("tree").cast("int")].alias("key")), CROWD))
     if crowded.isEmpty():
-        return cut_lineage(similar_nodes(docs, plain, _groups(nodes, "keys", 2), size, threshold, shortest, trees))
+        return last(plain)
     mine = crowded.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("tree", "key"))).alias("by_tree"))
-    crowds = cut_lineage(mine.select("node", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.col("by_tree")[t], F.lit(0).cast("long"))).alias("crowds")))
+    crowds = cut_lineage(mine.select("node", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.col("by_tree")[t.cast("byte")], F.lit(0).cast("long"))).alias("crowds")))
     first = plain.drop("keys", "crowds").join(crowds.withColumnRenamed("crowds", "keys"), "node").withColumn("crowds", F.lit(None).cast("array<long>"))
-    found = cut_lineage(similar_nodes(docs, first, crowded, size, threshold, depth, trees))
+    found = cut_lineage(similar_nodes(docs, first, _groups(crowded), size, threshold, depth, trees))
     per = found.groupBy("node").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed"))
     unseen = 1 / chance(threshold, depth, trees) - 1
     complete = per.select("node", ((F.col("missed") + unseen) <= (1 - recall) * (F.col("found") + F.col("missed") + unseen)).alias("complete"))
     second = cut_lineage(plain.drop("crowds", "complete").join(crowds, "node", "left").join(complete, "node", "left").withColumn("complete", F.coalesce("complete", F.lit(False))))
-    return found.unionByName(cut_lineage(similar_nodes(docs, second, _groups(nodes, "keys", 2), size, threshold, shortest, trees)))
+    return found.unionByName(last(second))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
