@@ -325,8 +325,8 @@ def test_links():
     """Up to 8 occurrences each pair of different documents is linked; of more, each document is linked with the first and a neighbour."""
     h, doc, at = np.array([7] * 5 + [9], np.uint32), np.array([3, 1, 2, 2, 1, 4]), np.array([0, 5, 6, 9, 8, 1], np.int32)
     brute = {(b, a, x, y) for b, x in zip(doc[:5], at[:5]) for a, y in zip(doc[:5], at[:5]) if b > a}
-    assert set(zip(*chaining.links(h, doc, at))) == brute
-    b, a, _, _ = chaining.links(np.full(40, 7, np.uint32), np.repeat(np.arange(20), 2), np.tile(np.array([0, 4], np.int32), 20))
+    assert set(zip(*chaining.links(h, np.zeros(6, np.uint16), doc, at))) == brute
+    b, a, _, _ = chaining.links(np.full(40, 7, np.uint32), np.zeros(40, np.uint16), np.repeat(np.arange(20), 2), np.tile(np.array([0, 4], np.int32), 20))
     assert {(i, 0) for i in range(1, 20)} | {(i + 1, i) for i in range(19)} <= set(zip(b, a)) and (b > a).all()
 
 
