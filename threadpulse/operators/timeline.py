@@ -10,6 +10,8 @@ from ..functions.states import THRESHOLDS, activity_state, safe_ratio
 #: Thresholds without any data, floors, and the least samples of a community
 DEFAULTS = {"alive_upvotes": 20.0, "alive_comments": 2.0, "surging_upvotes": 100.0, "surging_comments": 10.0, "dead_upvotes": 5.0, "dead_comments": 0.5}
 ALIVE_FLOOR, DEAD_FLOOR = {"upvotes": 1.0, "comments": 0.25}, {"upvotes": 0.1, "comments": 0.05}
+#: what tells posts apart
+POST = ("community", "post_id")
 LEAST = {"rows": 30, "upvotes": 15, "comments": 10}
 
 
@@ -70,7 +72,7 @@ def with_states(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     own = thresholds.where("community IS NOT NULL").select("community", *THRESHOLDS)
     g = thresholds.where("community IS NULL").select(*[F.col(k).alias(f"g_{k}") for k in THRESHOLDS])
     if "age_minutes" not in rows.columns:
-        rows = rows.withColumn("age_minutes", (F.col("hours") - F.min("hours").over(Window.partitionBy("post_id"))) * 60)
+        rows = rows.withColumn("age_minutes", (F.col("hours") - F.min("hours").over(Window.partitionBy(*POST))) * 60)
     both = rows.join(own, "community", "left").crossJoin(F.broadcast(g))
     return both.select(*rows.columns, *[F.coalesce(k, f"g_{k}").alias(k) for k in THRESHOLDS]).withColumn("state", activity_state())
 
@@ -94,14 +96,14 @@ def lifecycles(rows: DataFrame) -> DataFrame:
 
 def sequence_features(rows: DataFrame) -> DataFrame:
     """Position, progress, lags, accelerations and ratios of each snapshot within its post's sequence."""
-    p = Window.partitionBy("post_id")
+    p = Window.partitionBy(*POST)
     o = p.orderBy("hours", "snapshot_no")
     prior = o.rowsBetween(Window.unboundedPreceding, -1)
     v, before = F.col("upvote_velocity"), F.lag("upvote_velocity").over(o)
     gap = F.col("hours") - F.lag("hours").over(o)
     pos, n = F.row_number().over(o), F.count(F.lit(1)).over(p)
     return rows.select(
-        "post_id", "snapshot_no", pos.alias("position"), (n - pos).alias("remaining"), (pos / n).alias("progress"), (F.col("hours") - F.min("hours").over(p)).alias("hours_since_first"), (F.max("hours").over(p) - F.col("hours")).alias("hours_until_last"),
+        *POST, "snapshot_no", pos.alias("position"), (n - pos).alias("remaining"), (pos / n).alias("progress"), (F.col("hours") - F.min("hours").over(p)).alias("hours_since_first"), (F.max("hours").over(p) - F.col("hours")).alias("hours_until_last"),
         before.alias("previous_velocity"), (v - before).alias("velocity_change"), F.when(gap > 0, (v - before) / gap).alias("acceleration"), safe_ratio(v, before).alias("ratio_to_previous"),
         safe_ratio(v, F.max("upvote_velocity").over(prior)).alias("ratio_to_prior_peak"), safe_ratio(v, F.avg("upvote_velocity").over(o.rowsBetween(-2, -1))).alias("ratio_to_mean_2"),
     )
@@ -134,27 +136,54 @@ def next_labels(rows: DataFrame) -> DataFrame:
 
 
 def variance_collapse(rows: DataFrame, value: str = "upvote_velocity", window: int = 4, high: float = 15.0, low: float = 8.0, mean: float = 40.0) -> DataFrame:
-    """post_id, n, collapse_index: the first place where the sample deviation of the `window` values before is above `high`, that of the `window` from it
+    """community, post_id, n, collapse_index: the first place where the sample deviation of the `window` values before is above `high`, that of the `window` from it
     on below `low`, their mean below `mean` and the last not above the first. Zeros beside a value over 10 are collection gaps and left out first."""
-    o = Window.partitionBy("post_id").orderBy("hours", "snapshot_no")
+    o = Window.partitionBy(*POST).orderBy("hours", "snapshot_no")
     v = F.coalesce(F.col(value), F.lit(0.0))
     kept = rows.withColumn("v", v).withColumn("_near", F.greatest(F.coalesce(F.lag("v").over(o), F.lit(0.0)), F.coalesce(F.lead("v").over(o), F.lit(0.0)))).where(~((F.col("v") == 0) & (F.col("_near") > 10)))
-    idx, n = F.row_number().over(o) - 1, F.count(F.lit(1)).over(Window.partitionBy("post_id"))
+    idx, n = F.row_number().over(o) - 1, F.count(F.lit(1)).over(Window.partitionBy(*POST))
     ahead = o.rowsBetween(0, window - 1)
-    seen = kept.select("post_id", idx.alias("i"), n.alias("n"), F.stddev_samp("v").over(o.rowsBetween(-window, -1)).alias("before"), F.stddev_samp("v").over(ahead).alias("after"), F.avg("v").over(ahead).alias("m"), F.last("v").over(ahead).alias("z"), F.col("v").alias("a"))
+    seen = kept.select(*POST, idx.alias("i"), n.alias("n"), F.stddev_samp("v").over(o.rowsBetween(-window, -1)).alias("before"), F.stddev_samp("v").over(ahead).alias("after"), F.avg("v").over(ahead).alias("m"), F.last("v").over(ahead).alias("z"), F.col("v").alias("a"))
     hit = (F.col("n") >= 2 * window + 1) & (F.col("i") >= window) & (F.col("i") < F.col("n") - window) & (F.col("before") > high) & (F.col("after") < low) & (F.col("m") < mean) & (F.col("z") <= F.col("a"))
-    return seen.groupBy("post_id").agg(F.max("n").alias("n"), F.min(F.when(hit, F.col("i"))).cast("int").alias("collapse_index"))
+    return seen.groupBy(*POST).agg(F.max("n").alias("n"), F.min(F.when(hit, F.col("i"))).cast("int").alias("collapse_index"))
 
 
-def pools(rows: DataFrame) -> DataFrame:
-    """Active, dormant or dropped pool of each post, from its last 3 state rows: dropped when quiet and dead, active with a revival signal or motion."""
-    back = rows.withColumn("_r", F.row_number().over(Window.partitionBy("post_id").orderBy(F.desc("hours"), F.desc("snapshot_no")))).where("_r <= 3")
+def pools(rows: DataFrame, least: int = 5, old_hours: float = 24.0) -> DataFrame:
+    """Active, dormant or dropped pool of each post, from its state rows (written once by the caller; they are read twice).
+
+    Active with fewer than `least` snapshots, with a revival signal (of the last 3 of at least 4 snapshots two fast ones, or one in a `rising` listing where
+    there is a listing column) or before its variance collapses; then dropped where the last 3 are quiet and dead and the post is `old_hours` old, else dormant."""
+    o = Window.partitionBy(*POST)
+    back = rows.withColumn("_r", F.row_number().over(o.orderBy(F.desc("hours"), F.desc("snapshot_no")))).withColumn("_n", F.count(F.lit(1)).over(o)).where("_r <= 3")
     v, c = F.coalesce("upvote_velocity", F.lit(0.0)), F.coalesce("comment_velocity", F.lit(0.0))
-    per = back.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"), F.max(v).alias("max_v"), F.max(c).alias("max_c"), F.count_if(F.col("state").isin("dead", "dying")).alias("n_dead"), F.count_if(v > 20).alias("v_spikes"), F.count_if(c > 5).alias("c_spikes"), F.min_by("state", "_r").alias("state"))
-    dead = (F.col("n") >= 3) & (F.col("max_v") <= 2) & (F.col("max_c") <= 1) & (F.col("n_dead") >= 2)
-    revival = (F.col("v_spikes") >= 2) | (F.col("c_spikes") >= 2)
-    pool = F.when(revival, "active").when(dead, "dropped").when(F.col("state").isin("surging", "alive", "emerging"), "active").otherwise("dormant")
-    return per.select("post_id", "state", pool.alias("pool"), revival.alias("revival"), dead.alias("confirmed_dead"))
+    rising = F.count_if(F.col("listing") == "rising") if "listing" in rows.columns else F.lit(0)
+    per = back.groupBy(*POST).agg(
+        F.max("_n").alias("n"), F.max(v).alias("max_v"), F.max(c).alias("max_c"), F.count_if(F.col("state").isin("dead", "dying")).alias("n_dead"), F.count_if(v > 20).alias("v_spikes"), F.count_if(c > 5).alias("c_spikes"), rising.alias("n_rising"),
+        F.min_by("state", "_r").alias("state"), (F.min_by("age_minutes", "_r") / 60).alias("age_hours"),
+    )
+    both = per.join(variance_collapse(rows).select(*POST, "collapse_index"), list(POST), "left")
+    dead = (F.col("n") >= 3) & (F.col("max_v") <= 5) & (F.col("max_c") <= 0.5) & (F.col("n_dead") >= 2)
+    revival = (F.col("n") >= 4) & ((F.col("v_spikes") >= 2) | (F.col("c_spikes") >= 2) | (F.col("n_rising") >= 1))
+    pool = F.when((F.col("n") < least) | revival | F.col("collapse_index").isNull(), "active").when(dead & (F.coalesce("age_hours", F.lit(0.0)) >= old_hours), "dropped").otherwise("dormant")
+    return both.select(*POST, "state", pool.alias("pool"), revival.alias("revival"), dead.alias("confirmed_dead"), "collapse_index")
+
+
+def pool_summary(of_posts: DataFrame) -> DataFrame:
+    """Per community: posts in each pool, all of them and the active ones' percentage."""
+    n = {p: F.count_if(F.col("pool") == p) for p in ("active", "dormant", "dropped")}
+    per = of_posts.groupBy("community").agg(*[c.alias(p) for p, c in n.items()], F.count(F.lit(1)).alias("total"))
+    return per.withColumn("pct_active", 100.0 * F.col("active") / F.col("total"))
+
+
+def gap_patch(rows: DataFrame, small: float = 3.0) -> DataFrame:
+    """rows with the velocity mended by the gap since the snapshot before, and flags: is_collection_gap (`small` hours or more: the velocity is the delta over
+    the gap), velocity_interpolated, is_fuzzing (the same count shown twice). In a small gap only a velocity of 0 of a post over 20 upvotes is mended."""
+    gap, delta, v = F.col("hours_since_previous"), F.col("upvote_delta"), F.coalesce("upvote_velocity", F.lit(0.0))
+    known, wide = F.coalesce(gap > 0, F.lit(False)), F.coalesce(gap >= small, F.lit(False))
+    still = known & ~wide & (v == 0) & F.coalesce(F.col("upvotes") > 20, F.lit(False))
+    mend = (still & F.coalesce(delta > 0, F.lit(False))) | (known & wide & delta.isNotNull())
+    flag = lambda c: c.cast("int")
+    return rows.withColumn("is_collection_gap", flag(known & wide)).withColumn("velocity_interpolated", flag(mend)).withColumn("is_fuzzing", flag(still & F.coalesce(delta == 0, F.lit(False)))).withColumn("patched_velocity", F.when(mend, F.round(delta / gap, 4)).otherwise(F.col("upvote_velocity")))
 
 
 def rolling_trend(series: DataFrame, key: str, order: str, value: str, length: int = 5) -> DataFrame:

@@ -53,3 +53,24 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINKS_SQL = r"""links AS (SELECT page_id AS post_id, url AS link, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS domain FROM pages)"""
+
+
+def comment_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a comment of its user's post in its 6-hour bucket."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        ((F.dayofmonth("ts") - 1) * 4 + F.floor(F.hour("ts") / 6)).cast("int").alias("snapshot_no"), F.col("user_id").alias("post_id"), (F.col("user_id") % 5).alias("community"), F.col("event_id").alias("comment_id"), F.col("event_type").alias("author"),
+        F.floor("value").cast("double").alias("upvotes"), (F.col("event_id") % 7).alias("replies"), (F.col("event_id") % 3 == 0).cast("int").alias("is_top_level"),
+    )
+
+
+COMMENT_SNAPSHOTS_SQL = """cs AS (SELECT CAST((day(ts) - 1) * 4 + floor(hour(ts) / 6.0) AS INT) AS snapshot_no, user_id AS post_id, user_id % 5 AS community, event_id AS comment_id, event_type AS author, CAST(floor(value) AS DOUBLE) AS upvotes, event_id % 7 AS replies, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS is_top_level FROM events)"""
+
+
+def placed(states: DataFrame) -> DataFrame:
+    """State rows with a listing, which changes every 8 snapshots, and the rank by upvotes within snapshot and community."""
+    listing = F.element_at(F.array(*map(F.lit, ("new", "hot", "rising", "top_day"))), ((F.col("post_id") + F.floor(F.col("snapshot_no") / 8)) % 4 + 1).cast("int"))
+    return states.withColumn("listing", listing).withColumn("rank", F.row_number().over(Window.partitionBy("community", "snapshot_no").orderBy(F.desc("upvotes"), "post_id")))
+
+
+PLACED_SQL = """pl AS (SELECT st.*, list_extract(['new', 'hot', 'rising', 'top_day'], CAST((post_id + snapshot_no // 8) % 4 AS INT) + 1) AS listing, row_number() OVER (PARTITION BY community, snapshot_no ORDER BY upvotes DESC, post_id) AS rank FROM st)"""

@@ -83,7 +83,7 @@ _MOVES = f"({_UP} > dead_upvotes OR {_CO} > dead_comments)"
 _FADES = f"(NOT {_MOVES} AND (({_UP} <= dead_upvotes * 0.35 AND {_CO} <= dead_comments * 0.35) OR NOT {_GROWS}))"
 STATES_SQL = (
     THRESHOLDS_SQL
-    + f""", aged AS (SELECT nb.*, (hours - min(hours) OVER (PARTITION BY post_id)) * 60 AS age_minutes FROM nb),
+    + f""", aged AS (SELECT nb.*, (hours - min(hours) OVER (PARTITION BY community, post_id)) * 60 AS age_minutes FROM nb),
 withth AS (SELECT a.*, {", ".join(f"coalesce(t.{k}, g.{k}) AS {k}" for k in _T)} FROM aged a LEFT JOIN th t ON t.community = a.community CROSS JOIN gth g),
 st AS (SELECT *, CASE WHEN hours_since_previous IS NULL THEN CASE WHEN age_minutes <= 60 THEN 'emerging' ELSE 'unknown' END WHEN {_CO} >= surging_comments OR {_UP} >= surging_upvotes THEN 'surging'
   WHEN {_CO} >= alive_comments OR {_UP} >= alive_upvotes OR ({_GROWS} AND {_MOVES}) THEN 'alive' WHEN age_minutes >= 2160 AND {_FADES} THEN 'dead' WHEN age_minutes >= 720 AND {_FADES} THEN 'dying'
@@ -138,11 +138,11 @@ def _(s, d):
 
 @query(
     "sequence_features",
-    f"""WITH {NEIGHBOURS_SQL} SELECT post_id, snapshot_no, row_number() OVER o AS position, count(*) OVER p - row_number() OVER o AS remaining, round(row_number() OVER o / count(*) OVER p, 6) AS progress,
+    f"""WITH {NEIGHBOURS_SQL} SELECT community, post_id, snapshot_no, row_number() OVER o AS position, count(*) OVER p - row_number() OVER o AS remaining, round(row_number() OVER o / count(*) OVER p, 6) AS progress,
   round(hours - min(hours) OVER p, 6) AS hours_since_first, round(lag(upvote_velocity) OVER o, 6) AS previous_velocity, round(upvote_velocity - lag(upvote_velocity) OVER o, 6) + 0.0 AS velocity_change,
-  round((upvote_velocity - lag(upvote_velocity) OVER o) / nullif(hours - lag(hours) OVER o, 0), 6) + 0.0 AS acceleration, round(upvote_velocity / nullif(max(upvote_velocity) OVER (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS ratio_to_prior_peak,
-  round(upvote_velocity / nullif(avg(upvote_velocity) OVER (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0), 6) AS ratio_to_mean_2
-  FROM nb WINDOW p AS (PARTITION BY post_id), o AS (PARTITION BY post_id ORDER BY hours, snapshot_no)""",
+  round((upvote_velocity - lag(upvote_velocity) OVER o) / nullif(hours - lag(hours) OVER o, 0), 6) + 0.0 AS acceleration, round(upvote_velocity / nullif(max(upvote_velocity) OVER (PARTITION BY community, post_id ORDER BY hours, snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS ratio_to_prior_peak,
+  round(upvote_velocity / nullif(avg(upvote_velocity) OVER (PARTITION BY community, post_id ORDER BY hours, snapshot_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0), 6) AS ratio_to_mean_2
+  FROM nb WINDOW p AS (PARTITION BY community, post_id), o AS (PARTITION BY community, post_id ORDER BY hours, snapshot_no)""",
 )
 def _(s, d):
     return rounded(timeline.sequence_features(neighbours(s, d)).drop("hours_until_last", "ratio_to_previous"))
@@ -177,25 +177,30 @@ def _(s, d):
     return rounded(timeline.next_labels(tables.materialize(states(s, d))))
 
 
-@query(
-    "variance_collapse",
-    f"""WITH {NEIGHBOURS_SQL}, v0 AS (SELECT post_id, hours, snapshot_no, coalesce(upvote_velocity, 0) AS v FROM nb), v1 AS (SELECT *, greatest(coalesce(lag(v) OVER o, 0), coalesce(lead(v) OVER o, 0)) AS near FROM v0 WINDOW o AS (PARTITION BY post_id ORDER BY hours, snapshot_no)),
-v2 AS (SELECT post_id, v, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY post_id) AS n, stddev_samp(v) OVER (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, stddev_samp(v) OVER a AS c, avg(v) OVER a AS m, last_value(v) OVER a AS z
-  FROM v1 WHERE NOT (v = 0 AND near > 10) WINDOW o AS (PARTITION BY post_id ORDER BY hours, snapshot_no), a AS (PARTITION BY post_id ORDER BY hours, snapshot_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
-SELECT post_id, max(n) AS n, CAST(min(CASE WHEN n >= 9 AND i >= 4 AND i < n - 4 AND b > 15 AND c < 8 AND m < 40 AND z <= v THEN i END) AS INT) AS collapse_index FROM v2 GROUP BY 1""",
-)
+COLLAPSE_SQL = f"""v0 AS (SELECT community, post_id, hours, snapshot_no, {_UP} AS v FROM st), v1 AS (SELECT *, greatest(coalesce(lag(v) OVER o, 0), coalesce(lead(v) OVER o, 0)) AS near FROM v0 WINDOW o AS (PARTITION BY community, post_id ORDER BY hours, snapshot_no)),
+v2 AS (SELECT community, post_id, v, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY community, post_id) AS n, stddev_samp(v) OVER (PARTITION BY community, post_id ORDER BY hours, snapshot_no ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, stddev_samp(v) OVER a AS c, avg(v) OVER a AS m, last_value(v) OVER a AS z
+  FROM v1 WHERE NOT (v = 0 AND near > 10) WINDOW o AS (PARTITION BY community, post_id ORDER BY hours, snapshot_no), a AS (PARTITION BY community, post_id ORDER BY hours, snapshot_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+vc AS (SELECT community, post_id, min(CASE WHEN n >= 9 AND i >= 4 AND i < n - 4 AND b > 15 AND c < 8 AND m < 40 AND z <= v THEN i END) AS collapse FROM v2 GROUP BY 1, 2)"""
+
+
+@query("variance_collapse", f"WITH {STATES_SQL}, {COLLAPSE_SQL}, nn AS (SELECT community, post_id, max(n) AS n FROM v2 GROUP BY 1, 2) SELECT nn.community, nn.post_id, nn.n, CAST(collapse AS INT) AS collapse_index FROM nn JOIN vc ON vc.community = nn.community AND vc.post_id = nn.post_id")
 def _(s, d):
     return timeline.variance_collapse(neighbours(s, d))
 
 
-@query(
-    "tracking_pools",
-    f"""WITH {STATES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY hours DESC, snapshot_no DESC) AS r FROM st), g AS (SELECT post_id, count(*) AS n, max({_UP}) AS mv, max({_CO}) AS mc, count(CASE WHEN state IN ('dead', 'dying') THEN 1 END) AS nd,
-  count(CASE WHEN {_UP} > 20 THEN 1 END) AS vs, count(CASE WHEN {_CO} > 5 THEN 1 END) AS cs, arg_min(state, r) AS state FROM b WHERE r <= 3 GROUP BY 1)
-SELECT post_id, state, CASE WHEN vs >= 2 OR cs >= 2 THEN 'active' WHEN n >= 3 AND mv <= 2 AND mc <= 1 AND nd >= 2 THEN 'dropped' WHEN state IN ('surging', 'alive', 'emerging') THEN 'active' ELSE 'dormant' END AS pool, vs >= 2 OR cs >= 2 AS revival, n >= 3 AND mv <= 2 AND mc <= 1 AND nd >= 2 AS confirmed_dead FROM g""",
-)
+POOLS_SQL = f"""{COLLAPSE_SQL}, pb AS (SELECT *, row_number() OVER (PARTITION BY community, post_id ORDER BY hours DESC, snapshot_no DESC) AS r, count(*) OVER (PARTITION BY community, post_id) AS n_all FROM st), pg AS (SELECT community, post_id, max(n_all) AS n, max({_UP}) AS mv, max({_CO}) AS mc, count(CASE WHEN state IN ('dead', 'dying') THEN 1 END) AS nd,
+  count(CASE WHEN {_UP} > 20 THEN 1 END) AS vs, count(CASE WHEN {_CO} > 5 THEN 1 END) AS cs, arg_min(state, r) AS state, arg_min(age_minutes, r) / 60 AS age FROM pb WHERE r <= 3 GROUP BY 1, 2),
+pools AS (SELECT pg.community, pg.post_id, state, collapse, n >= 4 AND (vs >= 2 OR cs >= 2) AS revival, n >= 3 AND mv <= 5 AND mc <= 0.5 AND nd >= 2 AS confirmed_dead, CASE WHEN n < 5 THEN 'active' WHEN vs >= 2 OR cs >= 2 THEN 'active' WHEN collapse IS NULL THEN 'active' WHEN mv <= 5 AND mc <= 0.5 AND nd >= 2 AND age >= 24 THEN 'dropped' ELSE 'dormant' END AS pool FROM pg LEFT JOIN vc ON vc.community = pg.community AND vc.post_id = pg.post_id)"""
+
+
+@query("tracking_pools", f"WITH {STATES_SQL}, {POOLS_SQL} SELECT community, post_id, state, pool, revival, confirmed_dead, CAST(collapse AS INT) AS collapse_index FROM pools")
+def _(s, d):
+    return timeline.pools(tables.materialize(states(s, d)))
+
+
+@query("pool_summary", f"WITH {STATES_SQL}, {POOLS_SQL} SELECT community, count(CASE WHEN pool = 'active' THEN 1 END) AS active, count(CASE WHEN pool = 'dormant' THEN 1 END) AS dormant, count(CASE WHEN pool = 'dropped' THEN 1 END) AS dropped, count(*) AS total, round(100.0 * count(CASE WHEN pool = 'active' THEN 1 END) / count(*), 6) AS pct_active FROM pools GROUP BY 1")
 def _(s, d):
-    return timeline.pools(states(s, d))
+    return rounded(timeline.pool_summary(timeline.pools(tables.materialize(states(s, d)))))
 
 
 @query(
@@ -241,7 +246,10 @@ def _(s, d):
     return groups.thread_depth(fx.comments(s, d))
 
 
-_CATEGORY = "CASE WHEN coalesce(link, '') = '' THEN 'self_post' WHEN coalesce(domain, '') = '' THEN 'external_unknown' " + " ".join(f"WHEN {' OR '.join(f'''ends_with(domain, '{e}')''' for e in ends)} THEN '{k}'" for k, ends in text.LINK_CLASSES.items()) + f" WHEN regexp_matches(domain, '{'|'.join(text.NEWS_MARKERS)}') THEN 'news_publisher' ELSE 'publisher_or_blog' END"
+_CATEGORY = r"""CASE WHEN coalesce(link, '') = '' THEN 'self_post' WHEN coalesce(domain, '') = '' THEN 'external_unknown' WHEN regexp_matches(domain, '(youtube\.com|youtu\.be|vimeo\.com|twitch\.tv)$') THEN 'video_platform'
+  WHEN regexp_matches(domain, '(reddit\.com|redd\.it|x\.com|twitter\.com|instagram\.com|tiktok\.com|facebook\.com)$') THEN 'social_platform' WHEN regexp_matches(domain, '(\.gov|\.gov\.uk|\.europa\.eu|senate\.gov|house\.gov|whitehouse\.gov)$') THEN 'government'
+  WHEN regexp_matches(domain, '(\.edu|arxiv\.org|nature\.com|science\.org|nih\.gov)$') THEN 'academic' WHEN regexp_matches(domain, '(github\.com|gitlab\.com|npmjs\.com|pypi\.org)$') THEN 'developer_platform'
+  WHEN regexp_matches(domain, 'news|times|post|journal|herald|guardian|cnn|bbc|reuters|apnews|bloomberg') THEN 'news_site' ELSE 'publisher_or_blog' END"""
 
 
 @query("domain_stats", f"WITH {LINKS_SQL} SELECT domain, {_CATEGORY} AS category, count(*) AS n_posts, count(DISTINCT link) AS n_links FROM links GROUP BY 1, 2")
@@ -260,7 +268,7 @@ _FLAGS = {
 }
 
 
-@query("title_flags", f"WITH {POSTS_SQL} SELECT post_id, {_KEY} AS title_key, CAST(CASE WHEN {_KEY} = '' THEN 0 ELSE len(string_split({_KEY}, ' ')) END AS INT) AS n_words, round(length(regexp_replace(title, '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(title, '[^A-Za-z]', '', 'g')), 0), 6) + 0.0 AS uppercase_ratio, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())} FROM posts")
+@query("title_flags", f"WITH {POSTS_SQL} SELECT post_id, {_KEY} AS title_key, CAST(CASE WHEN {_KEY} = '' THEN 0 ELSE len(string_split({_KEY}, ' ')) END AS INT) AS n_words, round(length(regexp_replace(title, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(title, '[^\\p{{L}}]', '', 'g')), 0), 6) + 0.0 AS uppercase_ratio, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())} FROM posts")
 def _(s, d):
     t = F.col("title")
     return rounded(fx.posts(s, d).select("post_id", text.title_key(t).alias("title_key"), text.word_count(text.title_key(t)).alias("n_words"), text.uppercase_ratio(t).alias("uppercase_ratio"), *[c.alias(k) for k, c in text.title_flags(t).items()]))
@@ -496,7 +504,7 @@ query(
     "hourly_counts",
     "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 )(lambda s, d: __import__("threadpulse.streaming.ingest", fromlist=["x"]).hourly_counts(fx.table(s, d, "events")).withColumn("total", F.round("total", 4)))
-query("infer_types", "SELECT * FROM (VALUES ('post_id', 'INTEGER'), ('community', 'TEXT'), ('upvotes', 'INTEGER'), ('share', 'REAL')) t(\"column\", inferred)")(lambda s, d: tables.infer_types(fx.posts(s, d).select("post_id", "community", "upvotes", (F.col("upvotes") / 7 + 0.5).cast("string").alias("share"))))
+query("infer_types", "WITH x AS (SELECT unnest(['post_id', 'community', 'upvotes', 'share']) AS c, unnest([CAST(doc_id AS VARCHAR), 's' || CAST(doc_id % 5 AS VARCHAR), CAST(n_chars AS VARCHAR), CAST(n_chars / 7 + 0.5 AS VARCHAR)]) AS v FROM documents), y AS (SELECT c, nullif(trim(v), '') AS v FROM x) SELECT c AS \"column\", CASE WHEN count(v) = 0 THEN 'TEXT' WHEN count(*) FILTER (v IS NOT NULL AND NOT regexp_full_match(v, '[+-]?[0-9]+')) = 0 THEN 'INTEGER' WHEN count(*) FILTER (v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) = 0 THEN 'REAL' ELSE 'TEXT' END AS inferred FROM y GROUP BY 1")(lambda s, d: tables.infer_types(fx.posts(s, d).select("post_id", "community", "upvotes", (F.col("upvotes") / 7 + 0.5).cast("string").alias("share"))))
 query("age_gap_buckets", f"WITH {NEIGHBOURS_SQL} SELECT CASE WHEN hours_since_previous IS NULL THEN 'missing' WHEN hours_since_previous < 0.75 THEN 'short' WHEN hours_since_previous <= 1.5 THEN 'regular' WHEN hours_since_previous <= 2.5 THEN 'wide' ELSE 'very_wide' END AS gap, CASE WHEN a < 60 THEN '0-1h' WHEN a < 180 THEN '1-3h' WHEN a < 360 THEN '3-6h' WHEN a < 720 THEN '6-12h' WHEN a < 1440 THEN '12-24h' WHEN a < 2880 THEN '24-48h' ELSE '48h+' END AS age, count(*) AS n FROM (SELECT *, (hours - min(hours) OVER (PARTITION BY post_id)) * 60 AS a FROM nb) GROUP BY 1, 2")(
     lambda s, d: states(s, d).groupBy(__import__("threadpulse.functions.states", fromlist=["x"]).gap_bucket(F.col("hours_since_previous")).alias("gap"), __import__("threadpulse.functions.states", fromlist=["x"]).age_bucket(F.col("age_minutes")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
 )
@@ -515,7 +523,7 @@ query("forest_emergence")(lambda s, d: rounded(models.forest_scores(growth_frame
 query("kmeans_text")(lambda s, d: models.text_clusters(with_words(s, d).select("post_id", "words"), "words").select("post_id", "cluster"))
 
 
-from . import learn, now  # noqa: E402, F401  (they add their queries to the above)
+from . import labels, learn, now, profiles, status  # noqa: E402, F401  (they add their queries to the above)
 
 
 def queries() -> dict[str, Query]:
