@@ -100,10 +100,10 @@ def group_pairs(rows: list, key: int, bi: int, bj: int) -> tuple[np.ndarray, np.
     i, j = _met_first(keys, key, left, right)
     if bi == bj:
         i, j = i[i < j], j[i < j]
-    if any(r["complete"] for r in rows):
+    if "complete" in rows[0] and any(r["complete"] for r in rows):
         complete = np.array([r["complete"] for r in rows], bool)
         i, j = i[~(complete[i] & complete[j])], j[~(complete[i] & complete[j])]
-    if any(r["crowds"] is not None for r in rows):
+    if "crowds" in rows[0] and any(r["crowds"] is not None for r in rows):
         none = [0] * keys.shape[1]
         crowds = key_matrix([{"crowds": none if r["crowds"] is None else r["crowds"]} for r in rows], "crowds")
         apart = np.ones(len(i), bool)
@@ -168,16 +168,13 @@ def _groups(shared: DataFrame) -> DataFrame:
     return dealt.withColumn("other", other).select("node", "tree", "key", "part", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"))
 
 
-def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, threshold: float, depth: int, trees: int) -> DataFrame:
-    """node, links, found, missed, root: verified links of shingle sets among the groups, one or more rows for each set that has any.
+def _gather(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows of each group in one list: dealt by the group and not by its key alone, so that the blocks of a large trie node go to many tasks."""
+    return df.repartition(partitions_for(df), "key", "bi", "bj").groupBy("key", "bi", "bj").agg(F.collect_list(F.struct(*cols)).alias("rows"))
 
-    nodes: node, rep, copies, keys, crowds, complete. Groups are gathered twice: first keys alone tell which sets have a pair to
-    verify there, then those sets' shingles follow."""
-    n_parts = partitions_for(docs)
 
-    def gather(df: DataFrame, *cols: str) -> DataFrame:
-        # by the group and not by its key alone, so that the blocks of a large trie node go to many tasks
-        return df.repartition(n_parts, "key", "bi", "bj").groupBy("key", "bi", "bj").agg(F.collect_list(F.struct(*cols)).alias("rows"))
+def wanted_nodes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, bi, bj, node, part: the sets that have a pair to verify in a group, told from keys alone. nodes: node, keys."""
 
     def needed(frames):
         for frame in frames:
@@ -187,9 +184,13 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: in
                     k = np.unique(np.concatenate([i, j]))
                     yield pd.DataFrame({"key": key, "bi": np.int32(bi), "bj": np.int32(bj), "node": [rows[x]["node"] for x in k], "part": np.array([rows[x]["part"] for x in k], np.int32)})
 
-    slim = ("node", "keys", "crowds", "complete")
-    wanted = cut_lineage(gather(groups.select("node", "key", "part", "bi", "bj").join(nodes.select(*slim), "node"), *slim, "part").mapInPandas(needed, "key long, bi int, bj int, node binary, part int"))
-    chosen = wanted.select("node").distinct().join(nodes, "node")
+    both = groups.select("node", "key", "part", "bi", "bj").join(nodes.select("node", "keys"), "node")
+    return cut_lineage(_gather(both, "node", "keys", "part").mapInPandas(needed, "key long, bi int, bj int, node binary, part int"))
+
+
+def shingles_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """node, copies, keys, shingles of the wanted sets, from the texts of their least documents. nodes: node, rep, copies, keys."""
+    chosen = wanted.select("node").distinct().join(nodes.select("node", "rep", "copies", "keys"), "node")
 
     def to_sets(frame: pd.DataFrame) -> pd.DataFrame:
         hashes = word_hashes()
@@ -198,7 +199,12 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: in
         return out[[node_name(s) == x for s, x in zip(sets, frame["node"])]].drop(columns=["text"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(chosen, "rep")
-    sets = in_batches(texts.select("node", "copies", "keys", "crowds", "complete", "text"), to_sets, "node binary, copies long, keys array<long>, crowds array<long>, complete boolean, shingles binary", 500).dropDuplicates(["node"])
+    return in_batches(texts.select("node", "copies", "keys", "text"), to_sets, "node binary, copies long, keys array<long>, shingles binary", 500).dropDuplicates(["node"])
+
+
+def verified_links(wanted: DataFrame, sets: DataFrame, threshold: float, depth: int, trees: int) -> DataFrame:
+    """node, links, found, missed, root: verified links among the wanted sets, one or more rows for each set that has any. sets may have crowds and complete (see `group_pairs`)."""
+    cols = ["node", "keys", "part", "copies", "shingles", *(c for c in ("crowds", "complete") if c in sets.columns)]
 
     def verify(frames):
         for frame in frames:
@@ -208,7 +214,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: in
                 if got:
                     yield pd.DataFrame(got, columns=["node", "links", "found", "missed", "root"])
 
-    return gather(wanted.join(sets, "node"), "node", "keys", "crowds", "complete", "part", "copies", "shingles").mapInPandas(verify, "node binary, links long, found long, missed double, root binary")
+    return cut_lineage(_gather(wanted.join(sets, "node"), *cols).mapInPandas(verify, "node binary, links long, found long, missed double, root binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,25 +243,26 @@ def forest_links(docs: DataFrame, nodes: DataFrame, size: int, threshold: float,
     shortest = prefix_depth(threshold, trees, depth, recall)
     # a set with fewer windows equals what it is similar to, and is in its node already
     nodes = nodes.where(F.col("n") * (1 - threshold) >= threshold - 1e-9)
-    plain = nodes.drop("deep").select("*", F.lit(None).cast("array<long>").alias("crowds"), F.lit(False).alias("complete"))
     shared = cut_lineage(_shared(nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("tree", "key")).withColumn("tree", F.col("tree").cast("byte")), 2))
-    last = lambda some: cut_lineage(similar_nodes(docs, some, _groups(shared), size, threshold, shortest, trees))
+    wanted = wanted_nodes(nodes, _groups(shared))
+    sets = shingles_of(docs, nodes, wanted, size)
     # only below a crowded node can there be another
     crowded = shared.where(F.col("m") >= CROWD)
     if shortest == depth or crowded.isEmpty():
-        return last(plain)
+        return verified_links(wanted, sets, threshold, shortest, trees)
     crowded = cut_lineage(_shared(crowded.join(nodes.select("node", "deep"), "node").select("node", "n", "tree", F.col("deep")[F.col("tree").cast("int")].alias("key")), CROWD))
     if crowded.isEmpty():
-        return last(plain)
+        return verified_links(wanted, sets, threshold, shortest, trees)
+    sets = cut_lineage(sets)
     mine = crowded.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("tree", "key"))).alias("by_tree"))
     crowds = cut_lineage(mine.select("node", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.col("by_tree")[t.cast("byte")], F.lit(0).cast("long"))).alias("crowds")))
-    first = plain.drop("keys", "crowds").join(crowds.withColumnRenamed("crowds", "keys"), "node").withColumn("crowds", F.lit(None).cast("array<long>"))
-    found = cut_lineage(similar_nodes(docs, first, _groups(crowded), size, threshold, depth, trees))
+    at_full = crowds.withColumnRenamed("crowds", "keys")
+    found = verified_links(wanted_nodes(at_full, _groups(crowded)), sets.drop("keys").join(at_full, "node"), threshold, depth, trees)
     per = found.groupBy("node").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed"))
     unseen = 1 / chance(threshold, depth, trees) - 1
     complete = per.select("node", ((F.col("missed") + unseen) <= (1 - recall) * (F.col("found") + F.col("missed") + unseen)).alias("complete"))
-    second = cut_lineage(plain.drop("crowds", "complete").join(crowds, "node", "left").join(complete, "node", "left").withColumn("complete", F.coalesce("complete", F.lit(False))))
-    return found.unionByName(last(second))
+    known = crowds.join(complete, "node", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    return found.unionByName(verified_links(wanted, sets.join(known, "node", "left").withColumn("complete", F.coalesce("complete", F.lit(False))), threshold, shortest, trees))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
