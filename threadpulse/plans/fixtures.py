@@ -26,14 +26,15 @@ SNAPSHOTS_SQL = """fx AS (SELECT snapshot_no, post_id, post_id % 5 AS community,
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     q, t = F.col("quality"), F.col("toxic")
+    # a title is the first line; the body is the whole text
     state = F.when((q == 1) & (t == 0), "surging").when(q == 1, "alive").when(t == 1, "dead").when(q == 0, "dying").otherwise("cooling")
     return d.join(lab, "doc_id", "left").select(
-        F.col("doc_id").alias("post_id"), F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")).alias("community"), F.substring("text", 1, 160).alias("title"), (F.col("doc_id") % 13).alias("day_no"),
+        F.col("doc_id").alias("post_id"), F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")).alias("community"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), (F.col("doc_id") % 13).alias("day_no"),
         (F.col("doc_id") % 24).alias("created_hour"), F.col("n_chars").alias("upvotes"), F.col("source").alias("author"), F.col("lang").alias("listing"), state.alias("state"),
     )
 
 
-POSTS_SQL = """posts AS (SELECT d.doc_id AS post_id, 's' || CAST(d.doc_id % 5 AS VARCHAR) AS community, substr(d.text, 1, 160) AS title, d.doc_id % 13 AS day_no, d.doc_id % 24 AS created_hour,
+POSTS_SQL = """posts AS (SELECT d.doc_id AS post_id, 's' || CAST(d.doc_id % 5 AS VARCHAR) AS community, split_part(d.text, chr(10), 1) AS title, d.text AS body, d.doc_id % 13 AS day_no, d.doc_id % 24 AS created_hour,
   d.n_chars AS upvotes, d.source AS author, d.lang AS listing, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'surging' WHEN l.quality = 1 THEN 'alive' WHEN l.toxic = 1 THEN 'dead'
   WHEN l.quality = 0 THEN 'dying' ELSE 'cooling' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 

@@ -296,17 +296,21 @@ for _name, _by, _least in (("author_stats", ("author",), 3), ("listing_stats", (
 
     query(_name, f"WITH {POSTS_SQL} SELECT {', '.join(_by)}, count(*) AS n_posts, round(median(upvotes), 6) AS median_upvotes, round(avg(upvotes), 6) AS avg_upvotes, CAST(sum(upvotes) AS BIGINT) AS total_upvotes, round(avg(CASE WHEN {_ALIVE} THEN 1.0 ELSE 0.0 END), 6) AS alive_rate, round(avg(CASE WHEN state = 'dead' THEN 1.0 ELSE 0.0 END), 6) AS dead_rate FROM posts GROUP BY {', '.join(_by)} HAVING count(*) >= {_least}")(_perf)
 
-_WORDS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) >= 5)))"
-KEYWORDS_SQL = POSTS_SQL + f", kp AS (SELECT *, {_WORDS} AS words FROM posts)"
+def _words(c: str) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda w: length(w) >= 5)))"
+
+
+KEYWORDS_SQL = POSTS_SQL + f", kp AS (SELECT *, {_words('body')} AS words, {_words('title')} AS title_words FROM posts)"
 _DAY = """count(*) AS n_posts, CAST(sum(upvotes) AS BIGINT) AS total_upvotes, max(upvotes) AS best_upvotes, count(DISTINCT community) AS n_communities, avg(CASE WHEN state IN ('surging', 'alive') THEN 1.0 ELSE 0.0 END) AS alive_rate,
   avg(CASE WHEN state = 'surging' THEN 1.0 ELSE 0.0 END) AS surging_rate, avg(CASE WHEN state = 'dead' THEN 1.0 ELSE 0.0 END) AS dead_rate"""
 DAYS_SQL = KEYWORDS_SQL + f", days AS (SELECT day_no, topic, {_DAY} FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2)"
-PAIRS_SQL = KEYWORDS_SQL + f", days AS (SELECT day_no, topic, {_DAY} FROM (SELECT k.day_no, k.upvotes, k.community, k.state, a.w || '+' || b.w AS topic FROM kp k, unnest(k.words) a(w), unnest(k.words) b(w) WHERE a.w < b.w) GROUP BY 1, 2)"
+PAIRS_SQL = KEYWORDS_SQL + f""", ln AS (SELECT post_id, day_no, upvotes, community, state, unnest(regexp_split_to_array(body, '[.!?\\n]+')) AS line FROM kp), lw AS (SELECT *, {_words('line')} AS ws FROM ln), days AS (SELECT day_no, topic, {_DAY} FROM (SELECT DISTINCT l.post_id, l.day_no, l.upvotes, l.community, l.state, a.w || '+' || b.w AS topic FROM lw l, unnest(l.ws) a(w), unnest(l.ws) b(w) WHERE a.w < b.w) GROUP BY 1, 2)"""
 INDEX_SQL = ", di AS (SELECT *, CAST(dense_rank() OVER (ORDER BY day_no) - 1 AS INT) AS day_idx FROM days)"
 
 
 def with_words(s, d):
-    return fx.posts(s, d).withColumn("words", text.tokens(F.col("title")))
+    """Posts with the distinct words of the whole text and of the title."""
+    return fx.posts(s, d).withColumn("words", text.tokens(F.col("body"))).withColumn("title_words", text.tokens(F.col("title")))
 
 
 def keyword_days(s, d):
@@ -314,7 +318,9 @@ def keyword_days(s, d):
 
 
 def pair_days(s, d):
-    return topics.topic_days(with_words(s, d).withColumn("pairs", text.word_pairs(F.col("words"))), "pairs")
+    """Pairs are of words in one sentence, so their number grows with the text and not with its square."""
+    lines = F.transform(F.split("body", "[.!?\n]+"), lambda line: text.word_pairs(text.tokens(line)))
+    return topics.topic_days(fx.posts(s, d).withColumn("pairs", F.array_distinct(F.flatten(lines))), "pairs")
 
 
 _DAYCOLS = "day_no, topic, n_posts, total_upvotes, best_upvotes, n_communities, " + _r("alive_rate", "surging_rate", "dead_rate")
@@ -404,11 +410,11 @@ def _(s, d):
 
 @query(
     "similar_posts",
-    f"""WITH {KEYWORDS_SQL}, t AS (SELECT post_id, community, len(words) AS n, unnest(words) AS w FROM kp), c AS (SELECT a.post_id AS a, b.post_id AS b, any_value(a.community) AS community_a, any_value(b.community) AS community_b, count(*) / least(any_value(a.n), any_value(b.n)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.community < b.community GROUP BY 1, 2)
+    f"""WITH {KEYWORDS_SQL}, t AS (SELECT post_id, community, len(title_words) AS n, unnest(title_words) AS w FROM kp), c AS (SELECT a.post_id AS a, b.post_id AS b, any_value(a.community) AS community_a, any_value(b.community) AS community_b, count(*) / least(any_value(a.n), any_value(b.n)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.community < b.community GROUP BY 1, 2)
 SELECT a, b, community_a, community_b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.5""",
 )
 def _(s, d):
-    return rounded(groups.similar_titles(with_words(s, d)))
+    return rounded(groups.similar_titles(with_words(s, d), "title_words"))
 
 
 def transitions(s, d):
@@ -513,10 +519,10 @@ query("velocity_p90", f"WITH {NEIGHBOURS_SQL}, r AS (SELECT community, upvote_ve
 _LEXICON = {"thing": 1.5, "nicht": -1.2, "retion": 2.0, "bleer": -2.1, "pour": 0.7}
 query(
     "sentiment",
-    f"""WITH {POSTS_SQL}, w AS (SELECT post_id, unnest(regexp_extract_all(lower(title), '\\p{{L}}+')) AS token, generate_subscripts(regexp_extract_all(lower(title), '\\p{{L}}+'), 1) AS pos FROM posts), b AS (SELECT *, lag(token) OVER (PARTITION BY post_id ORDER BY pos) AS before FROM w),
+    f"""WITH {POSTS_SQL}, w AS (SELECT post_id, unnest(regexp_extract_all(lower(body), '\\p{{L}}+')) AS token, generate_subscripts(regexp_extract_all(lower(body), '\\p{{L}}+'), 1) AS pos FROM posts), b AS (SELECT *, lag(token) OVER (PARTITION BY post_id ORDER BY pos) AS before FROM w),
 s AS (SELECT post_id, sum(CASE WHEN before IN ('not', 'no', 'never') THEN -0.74 * valence ELSE valence END)::DOUBLE AS s FROM b JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _LEXICON.items())}) l(t, valence) ON l.t = b.token GROUP BY 1)
 SELECT p.post_id, round(coalesce(s / sqrt(s * s + 15), 0), 6) + 0.0 AS compound FROM posts p LEFT JOIN s ON s.post_id = p.post_id""",
-)(lambda s, d: rounded(groups.sentiment(fx.posts(s, d), s.createDataFrame(list(_LEXICON.items()), "token string, valence double"), "post_id", "title")))
+)(lambda s, d: rounded(groups.sentiment(fx.posts(s, d), s.createDataFrame(list(_LEXICON.items()), "token string, valence double"), "post_id", "body")))
 
 #: models: rows only
 query("forest_emergence")(lambda s, d: rounded(models.forest_scores(growth_frame(s, d).select("day_no", "topic", "y", *[F.col(c).cast("double").alias(c) for c in ("n_posts", "n_communities", "alive_rate")]), "y", ["n_posts", "n_communities", "alive_rate"], "day_no", 8)))
