@@ -448,26 +448,6 @@ SELECT community, step, state, round(p, 6) + 0.0 AS p FROM r""",
 )(lambda s, d: rounded(rollout(s, d)))
 
 
-def _life(s, d):
-    return timeline.lifecycles(states(s, d))
-
-
-_MULT = "CASE latest_state WHEN 'surging' THEN 1.0 WHEN 'alive' THEN 0.9 WHEN 'emerging' THEN 0.8 WHEN 'cooling' THEN 0.45 WHEN 'dying' THEN 0.15 WHEN 'dead' THEN 0.0 ELSE 0.5 END"
-_DECAY = "CASE latest_state WHEN 'surging' THEN 0.9 WHEN 'alive' THEN 0.8 WHEN 'emerging' THEN 0.72 WHEN 'cooling' THEN 0.45 WHEN 'dying' THEN 0.2 WHEN 'dead' THEN 0.0 ELSE 0.5 END"
-_BASE = "CASE latest_state WHEN 'surging' THEN 0.08 WHEN 'alive' THEN 0.22 WHEN 'emerging' THEN 0.34 WHEN 'cooling' THEN 0.72 WHEN 'dying' THEN 0.9 WHEN 'dead' THEN 1.0 ELSE 0.35 END"
-_ratio = lambda v, t, top: f"least(coalesce({v} / nullif({t}, 0), 0), {top})"
-_over = lambda k: f"(next_upvotes >= {k}_upvotes OR next_comments >= {k}_comments)"
-query(
-    "forecast",
-    f"""WITH {LIFE_SQL}, v AS (SELECT *, greatest(coalesce(last_upvote_velocity, 0), 0) AS u, greatest(coalesce(last_comment_velocity, 0), 0) AS c, {_MULT}::DOUBLE AS k, {_DECAY}::DOUBLE AS q, {_BASE}::DOUBLE AS base FROM life),
-f AS (SELECT *, u * k AS next_upvotes, c * k AS next_comments, CASE WHEN latest_state = 'dead' THEN 1.0 ELSE least(1.0, greatest(0.0, 0.42 * base + 0.28 * (1 - least(1, greatest(0, ({_ratio("u", "alive_upvotes", 4)} + {_ratio("c", "alive_comments", 4)}) / 2 / 1.5)))
-  + 0.22 * (1 - least(1, greatest(0, ({_ratio("u", "dead_upvotes", 8)} + {_ratio("c", "dead_comments", 8)}) / 2 / 3.0))) + 0.08 * least(1, observed_hours / 6.0))) END AS die_soon FROM v)
-SELECT community, post_id, latest_state, {_r("next_upvotes", "next_comments")}, round(CASE WHEN next_upvotes <= 0 OR q <= 0 THEN 0 ELSE next_upvotes * (1 + q + q * q) END, 6) + 0.0 AS upvotes_3h, round(CASE WHEN next_upvotes <= 0 OR q <= 0 THEN 0 ELSE next_upvotes * (1 + q + q ** 2 + q ** 3 + q ** 4 + q ** 5) END, 6) + 0.0 AS upvotes_6h, {_r("die_soon")},
-  CASE WHEN {_over("surging")} THEN 'surge_watch' WHEN {_over("alive")} THEN 'active_watch' WHEN latest_state = 'dying' THEN 'dying_watch' WHEN latest_state = 'cooling' THEN 'cooling_watch' WHEN latest_state = 'dead' THEN 'stop_watch' ELSE 'low_watch' END AS recommendation,
-  CASE WHEN {_over("surging")} THEN 'surging' WHEN {_over("alive")} THEN 'alive' WHEN die_soon >= 0.9 OR latest_state = 'dead' THEN 'dead' WHEN die_soon >= 0.65 OR latest_state = 'dying' THEN 'dying' ELSE 'cooling' END AS predicted_state FROM f""",
-)(lambda s, d: rounded(markov.forecast(_life(s, d))))
-
-
 def eval_rows(s, d):
     lab = timeline.next_labels(tables.materialize(states(s, d)))
     return lab.join(neighbours(s, d).select("community", "post_id", "snapshot_no", "upvote_velocity"), ["community", "post_id", "snapshot_no"])
@@ -529,7 +509,7 @@ query("forest_emergence")(lambda s, d: rounded(models.forest_scores(growth_frame
 query("kmeans_text")(lambda s, d: models.text_clusters(with_words(s, d).select("post_id", "words"), "words").select("post_id", "cluster"))
 
 
-from . import labels, learn, now, profiles, status  # noqa: E402, F401  (they add their queries to the above)
+from . import intake, labels, learn, now, profiles, status  # noqa: E402, F401  (they add their queries to the above)
 
 
 def queries() -> dict[str, Query]:

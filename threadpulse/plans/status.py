@@ -79,6 +79,10 @@ _FORECAST = ["next_upvotes", "next_comments", "die_soon", "forecast_priority"]
 query("forecast_board", f"WITH {FORECAST_SQL} SELECT community, post_id, latest_state, recommendation, predicted_state, CASE WHEN die_soon >= 0.65 THEN 'likely_to_die_soon' ELSE 'likely_to_continue' END AS die_soon_label, {_r(*_FORECAST)}, round({_six('next_upvotes')}, 6) + 0.0 AS upvotes_6h, round({_six('next_comments')}, 6) + 0.0 AS comments_6h FROM f2")(
     lambda s, d: rounded(status.forecast(post_status(s, d)).select("community", "post_id", "latest_state", "recommendation", "predicted_state", "die_soon_label", *_FORECAST, "upvotes_6h", "comments_6h"))
 )
+_three = lambda v: f"CASE WHEN {v} <= 0 OR q <= 0 THEN 0 ELSE {v} * (1 + q + q * q) END"
+query("forecast", f"WITH {FORECAST_SQL} SELECT community, post_id, latest_state, {_r('next_upvotes', 'next_comments', 'die_soon')}, round({_three('next_upvotes')}, 6) + 0.0 AS upvotes_3h, round({_six('next_upvotes')}, 6) + 0.0 AS upvotes_6h, recommendation, predicted_state FROM f2")(
+    lambda s, d: rounded(status.forecast(post_status(s, d)).select("community", "post_id", "latest_state", "next_upvotes", "next_comments", "die_soon", "upvotes_3h", "upvotes_6h", "recommendation", "predicted_state"))
+)
 _FORDER = f"{_z('forecast_priority', 'next_upvotes', 'next_comments')}, post_id"
 query("forecast_ranks", f"WITH {FORECAST_SQL} SELECT community, post_id, row_number() OVER (PARTITION BY community ORDER BY {_FORDER}) AS community_rank, row_number() OVER (ORDER BY round(forecast_priority, 9) DESC, post_id) AS overall_rank FROM f2")(
     lambda s, d: timeline.overall_rank(status.ranked_in(rounded9(status.forecast(post_status(s, d))), "community", "community_rank", *status.falling("forecast_priority", "next_upvotes", "next_comments"), F.col("post_id")), "forecast_priority", "overall_rank", "post_id").select("community", "post_id", "community_rank", "overall_rank")

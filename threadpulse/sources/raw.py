@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITEM = "id string, parsedId string, url string, username string, userId string, title string, communityName string, parsedCommunityName string, body string, link string, numberOfComments int, flair string, upVotes int, upVoteRatio double, isVideo boolean, over18 boolean, imageUrls array<string>, createdAt string, scrapedAt string, postId string, parentId string, numberOfreplies int, dataType string"
+ITEM = "id string, parsedId string, url string, username string, userId string, title string, communityName string, parsedCommunityName string, body string, html string, link string, category string, numberOfComments int, flair string, upVotes int, upVoteRatio double, isVideo boolean, isAd boolean, over18 boolean, videoUrl string, thumbnailUrl string, imageUrls array<string>, createdAt string, scrapedAt string, postId string, parentId string, numberOfreplies int, dataType string"
 META = "subreddit string, listing string, top_time string, saved_at string, schedule_name string, cadence_label string, scheduled_hour string, input_file string"
 
 
 def scan_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of all snapshot files: stem, pos (place in the file's array) and the item's fields. Bad JSON fails the scan; items that are no objects are dropped."""
     text = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("stem"), "value").where("stem != '' AND stem NOT LIKE '%_metadata'")
-    items = text.select("stem", F.posexplode(F.from_json("value", f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})).alias("pos", "item"))
-    return items.where("item IS NOT NULL").select("stem", "pos", "item.*")
+    array = F.when(F.ltrim("value", F.lit(" \t\r\n")).startswith("["), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no JSON array: "), "stem")))
+    parts = text.select("stem", F.posexplode(F.from_json(array, "array<string>", {"mode": "FAILFAST"})).alias("pos", "json")).where(F.ltrim("json").startswith("{"))
+    return parts.select("stem", "pos", F.from_json("json", ITEM).alias("item")).select("stem", "pos", "item.*")
 
 
 def route(items: DataFrame) -> tuple[DataFrame, DataFrame]:

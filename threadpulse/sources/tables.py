@@ -10,17 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """The frame written as a table in the folder that spark.checkpoint.dir names and read again; unset, a temporary folder will do for a local master only."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the one that spark.checkpoint.dir names; unset, a temporary folder will do for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "threadpulse-shared")
-    path = f"{base.rstrip('/')}/threadpulse-{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/threadpulse-{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The frame written as a table in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
