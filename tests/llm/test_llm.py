@@ -150,7 +150,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer_path())
-    lib.encode_special_tokens = True
     ids = {d.doc_id: [*lib.encode(d.text, add_special_tokens=False).ids, 2] for d in docs.collect()}
     got = packing.pack_documents(docs, tokenizer_path(), deme=60).collect()
     place, pieces = defaultdict(list), defaultdict(list)
@@ -173,7 +172,6 @@ def test_token_files(docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer_path())
-    lib.encode_special_tokens = True
     at, got = 0, {r.doc_id: r for r in binary.token_files(docs, tokenizer_path()).collect()}
     for d in sorted(docs.collect(), key=lambda r: r.doc_id):
         ids = [*lib.encode(d.text, add_special_tokens=False).ids, 2]
@@ -350,14 +348,18 @@ def test_pipeline(spark, docs):
 def test_encoder_equals_the_library_on_any_mixture():
     import random
 
-    from threadpulse.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
     from threadpulse.llm.tokens import Encoder
 
     rng = random.Random(3)
-    parts = ["a", "É", "ß", "ab", "'", "'s", "n't", ".", ",", "!?", " ", "  ", "\n", "\r\n", "\t", "7", "٣", "中", "ё", "́", "ԯ", "԰", "ᲊ", "🙂", "​", "\xa0", "\xad", "\x85", "<|endoftext|>", "_", "\x00", "ª", "²"]
+    parts = ["a", "É", "ß", "ab", "'", "'s", "n't", ".", ",", "!?", " ", "  ", "\n", "\r\n", "\t", "7", "٣", "中", "ё", "́", "ԯ", "԰", "ᲊ", "🙂", "​", "\xa0", "\xad", "\x85", "\n\n", "\n\n\n", "word", "<|endoftext|>", "_", "\x00", "ª", "²"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", None, " ", "\n", "word, word. Word"]
-    enc = Encoder(tokenizer_path())
-    for some in (texts, texts[::-1]):
-        ids, at = enc.encode(some)
-        for t, a, b in zip(some, at, at[1:]):
-            assert ids[a:b].tolist() == [*enc.library(t or "").tolist(), 2], repr(t)
+    lib = Tokenizer.from_file(tokenizer_path())
+    for special in (False, True):
+        enc = Encoder(tokenizer_path(), known=500, special_as_text=special)
+        lib.encode_special_tokens = special
+        for some in (texts, texts[::-1]):
+            ids, at = enc.encode(some)
+            for t, a, b in zip(some, at, at[1:]):
+                assert ids[a:b].tolist() == [*lib.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
