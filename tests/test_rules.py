@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadpulse.functions import scores, states, text
-from threadpulse.operators import groups, labels, profiles, status, timeline, topics
+from threadpulse.operators import groups, labels, profiles, quantiles, status, timeline, topics
 
 
 def test_link_classes(spark):
@@ -156,3 +156,14 @@ def test_watchlist_and_summary(spark):
     df = spark.createDataFrame(rows, "community string, post_id long, latest_state string, attention double, popularity double, engagement double, last_listing string")
     r = status.attention_summary(df).first()
     assert (r.n_posts, r.n_alive, r.n_cooling, r.n_dead, r.top_post, r.max_attention) == (3, 1, 1, 1, 0, 10.0)
+
+
+@pytest.mark.parametrize("group", ["g", None])
+def test_quantiles_over_ranges_equal_those_of_one_aggregate(spark, group):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.pmod(F.xxhash64("id"), F.lit(997)) / 7.0).alias("x"), F.when(F.col("id") > 4990, F.col("id") * 1.0).alias("y"))
+    want = {"x": [0.0, 0.35, 0.5, 1.0], "y": [0.1, 0.9]}
+    key = lambda r: (r.g if group else 0)
+    a, b = ({key(r): (list(r.x), list(r.y)) for r in quantiles.by_group(rows, group, want, most).collect()} for most in (10**9, 0))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == pytest.approx(b[k][0]) and a[k][1] == pytest.approx(b[k][1])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.states import THRESHOLDS, activity_state, safe_ratio
+from . import quantiles
 
 #: Thresholds without any data, floors, and the least samples of a community
 DEFAULTS = {"alive_upvotes": 20.0, "alive_comments": 2.0, "surging_upvotes": 100.0, "surging_comments": 10.0, "dead_upvotes": 5.0, "dead_comments": 0.5}
@@ -16,23 +17,24 @@ LEAST = {"rows": 30, "upvotes": 15, "comments": 10}
 
 
 def neighbour_snapshots(rows: DataFrame, group: tuple[str, ...] = ("community",)) -> DataFrame:
-    """rows (snapshot_no, post_id, hours, upvotes, comments and the group's columns) with the group's previous and next snapshot, the post's values
-    there, 0/1 flags (null at the ends of the group), deltas and velocities per hour.
+    """rows (snapshot_no, post_id, hours, upvotes, comments and the group's columns; one row of a post in a snapshot of its group) with the group's previous and next
+    snapshot, 0/1 flags whether the post is there (null at the ends of the group), deltas and velocities per hour.
 
-    Two equi-joins on (group, snapshot, post); snapshots are ordered once per group over distinct snapshots only."""
+    Snapshots are ordered once per group over distinct snapshots only, a small table. One window over the post then has the rows beside each: they are the
+    neighbour snapshots' where the numbers agree. Later windows over the post need no other shuffle."""
     g = list(group)
     w = Window.partitionBy(*g).orderBy(F.col("hours").asc_nulls_first(), "snapshot_no")
     snaps = rows.select(*g, "snapshot_no", "hours").distinct()
     snaps = snaps.select(*g, "snapshot_no", F.lag("snapshot_no").over(w).alias("previous_no"), F.lead("snapshot_no").over(w).alias("next_no"), (F.col("hours") - F.lag("hours").over(w)).alias("hours_since_previous"), (F.lead("hours").over(w) - F.col("hours")).alias("hours_to_next"))
-    with_ = rows.join(snaps, [*g, "snapshot_no"])
-    there = lambda side: rows.select(*g, F.col("snapshot_no").alias(f"{side}_no"), "post_id", F.col("upvotes").alias(f"{side}_upvotes"), F.col("comments").alias(f"{side}_comments"), F.lit(1).alias(f"_{side}"))
-    both = with_.join(there("previous"), [*g, "previous_no", "post_id"], "left").join(there("next"), [*g, "next_no", "post_id"], "left")
-    flag = lambda side: F.when(F.col(f"{side}_no").isNotNull(), F.coalesce(F.col(f"_{side}"), F.lit(0)))
-    rate = lambda c: F.when(F.col("hours_since_previous") > 0, (F.col(c) - F.col(f"previous_{c}")) / F.col("hours_since_previous"))
-    return both.select(
-        *rows.columns, "previous_no", "next_no", "hours_since_previous", "hours_to_next", flag("previous").alias("seen_in_previous"), flag("next").alias("still_visible_next"),
-        (F.col("upvotes") - F.col("previous_upvotes")).alias("upvote_delta"), (F.col("comments") - F.col("previous_comments")).alias("comment_delta"), rate("upvotes").alias("upvote_velocity"), rate("comments").alias("comment_velocity"),
-    )
+    o = Window.partitionBy(*g, "post_id").orderBy(F.col("hours").asc_nulls_first(), "snapshot_no")
+    both = rows.join(snaps, [*g, "snapshot_no"])
+    before = F.lag("snapshot_no").over(o) == F.col("previous_no")
+    after = F.lead("snapshot_no").over(o) == F.col("next_no")
+    flag = lambda side, there: F.when(F.col(side).isNotNull(), F.coalesce(there, F.lit(False)).cast("int"))
+    delta = lambda c: F.when(before, F.col(c) - F.lag(c).over(o))
+    seen = both.select(*rows.columns, "previous_no", "next_no", "hours_since_previous", "hours_to_next", flag("previous_no", before).alias("seen_in_previous"), flag("next_no", after).alias("still_visible_next"), delta("upvotes").alias("upvote_delta"), delta("comments").alias("comment_delta"))
+    rate = lambda c: F.when(F.col("hours_since_previous") > 0, F.col(c) / F.col("hours_since_previous"))
+    return seen.withColumns({"upvote_velocity": rate("upvote_delta"), "comment_velocity": rate("comment_delta")})
 
 
 def _derive(quantile, base) -> dict[str, Column]:
@@ -49,13 +51,14 @@ def _derive(quantile, base) -> dict[str, Column]:
 def activity_thresholds(rows: DataFrame) -> DataFrame:
     """community (null: all), source, six thresholds, sample counts. Communities with too few samples take the global row's values; without any sample the defaults hold.
 
-    One pass: a rollup gives the communities and the global row; the join with the global row is one to few."""
+    rows are read several times, so the caller writes them once; the join with the global row is one to few."""
     use = rows.where(F.col("seen_in_previous") == 1)
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
-    agg = use.rollup("community").agg(
-        F.grouping("community").alias("is_global"), F.count("upvote_velocity").alias("sample_count"), F.count(pos("upvote_velocity")).alias("positive_upvotes"), F.count(pos("comment_velocity")).alias("positive_comments"),
-        F.percentile(pos("upvote_velocity"), [0.35, 0.8, 0.1]).alias("q_upvotes"), F.percentile(pos("comment_velocity"), [0.35, 0.8, 0.1]).alias("q_comments"),
-    )
+    counted = use.rollup("community").agg(F.grouping("community").alias("is_global"), F.count("upvote_velocity").alias("sample_count"), F.count(pos("upvote_velocity")).alias("positive_upvotes"), F.count(pos("comment_velocity")).alias("positive_comments"))
+    positive = use.select("community", pos("upvote_velocity").alias("q_upvotes"), pos("comment_velocity").alias("q_comments"))
+    wanted = {"q_upvotes": [0.35, 0.8, 0.1], "q_comments": [0.35, 0.8, 0.1]}
+    own_q = quantiles.by_group(positive, "community", wanted).withColumnRenamed("community", "_c")
+    agg = counted.where("is_global = 0").join(own_q, F.col("community").eqNullSafe(F.col("_c")), "left").drop("_c").unionByName(counted.where("is_global = 1").crossJoin(quantiles.by_group(positive, None, wanted)))  # one row each
     q = lambda m, i: F.get(F.col(f"q_{m}"), i)
     whole = agg.where("is_global = 1").select("*", *[c.alias(f"g_{k}") for k, c in _derive(q, lambda k: F.lit(DEFAULTS[k])).items()])
     g = F.broadcast(whole.select(*[f"g_{k}" for k in THRESHOLDS]))
@@ -128,11 +131,13 @@ def prior_repeats(rows: DataFrame, key: list[str], who: str, seconds: str, span:
     return rows.join(near.groupBy(*key, who, seconds).agg(F.count(F.lit(1)).alias("_n")), [*key, who, seconds], "left").withColumn("prior_repeats", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def next_labels(rows: DataFrame) -> DataFrame:
+def next_labels(rows: DataFrame, *keep: str) -> DataFrame:
     """Each state row with the post's state and growth per hour in its group's next snapshot, and eligibility by the gap."""
-    nxt = rows.select("community", F.col("snapshot_no").alias("next_no"), "post_id", F.col("state").alias("next_state"), F.col("upvotes").alias("_u"))
-    both = rows.join(nxt, ["community", "next_no", "post_id"], "left")
-    return both.select("community", "post_id", "snapshot_no", "state", "next_state", safe_ratio(F.col("_u") - F.col("upvotes"), F.col("hours_to_next")).alias("next_growth_per_hour"), F.col("hours_to_next").between(0.5, 2.5).alias("eligible_broad"), F.col("hours_to_next").between(0.75, 1.5).alias("eligible_strict"))
+    o = Window.partitionBy(*POST).orderBy("hours", "snapshot_no")
+    is_next = F.lead("snapshot_no").over(o) == F.col("next_no")
+    nxt = lambda c: F.when(is_next, F.lead(c).over(o))
+    growth = safe_ratio(nxt("upvotes") - F.col("upvotes"), F.col("hours_to_next"))
+    return rows.select(*POST, "snapshot_no", "state", nxt("state").alias("next_state"), growth.alias("next_growth_per_hour"), F.col("hours_to_next").between(0.5, 2.5).alias("eligible_broad"), F.col("hours_to_next").between(0.75, 1.5).alias("eligible_strict"), *keep)
 
 
 def variance_collapse(rows: DataFrame, value: str = "upvote_velocity", window: int = 4, high: float = 15.0, low: float = 8.0, mean: float = 40.0) -> DataFrame:

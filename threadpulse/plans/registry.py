@@ -174,7 +174,7 @@ NEXT_SQL = STATES_SQL + """, lab AS (SELECT a.community, a.post_id, a.snapshot_n
 
 @query("next_labels", f"WITH {NEXT_SQL} SELECT community, post_id, snapshot_no, state, next_state, {_r('next_growth_per_hour')}, eligible_broad, eligible_strict FROM lab")
 def _(s, d):
-    return rounded(timeline.next_labels(tables.materialize(states(s, d))))
+    return rounded(timeline.next_labels(states(s, d)))
 
 
 COLLAPSE_SQL = f"""v0 AS (SELECT community, post_id, hours, snapshot_no, {_UP} AS v FROM st), v1 AS (SELECT *, greatest(coalesce(lag(v) OVER o, 0), coalesce(lead(v) OVER o, 0)) AS near FROM v0 WINDOW o AS (PARTITION BY community, post_id ORDER BY hours, snapshot_no)),
@@ -418,7 +418,7 @@ def _(s, d):
 
 
 def transitions(s, d):
-    return markov.transition_counts(timeline.next_labels(tables.materialize(states(s, d))))
+    return markov.transition_counts(timeline.next_labels(states(s, d)))
 
 
 _FIVE = "('surging', 'alive', 'cooling', 'dying', 'dead')"
@@ -449,8 +449,7 @@ SELECT community, step, state, round(p, 6) + 0.0 AS p FROM r""",
 
 
 def eval_rows(s, d):
-    lab = timeline.next_labels(tables.materialize(states(s, d)))
-    return lab.join(neighbours(s, d).select("community", "post_id", "snapshot_no", "upvote_velocity"), ["community", "post_id", "snapshot_no"])
+    return timeline.next_labels(states(s, d), "upvote_velocity")
 
 
 query(
