@@ -82,7 +82,7 @@ def names_chrome(said: dict[str, str]) -> tuple[bool, bool]:
 def parse(html: str) -> Node:
     """A tolerant DOM tree: nodes and strings. Void, raw and unclosed elements as in HTML; an end tag without a start is ignored."""
     root = Node("#root", "", False)
-    stack, at, n, raw_end, open_tags = [root], 0, len(html), {}, Counter()
+    stack, at, n, raw_end, open_tags, by_name = [root], 0, len(html), {}, Counter(), []
     found = tags(html)
     token = next(found, None)
     while token is not None:
@@ -95,6 +95,8 @@ def parse(html: str) -> Node:
                 _close(stack, tag, open_tags)
             else:
                 node = _open(stack, tag, attributes, open_tags)
+                if node.by_name:
+                    by_name.append(node)
                 closed = attributes.endswith("/")
                 if tag in RAW and not closed:
                     stop = None
@@ -113,7 +115,7 @@ def parse(html: str) -> Node:
             token = None
     if at < n:
         stack[-1].children.append(html[at:])
-    _spare_dominant(root)
+    _spare_dominant(root, by_name)
     return root
 
 
@@ -136,7 +138,7 @@ def _close(stack: list[Node], tag: str, open_tags: Counter) -> None:
 
 def _open(stack: list[Node], tag: str, attributes: str, open_tags: Counter) -> Node:
     stop = SIBLINGS.get(tag, ())
-    if tag in CLOSES_P and open_tags["p"] or any(open_tags[x] for x in stop):
+    if tag in CLOSES_P and open_tags["p"] or stop and any(open_tags[x] for x in stop):
         for k in range(len(stack) - 1, 0, -1):
             open_ = stack[k].tag
             if open_ == "p" and tag in CLOSES_P or open_ in stop:
@@ -146,7 +148,7 @@ def _open(stack: list[Node], tag: str, attributes: str, open_tags: Counter) -> N
             elif open_ in BLOCK:
                 break
     chrome, by_name, label = tag in CHROME_TAGS, False, tag
-    inside = any(open_tags[x] > 0 for x in ROOTS)
+    inside = open_tags["article"] > 0 or open_tags["main"] > 0
     if NAMING.search(attributes):
         said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         label = f"{tag}.{said.get('class', '')}" if said.keys() & {"class", "id", "role", "hidden", "aria-hidden", "style"} else tag
@@ -163,15 +165,31 @@ def _open(stack: list[Node], tag: str, attributes: str, open_tags: Counter) -> N
     return node
 
 
-def _spare_dominant(root: Node) -> None:
-    """An element that only its names call chrome, but that holds an article or main element or most of the page's text outside of sure chrome, is none."""
+def _is_small(node: Node, most: int) -> bool:
+    """Whether a subtree holds no article or main element and at most so much text; looks no further once it is more."""
+    todo, n = [node], 0
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            n += len(x)
+            if n > most:
+                return False
+        elif x.tag in ROOTS:
+            return False
+        else:
+            todo += x.children
+    return True
+
+
+def _spare_dominant(root: Node, by_name: list[Node]) -> None:
+    """An element that only its names call chrome, but that holds an article or main element or most of the page's text outside of sure chrome (over 200 characters), is none."""
+    if all(_is_small(node, 200) for node in by_name):
+        return
     order, todo = [], [(root, None)]
     while todo:
         node, parent = todo.pop()
         order.append((node, parent))
         todo += [(c, node) for c in node.children if isinstance(c, Node)]
-    if not any(node.by_name for node, _ in order):
-        return
     size, holds = {}, {}
     for node, parent in reversed(order):
         k = id(node)
