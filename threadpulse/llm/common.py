@@ -70,14 +70,15 @@ def in_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterable[pd.D
 
 
 def in_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 2000) -> DataFrame:
-    """in_frames with a function of one frame of at most `rows` rows."""
+    """in_frames with a function of one frame of at most `rows` rows; no more of a batch than that is turned into pandas at once."""
+    want = arrow_schema(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), rows):
-                yield f(frame.iloc[i : i + rows].reset_index(drop=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pandas(f(exact_frame(batch.slice(i, rows)))[want.names], schema=want, preserve_index=False)
 
-    return in_frames(df, run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def in_groups(groups: GroupedData, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
