@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import labels
 from ..sources import tables
 from . import fixtures as fx

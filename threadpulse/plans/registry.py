@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.states import age_bucket, gap_bucket
 from ..operators import groups, markov, models, timeline, topics
 from ..sources import tables
+from ..streaming import ingest
 from . import fixtures as fx
 from .fixtures import COMMENTS_SQL, LINKS_SQL, POSTS_SQL, SNAPSHOTS_SQL
 
@@ -488,10 +490,10 @@ query("szabo_huberman", f"WITH {PEAK_SQL}, x AS (SELECT ln(1 + total_upvotes) AS
 query(
     "hourly_counts",
     "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-)(lambda s, d: __import__("threadpulse.streaming.ingest", fromlist=["x"]).hourly_counts(fx.table(s, d, "events")).withColumn("total", F.round("total", 4)))
+)(lambda s, d: ingest.hourly_counts(fx.table(s, d, "events")).withColumn("total", F.round("total", 4)))
 query("infer_types", "WITH x AS (SELECT unnest(['post_id', 'community', 'upvotes', 'share']) AS c, unnest([CAST(doc_id AS VARCHAR), 's' || CAST(doc_id % 5 AS VARCHAR), CAST(n_chars AS VARCHAR), CAST(n_chars / 7 + 0.5 AS VARCHAR)]) AS v FROM documents), y AS (SELECT c, nullif(trim(v), '') AS v FROM x) SELECT c AS \"column\", CASE WHEN count(v) = 0 THEN 'TEXT' WHEN count(*) FILTER (v IS NOT NULL AND NOT regexp_full_match(v, '[+-]?[0-9]+')) = 0 THEN 'INTEGER' WHEN count(*) FILTER (v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) = 0 THEN 'REAL' ELSE 'TEXT' END AS inferred FROM y GROUP BY 1")(lambda s, d: tables.infer_types(fx.posts(s, d).select("post_id", "community", "upvotes", (F.col("upvotes") / 7 + 0.5).cast("string").alias("share"))))
 query("age_gap_buckets", f"WITH {NEIGHBOURS_SQL} SELECT CASE WHEN hours_since_previous IS NULL THEN 'missing' WHEN hours_since_previous < 0.75 THEN 'short' WHEN hours_since_previous <= 1.5 THEN 'regular' WHEN hours_since_previous <= 2.5 THEN 'wide' ELSE 'very_wide' END AS gap, CASE WHEN a < 60 THEN '0-1h' WHEN a < 180 THEN '1-3h' WHEN a < 360 THEN '3-6h' WHEN a < 720 THEN '6-12h' WHEN a < 1440 THEN '12-24h' WHEN a < 2880 THEN '24-48h' ELSE '48h+' END AS age, count(*) AS n FROM (SELECT *, (hours - min(hours) OVER (PARTITION BY post_id)) * 60 AS a FROM nb) GROUP BY 1, 2")(
-    lambda s, d: states(s, d).groupBy(__import__("threadpulse.functions.states", fromlist=["x"]).gap_bucket(F.col("hours_since_previous")).alias("gap"), __import__("threadpulse.functions.states", fromlist=["x"]).age_bucket(F.col("age_minutes")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    lambda s, d: states(s, d).groupBy(gap_bucket(F.col("hours_since_previous")).alias("gap"), age_bucket(F.col("age_minutes")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
 )
 query("velocity_p90", f"WITH {NEIGHBOURS_SQL}, r AS (SELECT community, upvote_velocity AS v, row_number() OVER (PARTITION BY community ORDER BY upvote_velocity) - 1 AS i, count(*) OVER (PARTITION BY community) AS n FROM nb WHERE upvote_velocity IS NOT NULL) SELECT community, round(max(CASE WHEN i = least(floor(n * 0.9), n - 1) THEN v END), 6) AS p90 FROM r GROUP BY 1")(lambda s, d: rounded(groups.index_quantile(neighbours(s, d), ["community"], "upvote_velocity", 0.9, "p90")))
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize  # noqa: F401
-
 
 def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Counts and sums per tumbling hour and type; works on batches and streams (append mode, late rows beyond the watermark are left to a repair batch)."""
