@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, chaining, fingerprints, html_extract, jaccard, merkle, mixing, packing, quality, secrets, toxicity
+from . import alignment, binary, chaining, fingerprints, html_extract, jaccard, merkle, mixing, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -16,6 +16,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     labels = lambda s, d: table(s, d, "labels")
@@ -30,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": lambda s, d: mixing.mix_documents(docs(s, d)),
         "op9_token_files": lambda s, d: binary.token_files(docs(s, d), tokenizer_path()),
         "op10_substring_dedup": lambda s, d: chaining.repeated_passages(docs(s, d)),
+        "op11_tokenizer_alignment": lambda s, d: alignment.align_tokenizers(docs(s, d), tokenizer_path(), piece_model_path()),
         "op12_merkle_manifest": lambda s, d: merkle.verify_manifest(docs(s, d)),
     }
 
