@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, binary, chaining, fingerprints, html_extract, jaccard, merkle, mixing, packing, quality, secrets, toxicity
+from . import alignment, binary, chaining, fingerprints, html_extract, jaccard, merkle, mixing, packing, quality, secrets, suffixes, toxicity
 from .common import table
 
 
@@ -38,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": lambda s, d: chaining.repeated_passages(docs(s, d)),
         "op11_tokenizer_alignment": lambda s, d: alignment.align_tokenizers(docs(s, d), tokenizer_path(), piece_model_path()),
         "op12_merkle_manifest": lambda s, d: merkle.verify_manifest(docs(s, d)),
+        "op13_suffix_dedup": lambda s, d: suffixes.remove_repeats(docs(s, d)),
     }
 
 
