@@ -167,3 +167,10 @@ def test_quantiles_over_ranges_equal_those_of_one_aggregate(spark, group):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k][0] == pytest.approx(b[k][0]) and a[k][1] == pytest.approx(b[k][1])
+
+
+def test_similarity_key_takes_prefixes_off_in_order(spark):
+    cases = [("Breaking: Update on vote", "on vote"), ("update megathread election", "election"), ("Megathread update election", "update election"), ("breaking breaking news", "breaking news"), ("BREAKING", "breaking"), (" It's -- OK ", "its ok"), (None, "")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", text.similarity_key(F.col("t")).alias("k"), text.similarity_words(F.col("t")).alias("w")).orderBy("i").collect()
+    assert [r.k for r in got] == [k for _, k in cases]
+    assert got[0].w == ["vote"] and got[6].w == []

@@ -118,8 +118,9 @@ def quality_report(posts: DataFrame, comments: DataFrame, forbidden: tuple[str,
 
 def sentiment(texts: DataFrame, lexicon: DataFrame, key: str, text: str, negators: tuple[str, ...] = ("not", "no", "never"), damp: float = -0.74) -> DataFrame:
     """Compound score in [-1, 1] of each text from a lexicon (token, valence): the sum s of its tokens' valences, turned round after a negator, as s / sqrt(s^2 + 15); 0 without known tokens."""
-    words = texts.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))).alias("pos", "token"))
-    before = F.lag("token").over(Window.partitionBy(key).orderBy("pos"))
-    hit = words.withColumn("before", before).join(lexicon, "token")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
+    # each word takes the one before it along, so no window sorts the words of a text
+    both = F.arrays_zip(words.alias("token"), F.concat(F.array(F.lit(None).cast("string")), words).alias("before"))
+    hit = texts.select(key, F.explode(both).alias("x")).select(key, "x.token", "x.before").join(lexicon, "token")
     s = hit.groupBy(key).agg(F.sum(F.when(F.col("before").isin(*negators), F.col("valence") * damp).otherwise(F.col("valence"))).alias("s"))
     return texts.select(key).join(s, key, "left").select(key, F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)).alias("compound"))

@@ -107,13 +107,15 @@ def spread_labels(by_community: DataFrame, target: str, most: int = 3) -> DataFr
 def cumulative_history(posts: DataFrame, keys: str, least_days: int = 2, low: int = 3, high: int = 15, ahead: int = 3) -> DataFrame:
     """Per (day, topic) seen on `least_days` own days or more with `low` to `high` posts so far and `ahead` days to come: expanding sums, rates, distinct communities, recent growth and the most posts to come."""
     long = posts.select("day_no", "community", "upvotes", "state", F.explode(keys).alias("topic"))
-    d = long.groupBy("day_no", "topic").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("upvotes").alias("up"), F.count_if(F.col("state").isin("surging", "alive")).alias("n_alive"), F.count_if(F.col("state") == "surging").alias("n_surging"), F.collect_set("community").alias("communities"))
-    d = day_index(d)
+    d = long.groupBy("day_no", "topic").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("upvotes").alias("up"), F.count_if(F.col("state").isin("surging", "alive")).alias("n_alive"), F.count_if(F.col("state") == "surging").alias("n_surging"))
+    # a community counts from its first day on: its rows of later days need not be looked at again
+    first = long.groupBy("topic", "community").agg(F.min("day_no").alias("day_no")).groupBy("day_no", "topic").agg(F.count(F.lit(1)).alias("n_first"))
+    d = day_index(d.join(first, ["day_no", "topic"], "left").withColumn("n_first", F.coalesce("n_first", F.lit(0))))
     last = d.agg(F.max("day_idx").alias("last_idx"))
     so_far = own_order().rowsBetween(Window.unboundedPreceding, 0)
     sums = {f"cum_{c}": F.sum(c).over(so_far) for c in ("n_posts", "up", "n_alive", "n_surging")}
     before = F.lag("n_posts").over(own_order())
-    w = d.withColumns({**sums, "days_seen": F.row_number().over(own_order()), "cum_communities": F.size(F.array_distinct(F.flatten(F.collect_list("communities").over(so_far)))), "recent_growth": (F.col("n_posts") - before) / at_least_1(before), "future_peak": F.coalesce(F.max("n_posts").over(own_order().rangeBetween(1, ahead)), F.lit(0))})
+    w = d.withColumns({**sums, "days_seen": F.row_number().over(own_order()), "cum_communities": F.sum("n_first").over(so_far).cast("int"), "recent_growth": (F.col("n_posts") - before) / at_least_1(before), "future_peak": F.coalesce(F.max("n_posts").over(own_order().rangeBetween(1, ahead)), F.lit(0))})
     use = w.crossJoin(F.broadcast(last)).where((F.col("days_seen") >= least_days) & F.col("cum_n_posts").between(low, high) & (F.col("day_idx") + ahead <= F.col("last_idx")))
     return use.select("day_no", "topic", "days_seen", F.col("cum_n_posts").alias("posts"), F.col("cum_up").alias("upvotes"), F.col("cum_communities").alias("n_communities"), (F.col("cum_n_alive") / F.col("cum_n_posts")).alias("alive_rate"), (F.col("cum_n_surging") / F.col("cum_n_posts")).alias("surging_rate"), "recent_growth", "future_peak")
 

@@ -12,9 +12,21 @@ from .groups import alive
 def topic_days(posts: DataFrame, keys: str) -> DataFrame:
     """Per (day, key): posts, total and best upvotes, communities, alive, surging and dead rates. `keys` is an array column of distinct words or pairs."""
     long = posts.select("day_no", "post_id", "community", "upvotes", "state", F.explode(keys).alias("topic"))
+    return _by_day(long)
+
+
+def _by_day(long: DataFrame) -> DataFrame:
     return long.groupBy("day_no", "topic").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("upvotes").alias("total_upvotes"), F.max("upvotes").alias("best_upvotes"), F.count_distinct("community").alias("n_communities"), F.avg(alive().cast("double")).alias("alive_rate"), F.avg((F.col("state") == "surging").cast("double")).alias("surging_rate"), F.avg((F.col("state") == "dead").cast("double")).alias("dead_rate"))
 
 
+def pair_days(posts: DataFrame, words: str) -> DataFrame:
+    """topic_days of unordered pairs a+b (a < b) of an array of distinct words. Two explodes: no row holds all pairs of a long text."""
+    s = posts.select("day_no", "post_id", "community", "upvotes", "state", F.array_sort(words).alias("_w"))
+    s = s.select("*", F.posexplode("_w").alias("_i", "_a")).withColumn("_rest", F.slice("_w", F.col("_i") + 2, F.greatest(F.size("_w") - F.col("_i") - 1, F.lit(0))))
+    long = s.select("day_no", "post_id", "community", "upvotes", "state", "_a", F.explode("_rest").alias("_b"))
+    return _by_day(long.withColumn("topic", F.concat("_a", F.lit("+"), "_b")))
+
+
 def keyword_trend(days: DataFrame, least: int = 5) -> DataFrame:
     """Posts a day in the first and second half of the observed days and their relative change; new keywords change by 10."""
     order = days.select("day_no").distinct().withColumn("day_idx", F.row_number().over(Window.orderBy("day_no")) - 1)  # one row per day

@@ -37,14 +37,15 @@ query("community_days", f"WITH {_CD} SELECT * FROM cd")(lambda s, d: labels.comm
 query(
     "spread_labels",
     f"""WITH {_CD}, ix AS (SELECT day_no, row_number() OVER (ORDER BY day_no) - 1 AS day_idx FROM (SELECT DISTINCT day_no FROM cd)), t AS (SELECT topic, cd.day_no, day_idx, CAST(sum(n_posts) AS BIGINT) AS n_posts, list_sort(list(DISTINCT community)) AS today FROM cd JOIN ix ON ix.day_no = cd.day_no GROUP BY 1, 2, 3),
-u AS (SELECT a.*, list_sort(list_filter(coalesce(b.today, []), lambda x: NOT list_contains(a.today, x))) AS new FROM t a LEFT JOIN t b ON b.topic = a.topic AND b.day_idx = a.day_idx + 1 WHERE len(a.today) <= 3 AND a.day_idx < (SELECT max(day_idx) FROM ix))
+v AS (SELECT *, CASE WHEN lead(day_idx) OVER o = day_idx + 1 THEN lead(today) OVER o END AS ahead FROM t WINDOW o AS (PARTITION BY topic ORDER BY day_idx)),
+u AS (SELECT *, list_sort(list_filter(coalesce(ahead, []), lambda x: NOT list_contains(today, x))) AS new FROM v WHERE len(today) <= 3 AND day_idx < (SELECT max(day_idx) FROM ix))
 SELECT day_no, topic, n_posts, CAST(len(today) AS INT) AS n_communities, array_to_string(new, ',') AS new_communities, len(new) > 0 AS spreads, list_contains(new, 's1') AS reaches_target, list_contains(today, 's1') AS is_in_target FROM u""",
 )(lambda s, d: labels.spread_labels(labels.community_days(with_words(s, d), "words"), "s1"))
 query(
     "cumulative_history",
-    f"""WITH {DAYS_SQL}{INDEX_SQL}, c AS (SELECT day_no, topic, count(*) FILTER (state IN ('surging', 'alive')) AS na, count(*) FILTER (state = 'surging') AS ns, list(DISTINCT community) AS cs FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2), w AS (SELECT di.day_no, di.topic, day_idx, n_posts, row_number() OVER o AS days_seen, CAST(sum(n_posts) OVER s AS BIGINT) AS posts, CAST(sum(total_upvotes) OVER s AS BIGINT) AS upvotes,
-  len(list_distinct(flatten(list(cs) OVER s))) AS n_communities, sum(na) OVER s / sum(n_posts) OVER s AS alive_rate, sum(ns) OVER s / sum(n_posts) OVER s AS surging_rate, (n_posts - lag(n_posts) OVER o) / greatest(lag(n_posts) OVER o, 1) AS recent_growth, coalesce(max(n_posts) OVER (PARTITION BY di.topic ORDER BY day_idx RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS future_peak
-  FROM di JOIN c ON c.day_no = di.day_no AND c.topic = di.topic WINDOW o AS (PARTITION BY di.topic ORDER BY day_idx), s AS (PARTITION BY di.topic ORDER BY day_idx ROWS UNBOUNDED PRECEDING))
+    f"""WITH {DAYS_SQL}{INDEX_SQL}, c AS (SELECT day_no, topic, count(*) FILTER (state IN ('surging', 'alive')) AS na, count(*) FILTER (state = 'surging') AS ns FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2), fs AS (SELECT f AS day_no, topic, count(*) AS nf FROM (SELECT topic, community, min(day_no) AS f FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2) GROUP BY 1, 2), w AS (SELECT di.day_no, di.topic, day_idx, n_posts, row_number() OVER o AS days_seen, CAST(sum(n_posts) OVER s AS BIGINT) AS posts, CAST(sum(total_upvotes) OVER s AS BIGINT) AS upvotes,
+  CAST(sum(nf) OVER s AS INT) AS n_communities, sum(na) OVER s / sum(n_posts) OVER s AS alive_rate, sum(ns) OVER s / sum(n_posts) OVER s AS surging_rate, (n_posts - lag(n_posts) OVER o) / greatest(lag(n_posts) OVER o, 1) AS recent_growth, coalesce(max(n_posts) OVER (PARTITION BY di.topic ORDER BY day_idx RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS future_peak
+  FROM di JOIN c ON c.day_no = di.day_no AND c.topic = di.topic LEFT JOIN fs ON fs.day_no = di.day_no AND fs.topic = di.topic WINDOW o AS (PARTITION BY di.topic ORDER BY day_idx), s AS (PARTITION BY di.topic ORDER BY day_idx ROWS UNBOUNDED PRECEDING))
 SELECT day_no, topic, days_seen, posts, upvotes, CAST(n_communities AS INT) AS n_communities, {_r('alive_rate', 'surging_rate', 'recent_growth')}, future_peak FROM w WHERE days_seen >= 2 AND posts BETWEEN 3 AND 15 AND day_idx + 3 <= (SELECT max(day_idx) FROM di)""",
 )(lambda s, d: rounded(labels.cumulative_history(with_words(s, d), "words")))
 query(

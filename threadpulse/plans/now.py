@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import discussion, groups, pulse, selection
 from ..sources import tables
 from . import fixtures as fx
 from .fixtures import POSTS_SQL
-from .registry import KEYWORDS_SQL, STATES_SQL, _r, query, rounded, states, with_words
+from .registry import SIMILAR_SQL, STATES_SQL, _r, query, rounded, states
 
 _FIVE = "('surging', 'alive', 'cooling', 'dying', 'dead')"
 
@@ -125,12 +126,12 @@ SELECT topic, community, round(s, 6) + 0.0 AS avg_sentiment, CAST({_BAND("1.0",
 
 def cross(s, d):
     p = fx.posts(s, d).withColumn("created", (F.col("day_no") * 24 + F.col("created_hour")).cast("double"))
-    return tables.materialize(selection.cross_posts(groups.similar_titles(with_words(s, d), "title_words"), p))
+    return tables.materialize(selection.cross_posts(groups.similar_titles(fx.posts(s, d).withColumn("words", text.similarity_words(F.col("title")))), p))
 
 
 CROSS_SQL = (
-    KEYWORDS_SQL
-    + """, tk AS (SELECT post_id, community, len(title_words) AS n, unnest(title_words) AS w FROM kp), pr AS (SELECT x.post_id AS a, y.post_id AS b, count(*) / least(any_value(x.n), any_value(y.n)) AS sim FROM tk x JOIN tk y ON x.w = y.w AND x.community < y.community GROUP BY 1, 2),
+    f"{POSTS_SQL}, {SIMILAR_SQL}"
+    + """, pr AS (SELECT x.post_id AS a, y.post_id AS b, count(*) / least(any_value(x.n), any_value(y.n)) AS sim FROM t x JOIN t y ON x.w = y.w AND x.community < y.community GROUP BY 1, 2),
 pc AS (SELECT post_id, community, title, CAST(day_no * 24 + created_hour AS DOUBLE) AS created, upvotes, state IN ('surging', 'alive') AS alive FROM posts),
 cj AS (SELECT abs(y.created - x.created) AS lag_hours, CASE WHEN x.created <= y.created THEN x ELSE y END AS f, CASE WHEN x.created <= y.created THEN y ELSE x END AS s FROM pr JOIN pc x ON x.post_id = pr.a JOIN pc y ON y.post_id = pr.b WHERE sim >= 0.5 AND abs(y.created - x.created) <= 48),
 cp AS (SELECT f.community AS first, s.community AS second, f.post_id AS first_id, s.post_id AS second_id, lag_hours, f.upvotes AS first_upvotes, s.upvotes AS second_upvotes, f.alive AS first_alive, s.alive AS second_alive FROM cj QUALIFY row_number() OVER (PARTITION BY substr(f.title, 1, 30), f.community, s.community ORDER BY f.post_id, s.post_id) = 1)"""

@@ -86,7 +86,7 @@ query(
 )(lambda s, d: fx.posts(s, d).select("post_id", *[c.alias(k) for k, c in text.title_style(F.col("title")).items()]))
 query("length_bands", f"WITH {POSTS_SQL} SELECT CASE WHEN length(title) < 50 THEN 'Short (<50 chars)' WHEN length(title) < 80 THEN 'Medium (50-80)' WHEN length(title) < 120 THEN 'Long (80-120)' ELSE 'Very long (120+)' END AS band, count(*) AS n, round(avg(CASE WHEN state IN ('surging', 'alive') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS alive_rate, round(median(upvotes), 6) AS median_upvotes, round(avg(upvotes), 6) AS avg_upvotes FROM posts WHERE length(title) < 300 GROUP BY 1")(lambda s, d: rounded(profiles.length_bands(fx.posts(s, d))))
 query("event_clock", "SELECT hour(ts) AS utc_hour, isodow(ts) - 1 AS utc_weekday, CASE WHEN hour(ts) BETWEEN 0 AND 5 THEN 1 ELSE 0 END AS is_night, count(*) AS n FROM events GROUP BY 1, 2, 3")(lambda s, d: fx.table(s, d, "events").select(*[c.alias(k) for k, c in text.clock(F.col("ts")).items()]).groupBy("utc_hour", "utc_weekday", "is_night").agg(F.count(F.lit(1)).alias("n")))
-query("similarity_keys", f"WITH {POSTS_SQL}, x AS (SELECT post_id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS k FROM posts) SELECT post_id, regexp_replace(k, '^(breaking|update|megathread)\\s+', '') AS key FROM x")(lambda s, d: fx.posts(s, d).select("post_id", text.similarity_key(F.col("title")).alias("key")))
+query("similarity_keys", f"WITH {POSTS_SQL}, x AS (SELECT post_id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS k FROM posts) SELECT post_id, regexp_replace(regexp_replace(regexp_replace(k, '^breaking ', ''), '^update ', ''), '^megathread ', '') AS key FROM x")(lambda s, d: fx.posts(s, d).select("post_id", text.similarity_key(F.col("title")).alias("key")))
 
 
 def discussion(s, d):

@@ -306,7 +306,8 @@ KEYWORDS_SQL = POSTS_SQL + f", kp AS (SELECT *, {_words('body')} AS words, {_wor
 _DAY = """count(*) AS n_posts, CAST(sum(upvotes) AS BIGINT) AS total_upvotes, max(upvotes) AS best_upvotes, count(DISTINCT community) AS n_communities, avg(CASE WHEN state IN ('surging', 'alive') THEN 1.0 ELSE 0.0 END) AS alive_rate,
   avg(CASE WHEN state = 'surging' THEN 1.0 ELSE 0.0 END) AS surging_rate, avg(CASE WHEN state = 'dead' THEN 1.0 ELSE 0.0 END) AS dead_rate"""
 DAYS_SQL = KEYWORDS_SQL + f", days AS (SELECT day_no, topic, {_DAY} FROM (SELECT *, unnest(words) AS topic FROM kp) GROUP BY 1, 2)"
-PAIRS_SQL = KEYWORDS_SQL + f""", ln AS (SELECT post_id, day_no, upvotes, community, state, unnest(regexp_split_to_array(body, '[.!?\\n]+')) AS line FROM kp), lw AS (SELECT *, {_words('line')} AS ws FROM ln), days AS (SELECT day_no, topic, {_DAY} FROM (SELECT DISTINCT l.post_id, l.day_no, l.upvotes, l.community, l.state, a.w || '+' || b.w AS topic FROM lw l, unnest(l.ws) a(w), unnest(l.ws) b(w) WHERE a.w < b.w) GROUP BY 1, 2)"""
+PAIRS_SQL = KEYWORDS_SQL + f""", days AS (SELECT day_no, topic, {_DAY} FROM (SELECT l.day_no, l.upvotes, l.community, l.state, a.w || '+' || b.w AS topic FROM kp l, unnest(l.title_words) a(w), unnest(l.title_words) b(w) WHERE a.w < b.w) GROUP BY 1, 2)"""
+SIMILAR_SQL = f"""tw AS (SELECT post_id, community, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), '^breaking ', ''), '^update ', ''), '^megathread ', ''), ' '), lambda w: w <> '' AND NOT list_contains([{', '.join(repr(w) for w in text.COMMON)}], w))) AS ws FROM posts), t AS (SELECT post_id, community, len(ws) AS n, unnest(ws) AS w FROM tw)"""
 INDEX_SQL = ", di AS (SELECT *, CAST(dense_rank() OVER (ORDER BY day_no) - 1 AS INT) AS day_idx FROM days)"
 
 
@@ -320,9 +321,8 @@ def keyword_days(s, d):
 
 
 def pair_days(s, d):
-    """Pairs are of words in one sentence, so their number grows with the text and not with its square."""
-    lines = F.transform(F.split("body", "[.!?\n]+"), lambda line: text.word_pairs(text.tokens(line)))
-    return topics.topic_days(fx.posts(s, d).withColumn("pairs", F.array_distinct(F.flatten(lines))), "pairs")
+    """Pairs are of a title's words."""
+    return topics.pair_days(with_words(s, d), "title_words")
 
 
 _DAYCOLS = "day_no, topic, n_posts, total_upvotes, best_upvotes, n_communities, " + _r("alive_rate", "surging_rate", "dead_rate")
@@ -361,8 +361,8 @@ def _(s, d):
 STATE_DAYS_SQL = (
     DAYS_SQL
     + INDEX_SQL
-    + """, yd AS (SELECT d.*, coalesce(y.n_posts, 0) AS yesterday FROM di d LEFT JOIN di y ON y.topic = d.topic AND y.day_idx = d.day_idx - 1), sd AS (SELECT *, CASE WHEN n_posts < 2 THEN 'dead' WHEN yesterday = 0 OR n_posts / yesterday > 1.5 THEN 'surging' WHEN n_posts / yesterday > 1.05 THEN 'growing'
-  WHEN n_posts / yesterday > 0.8 THEN 'stable' WHEN n_posts / yesterday > 0.5 THEN 'cooling' ELSE 'dying' END AS state FROM yd), ts AS (SELECT a.day_no, a.day_idx, a.topic, a.n_posts, a.yesterday, a.state, b.state AS next_state FROM sd a LEFT JOIN sd b ON b.topic = a.topic AND b.day_idx = a.day_idx + 1)"""
+    + """, yd AS (SELECT *, coalesce(CASE WHEN lag(day_idx) OVER o = day_idx - 1 THEN lag(n_posts) OVER o END, 0) AS yesterday FROM di WINDOW o AS (PARTITION BY topic ORDER BY day_idx)), sd AS (SELECT *, CASE WHEN n_posts < 2 THEN 'dead' WHEN yesterday = 0 OR n_posts / yesterday > 1.5 THEN 'surging' WHEN n_posts / yesterday > 1.05 THEN 'growing'
+  WHEN n_posts / yesterday > 0.8 THEN 'stable' WHEN n_posts / yesterday > 0.5 THEN 'cooling' ELSE 'dying' END AS state FROM yd), ts AS (SELECT day_no, day_idx, topic, n_posts, yesterday, state, CASE WHEN lead(day_idx) OVER o = day_idx + 1 THEN lead(state) OVER o END AS next_state FROM sd WINDOW o AS (PARTITION BY topic ORDER BY day_idx))"""
 )
 query("topic_state", f"WITH {STATE_DAYS_SQL} SELECT * FROM ts")(lambda s, d: topics.topic_states(keyword_days(s, d)))
 query("topic_transitions", f"WITH {STATE_DAYS_SQL} SELECT state, next_state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY state), 6) AS p FROM ts WHERE next_state IS NOT NULL GROUP BY 1, 2")(lambda s, d: rounded(topics.state_transitions(topics.topic_states(keyword_days(s, d)))))
@@ -412,11 +412,11 @@ def _(s, d):
 
 @query(
     "similar_posts",
-    f"""WITH {KEYWORDS_SQL}, t AS (SELECT post_id, community, len(title_words) AS n, unnest(title_words) AS w FROM kp), c AS (SELECT a.post_id AS a, b.post_id AS b, any_value(a.community) AS community_a, any_value(b.community) AS community_b, count(*) / least(any_value(a.n), any_value(b.n)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.community < b.community GROUP BY 1, 2)
+    f"""WITH {POSTS_SQL}, {SIMILAR_SQL}, c AS (SELECT a.post_id AS a, b.post_id AS b, any_value(a.community) AS community_a, any_value(b.community) AS community_b, count(*) / least(any_value(a.n), any_value(b.n)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.community < b.community GROUP BY 1, 2)
 SELECT a, b, community_a, community_b, round(similarity, 6) AS similarity FROM c WHERE similarity >= 0.5""",
 )
 def _(s, d):
-    return rounded(groups.similar_titles(with_words(s, d), "title_words"))
+    return rounded(groups.similar_titles(fx.posts(s, d).withColumn("words", text.similarity_words(F.col("title")))))
 
 
 def transitions(s, d):
