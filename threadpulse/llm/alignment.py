@@ -19,7 +19,7 @@ from .common import arrow_schema, cut_lineage, partitions_for
 from .tokens import LARGE, SPELLING, Encoder, Known, flags, runs_of
 
 #: Bytes of text and number of texts that make up a chunk (or one longer text)
-CHUNK, CHUNK_DOCS = 8_000_000, 16_384
+CHUNK, CHUNK_DOCS = 4_000_000, 16_384
 #: Pairs in a frame of a run, and runs that are merged at a time
 FRAME, FAN_IN = 8192, 64
 
@@ -32,7 +32,7 @@ class PieceEncoder:
     Other texts go to the library whole.
     """
 
-    def __init__(self, path: str, known: int = 400_000):
+    def __init__(self, path: str, known: int = 200_000):
         from sentencepiece import SentencePieceProcessor
 
         self.lib, self.known = SentencePieceProcessor(model_file=path), Known(known)
@@ -70,7 +70,7 @@ class Aligner:
     """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = Encoder(byte_path, special_as_text=True), PieceEncoder(piece_path)
+        self.a, self.b = Encoder(byte_path, known=200_000, special_as_text=True), PieceEncoder(piece_path)
         vocab, byte_of = self.a.lib.get_vocab(), {s.strip(): b for b, s in enumerate(SPELLING)}
         added = {t.content for t in self.a.lib.get_added_tokens_decoder().values()}
         known = {i: t.encode() if t in added else bytes(map(byte_of.__getitem__, t)) for t, i in vocab.items()}
@@ -318,7 +318,7 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, chunk_byt
     """Each text by a byte-level tokenizer (A, with a space before the text) and by a piece model (B), aligned by bytes: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A group ends where tokens of both end; links are overlapping tokens; an id pair's count is its number of links in all
-    documents, so n_best and count_sum come from the whole corpus. Documents are taken in chunks of about 8 MB of text. A chunk's
+    documents, so n_best and count_sum come from the whole corpus. Documents are taken in chunks of about 4 MB of text. A chunk's
     pair-document records are radix-partitioned by B id and sorted into zstd runs; the runs' pairs, with their numbers in
     the chunk, go to the radix' task (the documents behind them stay), a k-way heap merge counts them, B-major order gives each B id's
     highest count, and the answers stream back to the chunk's records. So a pair comes at most once from each chunk, however many
