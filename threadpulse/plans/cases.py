@@ -113,3 +113,5 @@ kw AS (SELECT p.*, p.upvotes % 5 AS velocity, qu.gini, qu.sentiment, qu.neg_shar
 g AS (SELECT day_no, topic, count(*) AS n_posts, CAST(sum(upvotes) AS BIGINT) AS total_upvotes, avg(CAST(state = 'surging' AS INT)) AS surge_rate, avg(CAST(state IN ('surging', 'alive') AS INT)) AS alive_rate, avg(CAST(state IN ('dead', 'dying') AS INT)) AS dead_rate, coalesce(avg(gini), 0) AS avg_gini, coalesce(avg(sentiment), 0) AS avg_sentiment, coalesce(avg(nullif(velocity, 0)), 0) AS avg_velocity, coalesce(avg(neg_share), 0) AS avg_neg_share FROM kw GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT day_no, topic, n_posts, total_upvotes, {_r(*_Q)} FROM (SELECT *, count(*) OVER (PARTITION BY topic) AS c FROM g) WHERE c >= 5""",
 )(lambda s, d: rounded(quality_days(s, d)))
+
+query("sentiment_labels", f"WITH {COMPOUND_SQL} SELECT post_id, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label, count(*) AS n FROM sc WHERE compound IS NOT NULL GROUP BY 1, 2")(lambda s, d: scored_comments(s, d).where("compound IS NOT NULL").groupBy("post_id", text.sentiment_label(F.col("compound")).alias("label")).agg(F.count(F.lit(1)).alias("n")))

@@ -39,6 +39,31 @@ def snapshot_context(posts: DataFrame, metadata: DataFrame) -> DataFrame:
     return first.join(metadata, "stem", "left").select("stem", F.regexp_replace(F.coalesce(blank(F.col("subreddit")), F.col("f.communityName")), "(?i)^r/", "").alias("community"), F.coalesce(blank(F.col("listing")), F.lit("new")).alias("listing"), F.coalesce(F.try_to_timestamp("saved_at"), by_name, F.try_to_timestamp("f.scrapedAt")).alias("snapshot_time"))
 
 
+def full_context(items: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row for each stem of items or metadata: community, listing, top_time, listing_type, snapshot_time, schedule fields and numbers of posts and comments.
+
+    Each field falls back by itself: the metadata, then the name of the config file that it cites (reddit_r_<community>_<listing>.json), then, for the community, the first post's parsed
+    name, name and category. The time falls back to the file name's YYYYMMDD_HHMMSS_ and then to the first post's scrape. Bad times are null."""
+    from ..functions.text import _first_known, community_name, listing_type
+
+    is_post = F.col("dataType") == "post"
+    per = items.groupBy("stem").agg(F.min_by(F.struct("parsedCommunityName", "communityName", "category", "scrapedAt"), F.when(is_post, F.col("pos"))).alias("f"), F.count_if(is_post).alias("n_posts"), F.count_if(F.col("dataType") == "comment").alias("n_comments"))
+    name = F.element_at(F.split(F.coalesce("input_file", F.lit("")), r"[/\\\\]"), -1)
+    part = lambda k: F.nullif(F.regexp_extract(name, r"(?i)reddit_r_(.+)_(new|hot|rising|top_day|top_week)\.json$", k), F.lit(""))
+    suffix = F.lower(part(2))
+    top = suffix.startswith("top_")
+    j = per.join(metadata, "stem", "full")
+    names = [F.when(F.trim(c) != "", community_name(c)) for c in (F.col("subreddit"), part(1), F.col("f.parsedCommunityName"), F.col("f.communityName"), F.col("f.category"))]
+    listing = F.coalesce(_first_known(F.col("listing"), F.when(top, "top").otherwise(suffix)), F.lit(""))
+    period = F.coalesce(_first_known(F.col("top_time"), F.when(top, F.substring(suffix, 5, 10))), F.lit(""))
+    by_name = F.try_to_timestamp(F.nullif(F.regexp_extract("stem", r"^(\d{8}_\d{6})_", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    return j.select(
+        "stem", F.coalesce(_first_known(*names), F.lit("")).alias("community"), listing.alias("listing"), period.alias("top_time"), listing_type(listing, period).alias("listing_type"), F.coalesce(F.try_to_timestamp("saved_at"), by_name, F.try_to_timestamp("f.scrapedAt")).alias("snapshot_time"),
+        *[blank(c).alias(c) for c in ("schedule_name", "cadence_label", "scheduled_hour", "input_file")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_posts", "n_comments")],
+    )
+
+
 def flatten_comments(trees: DataFrame, json: str, key: str) -> DataFrame:
     """Comments of nested listing trees, depth first: key, path (places from the root), id, parent_id, body, depth. One explode per level until none is left."""
     from ..sources.tables import materialize
