@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cases, groups, selection, status
+from ..operators import cases, groups, selection, sentiment, status
 from ..sources import tables
 from . import fixtures as fx
 from .fixtures import COMMENTS_SQL, POSTS_SQL
@@ -115,3 +115,26 @@ SELECT day_no, topic, n_posts, total_upvotes, {_r(*_Q)} FROM (SELECT *, count(*)
 )(lambda s, d: rounded(quality_days(s, d)))
 
 query("sentiment_labels", f"WITH {COMPOUND_SQL} SELECT post_id, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label, count(*) AS n FROM sc WHERE compound IS NOT NULL GROUP BY 1, 2")(lambda s, d: scored_comments(s, d).where("compound IS NOT NULL").groupBy("post_id", text.sentiment_label(F.col("compound")).alias("label")).agg(F.count(F.lit(1)).alias("n")))
+
+_RULES = {"boosters": {"and": 0.293, "that": 0.293, "or": -0.293}, "negators": ("was", "he"), "contrast": "on"}
+_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_B = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _RULES["boosters"].items()) + " END"
+_NEG = ", ".join(f"'{w}'" for w in _RULES["negators"])
+
+
+def _step(v: str, d: int, fade: float) -> str:
+    up = f"(CASE WHEN {v} < 0 THEN -{_B.format(f'w{d}')} ELSE {_B.format(f'w{d}')} END + CASE WHEN mixed AND c{d} THEN CASE WHEN {v} > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END)"
+    return f"(({v} + coalesce({up} * {fade}, 0)) * CASE WHEN w{d} IN ({_NEG}) THEN -0.74 ELSE 1.0 END)"
+
+
+query(
+    "sentiment_rules",
+    f"""WITH {COMMENTS_SQL}, r0 AS (SELECT post_id, comment_id, body, list_transform(list_filter(regexp_split_to_array(coalesce(body, ''), '[ \\t\\n\\r\\f]+'), lambda w: w <> ''), lambda w: CASE WHEN length(regexp_replace(w, '{_EDGES}', '', 'g')) <= 2 THEN w ELSE regexp_replace(w, '{_EDGES}', '', 'g') END) AS ws FROM comments),
+r1 AS (SELECT *, list_transform(ws, lambda w: lower(w)) AS low, list_transform(ws, lambda w: w = upper(w) AND w <> lower(w)) AS cap FROM r0),
+r2 AS (SELECT *, len(list_filter(cap, lambda c: c)) AS nc, coalesce(list_position(low, 'on'), 0) AS turn, least(length(coalesce(body, '')) - length(replace(coalesce(body, ''), '!', '')), 4) * 0.292 AS ex, length(coalesce(body, '')) - length(replace(coalesce(body, ''), '?', '')) AS q FROM r1),
+r3 AS (SELECT post_id, comment_id, turn, nc > 0 AND nc < len(ws) AS mixed, ex + CASE WHEN q <= 1 THEN 0 WHEN q <= 3 THEN q * 0.18 ELSE 0.96 END AS e, i, low[i] AS token, cap[i] AS c, {', '.join(f'CASE WHEN i > {d} THEN low[i - {d}] END AS w{d}, CASE WHEN i > {d} THEN cap[i - {d}] END AS c{d}' for d in (1, 2, 3))} FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM r2)),
+r4 AS (SELECT r3.*, valence + CASE WHEN mixed AND c THEN sign(valence) * 0.733 ELSE 0 END AS v0 FROM r3 JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _LEXICON.items())}) l(t, valence) ON l.t = r3.token),
+r5 AS (SELECT *, {_step('v0', 1, 1.0)} AS v1 FROM r4), r6 AS (SELECT *, {_step('v1', 2, 0.95)} AS v2 FROM r5), r7 AS (SELECT *, {_step('v2', 3, 0.9)} AS v3 FROM r6),
+r8 AS (SELECT post_id, comment_id, count(*) AS n_hits, any_value(e) AS e, sum(v3 * CASE WHEN turn = 0 THEN 1.0 WHEN i < turn THEN 0.5 WHEN i > turn THEN 1.5 ELSE 1.0 END)::DOUBLE AS s FROM r7 GROUP BY 1, 2), r9 AS (SELECT *, s + sign(s) * e AS z FROM r8)
+SELECT c.post_id, c.comment_id, round(coalesce(z / sqrt(z * z + 15), 0), 6) + 0.0 AS compound, coalesce(n_hits, 0) AS n_hits FROM comments c LEFT JOIN r9 ON r9.post_id = c.post_id AND r9.comment_id = c.comment_id""",
+)(lambda s, d: rounded(sentiment.rule_scores(fx.comments(s, d).withColumn("k", F.concat_ws(":", "post_id", "comment_id")), s.createDataFrame(list(_LEXICON.items()), "token string, valence double"), "k", "body", **_RULES).select(F.split("k", ":")[0].cast("long").alias("post_id"), F.split("k", ":")[1].cast("long").alias("comment_id"), "compound", "n_hits")))
