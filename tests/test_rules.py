@@ -174,3 +174,23 @@ def test_similarity_key_takes_prefixes_off_in_order(spark):
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", text.similarity_key(F.col("t")).alias("k"), text.similarity_words(F.col("t")).alias("w")).orderBy("i").collect()
     assert [r.k for r in got] == [k for _, k in cases]
     assert got[0].w == ["vote"] and got[6].w == []
+
+
+def test_forecast_text(spark):
+    from threadpulse.operators import reports
+
+    cases = [(10, 1.0, 1.0, "at risk of dying"), (30, 1.0, 1.0, "recovering"), (30, 1.0, None, "at risk"), (60, -1.0, -1.0, "declining"), (60, -1.0, 1.0, "stable"), (75, 1.0, 0.5, "growing"), (90, 0.0, 1.0, "stable")]
+    got = spark.createDataFrame([(i, float(s), u, c) for i, (s, u, c, _) in enumerate(cases)], "i int, s double, u double, c double").select("i", reports.forecast_text(F.col("s"), F.col("u"), F.col("c")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [c[-1] for c in cases]
+
+
+def test_similar_titles_of_equal_sets(spark):
+    rows = [(i, "abc"[i % 3], ["x"]) for i in range(30)] + [(40, "a", ["x", "y"]), (41, "b", ["y", "z"]), (42, "c", ["q"])]
+    got = {(r.a, r.b): r.similarity for r in groups.similar_titles(spark.createDataFrame(rows, "post_id int, community string, words array<string>")).collect()}
+    want = {}
+    for i, c, w in rows:
+        for j, e, v in rows:
+            s = len({*w} & {*v}) / min(len(w), len(v))
+            if c < e and s >= 0.5:
+                want[i, j] = s
+    assert got == want and len(want) > 300

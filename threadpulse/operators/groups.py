@@ -86,22 +86,27 @@ def per_group_limit(df: DataFrame, group: str, k: int, by: list[Column], total:
 def similar_titles(posts: DataFrame, words: str = "words", least: float = 0.5) -> DataFrame:
     """Pairs of posts of different communities whose titles share at least `least` of the smaller word set, exactly: an inverted-index join on the rarest words.
 
-    A pair at the threshold shares one of the first n - ceil(least x n) + 1 words of either side in the order of rarity, so only those prefixes are joined; the
-    sets themselves verify. Communities a < b."""
+    Posts with one word set are one row of that join, however many they are, so a frequent word joins sets, not posts. A pair at the threshold shares one of the
+    first n - ceil(least x n) + 1 words of the smaller set in the order of rarity, so only those prefixes are joined; the sets themselves verify, and posts come in at the end. Communities a < b."""
     from ..sources.tables import materialize
 
-    base = materialize(posts.where(F.size(words) > 0).select("post_id", "community", F.col(words).alias("w"), F.size(words).alias("n")))
-    df = base.select(F.explode("w").alias("t")).groupBy("t").count()
-    ordered = base.select("post_id", "community", F.explode("w").alias("t")).join(df, "t").groupBy("post_id", "community").agg(F.sort_array(F.collect_list(F.struct("count", "t"))).alias("s"))
+    members = materialize(posts.where(F.size(words) > 0).select("post_id", "community", F.array_sort(words).alias("w")).withColumn("k", F.concat_ws(" ", "w")))
+    sets = materialize(members.groupBy("k").agg(F.first("w").alias("w")))
+    df = sets.select(F.explode("w").alias("t")).groupBy("t").count()
+    ordered = sets.select("k", F.explode("w").alias("t")).join(df, "t").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("count", "t"))).alias("s"))
     # the smaller set of a pair must lend ceil(least x n) words, so its own prefix suffices; the larger one is probed with all of its words
     n = F.size("s")
     prefix = F.slice("s", 1, (n - F.ceil(n * F.lit(least)) + 1).cast("int"))
-    key = ordered.select("post_id", "community", n.alias("n"), F.explode(prefix).alias("x")).select("post_id", "community", "n", F.col("x.t").alias("t"))
-    probe = ordered.select(F.col("post_id").alias("post2"), F.col("community").alias("com2"), n.alias("n2"), F.explode("s").alias("x")).select("post2", "com2", "n2", F.col("x.t").alias("t"))
-    cand = key.join(probe, "t").where((F.col("n") <= F.col("n2")) & (F.col("community") != F.col("com2"))).select(F.when(F.col("community") < F.col("com2"), F.col("post_id")).otherwise(F.col("post2")).alias("a"), F.when(F.col("community") < F.col("com2"), F.col("post2")).otherwise(F.col("post_id")).alias("b")).distinct()
-    left, right = base.select(F.col("post_id").alias("a"), F.col("community").alias("community_a"), F.col("w").alias("wa")), base.select(F.col("post_id").alias("b"), F.col("community").alias("community_b"), F.col("w").alias("wb"))
+    key = ordered.select("k", n.alias("n"), F.explode(prefix).alias("x")).select("k", "n", F.col("x.t").alias("t"))
+    probe = ordered.select(F.col("k").alias("k2"), n.alias("n2"), F.explode("s").alias("x")).select("k2", "n2", F.col("x.t").alias("t"))
+    cand = key.join(probe, "t").where(F.col("n") <= F.col("n2")).select(F.least("k", "k2").alias("ka"), F.greatest("k", "k2").alias("kb")).distinct()
+    left, right = sets.select(F.col("k").alias("ka"), F.col("w").alias("wa")), sets.select(F.col("k").alias("kb"), F.col("w").alias("wb"))
     sim = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
-    return cand.join(left, "a").join(right, "b").withColumn("similarity", sim).where(F.col("similarity") >= least).select("a", "b", "community_a", "community_b", "similarity")
+    alike = cand.join(left, "ka").join(right, "kb").withColumn("similarity", sim).where(F.col("similarity") >= least).select("ka", "kb", "similarity")
+    side = lambda k, x: members.select(F.col("k").alias(k), F.struct("community", "post_id").alias(x))
+    pairs = alike.join(side("ka", "x"), "ka").join(side("kb", "y"), "kb").where((F.col("x.community") != F.col("y.community")) & ((F.col("ka") != F.col("kb")) | (F.col("x.community") < F.col("y.community"))))
+    low, high = (F.when((F.col("x.community") < F.col("y.community")) == one, F.col("x")).otherwise(F.col("y")) for one in (F.lit(True), F.lit(False)))
+    return pairs.select(low.alias("a"), high.alias("b"), "similarity").select(F.col("a.post_id").alias("a"), F.col("b.post_id").alias("b"), F.col("a.community").alias("community_a"), F.col("b.community").alias("community_b"), "similarity")
 
 
 def quality_report(posts: DataFrame, comments: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:

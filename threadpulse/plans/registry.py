@@ -510,7 +510,7 @@ query("forest_emergence")(lambda s, d: rounded(models.forest_scores(growth_frame
 query("kmeans_text")(lambda s, d: models.text_clusters(with_words(s, d).select("post_id", "words"), "words").select("post_id", "cluster"))
 
 
-from . import cases, flows, intake, labels, learn, now, profiles, status, training  # noqa: E402, F401  (they add their queries to the above)
+from . import cases, flows, intake, labels, learn, now, profiles, reports, status, training  # noqa: E402, F401  (they add their queries to the above)
 
 
 def queries() -> dict[str, Query]:
