@@ -194,3 +194,15 @@ def test_similar_titles_of_equal_sets(spark):
             if c < e and s >= 0.5:
                 want[i, j] = s
     assert got == want and len(want) > 300
+
+
+def test_whole_seconds_are_nearest(spark, tmp_path):
+    """24 hours to the second before and after: half seconds go to the nearest whole one, as the query's SQL casts them."""
+    import oracle
+
+    from threadpulse.plans import registry
+
+    at = ["2024-01-01 10:00:00.700000", "2024-01-02 10:00:01.200000", "2024-01-02 10:00:00.900000", "2024-01-02 10:00:01.600000"]
+    events = spark.createDataFrame([(i, t, 3 * i) for i, t in enumerate(at)], "event_id long, t string, user_id long").selectExpr("event_id", "cast(t as timestamp) AS ts", "user_id", "'view' AS event_type", "1.0D AS value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert oracle.differences(spark, oracle.duck(tmp_path), registry.queries()["repeat_24h"], registry.oracle_sql()["repeat_24h"], str(tmp_path)) == ""
