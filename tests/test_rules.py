@@ -206,3 +206,23 @@ def test_whole_seconds_are_nearest(spark, tmp_path):
     events = spark.createDataFrame([(i, t, 3 * i) for i, t in enumerate(at)], "event_id long, t string, user_id long").selectExpr("event_id", "cast(t as timestamp) AS ts", "user_id", "'view' AS event_type", "1.0D AS value")
     events.write.parquet(str(tmp_path / "events.parquet"))
     assert oracle.differences(spark, oracle.duck(tmp_path), registry.queries()["repeat_24h"], registry.oracle_sql()["repeat_24h"], str(tmp_path)) == ""
+
+
+def test_quantiles_to_the_last_bit(spark):
+    """Values a few last bits apart: quantiles equal DuckDB's exactly, by counts and over ranges."""
+    import random
+
+    import duckdb
+
+    draw = random.Random(5)
+    rows = []
+    for g in range(60):
+        base = draw.uniform(1, 50)
+        rows += [(g, math.nextafter(base, 1e9, steps=draw.randint(0, 3))) for _ in range(draw.randint(2, 40))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g INT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = {r[0]: list(r[1:]) for r in con.execute("SELECT g, quantile_cont(v, 0.35), quantile_cont(v, 0.8), quantile_cont(v, 0.1) FROM t GROUP BY 1").fetchall()}
+    df = spark.createDataFrame(rows, "g int, v double")
+    for most in (10_000, 0):
+        assert {r.g: r.v for r in quantiles.by_group(df, "g", {"v": [0.35, 0.8, 0.1]}, most).collect()} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
@@ -14,14 +14,13 @@ IN_ONE_TASK = 5_000_000
 def by_group(rows: DataFrame, group: str | None, values: dict[str, list[float]], most: int = IN_ONE_TASK) -> DataFrame:
     """group (if any) and for each column of `values` an array of its quantiles, linear between ranks; nulls left out.
 
-    Few values are sorted by one aggregate a group. More are sorted over ranges: counts per range and group tell in which range a rank lies, and only there rows
-    are numbered, so no task holds more than a range's rows of one group, however large the group. Both ways give the same numbers."""
-    if rows.count() <= most:
-        agg = [F.percentile(c, ps).alias(c) for c, ps in values.items()]
-        return rows.groupBy(group).agg(*agg) if group else rows.agg(*agg)
+    Few values are counted per distinct one and sorted by group. More are sorted over ranges: counts per range and group tell in which range a rank lies, and only there rows
+    are numbered, so no task holds more than a range's rows of one group, however large the group. Both ways give the same numbers, to the last bit those of SQL."""
+    few = rows.count() <= most
     out = rows.select(group).distinct() if group else None
     for c, ps in values.items():
-        one = _over_ranges(rows.where(F.col(c).isNotNull()).select(*([group] if group else []), F.col(c).alias("v")), group, ps).withColumnRenamed("q", c)
+        part = rows.where(F.col(c).isNotNull()).select(*([group] if group else []), F.col(c).cast("double").alias("v"))
+        one = (_counted if few else _over_ranges)(part, group, ps).withColumnRenamed("q", c)
         if out is None:
             out = one
         elif group:
@@ -31,6 +30,33 @@ def by_group(rows: DataFrame, group: str | None, values: dict[str, list[float]],
     return out
 
 
+def between(a: Column, b: Column, share: Column) -> Column:
+    """a (1 - share) + b share, the first product and the sum rounded once only, as SQL has it: neighbours that differ in their last bit alone otherwise give
+    a quantile on the other side of one of them, and all posts of that velocity another state. The product's rounding error is found by Dekker's split, the sum's by Knuth."""
+    w, c = 1 - share, b * share
+    big = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    p = a * w
+    ah, wh = big(a), big(w)
+    al, wl = a - ah, w - wh
+    lost = ((ah * wh - p) + ah * wl + al * wh) + al * wl
+    s = p + c
+    return F.when(a == b, a).otherwise(s + (((p - (s - (s - p))) + (c - (s - p))) + lost))
+
+
+def _counted(rows: DataFrame, group: str | None, ps: list[float]) -> DataFrame:
+    g = F.col(group) if group else F.lit(0)
+    per = rows.groupBy(g.alias("g"), "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("g")
+    per = per.withColumn("end", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.sum("c").over(w) - 1)
+    at = [F.lit(p) * F.col("last") for p in ps]
+    held = lambda rank: F.max(F.when((F.col("end") > rank) & (F.col("end") - F.col("c") <= rank), F.col("v")))
+    got = per.groupBy("g").agg(F.max("last").alias("last"), *[held(f(x)).alias(f"{k}{i}") for i, x in enumerate(at) for k, f in (("a", F.floor), ("b", F.ceil))])
+    got = got.select("g", F.array(*[between(F.col(f"a{i}"), F.col(f"b{i}"), x - F.floor(x)) for i, x in enumerate(at)]).alias("q"))
+    if group:
+        return got.withColumnRenamed("g", group)
+    return got.agg(F.first("q").alias("q"))  # a row also without any value
+
+
 def _over_ranges(rows: DataFrame, group: str | None, ps: list[float]) -> DataFrame:
     key = F.col(group) if group else F.lit(0)
     spread = materialize(rows.repartitionByRange("v").select(key.alias("g"), "v", F.spark_partition_id().alias("part")))
@@ -42,6 +68,5 @@ def _over_ranges(rows: DataFrame, group: str | None, ps: list[float]) -> DataFra
     want = materialize(want.select("g", "part", "k", "at", "rank", "local").distinct())
     here = spread.join(want.select("g", "part").distinct(), ["g", "part"]).withColumn("local", F.row_number().over(Window.partitionBy("g", "part").orderBy("v")) - 1)
     got = here.join(want, ["g", "part", "local"]).groupBy("g", "k").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"), F.first("at").alias("at"))
-    q = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    per = got.withColumn("q", q).groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
+    per = got.withColumn("q", between(F.col("a"), F.col("b"), F.col("at") - F.floor("at"))).groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
     return per.withColumnRenamed("g", group) if group else per.drop("g")
