@@ -243,3 +243,13 @@ def test_similar_pairs_are_not_shuffled(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_pairs_of_the_whole_text(spark):
+    """Pairs of the title and of every sentence of the body, once a post; one shuffle, of words with those behind them."""
+    rows = [(1, 7, "s0", 5, "alive", "alpha omega. gamma", "alpha omega. gamma\nomega delta alpha! zzz delta"), (1, 8, "s1", 2, "dead", "gamma", "gamma\nalpha: omega"), (2, 9, "s0", 1, "dead", None, None)]
+    df = spark.createDataFrame(rows, "day_no int, post_id int, community string, upvotes int, state string, title string, body string")
+    days = topics.pair_days(df, "title", "body")
+    got = {r.topic: (r.n_posts, r.total_upvotes, r.n_communities) for r in days.collect()}
+    assert got == {"alpha+omega": (2, 7, 2), "alpha+gamma": (1, 5, 1), "gamma+omega": (1, 5, 1), "alpha+delta": (1, 5, 1), "delta+omega": (1, 5, 1)}
+    assert days._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange hashpartitioning") == 1
