@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.states import lookup, recommendation, safe_ratio, STATE_MULTIPLIER, zero
 from .groups import alive, gini
+from .topics import pair_rows
 
 SURGE, ACTIVE, DIE = ("surge_watch",), ("surge_watch", "active_watch"), ("cooling_watch", "dying_watch", "stop_watch")
 
@@ -48,11 +49,11 @@ def domain_report(posts: DataFrame, least: int = 5) -> DataFrame:
 
 
 def pair_community_days(posts: DataFrame, words: str) -> DataFrame:
-    """Per (day, pair of a title's words, community): posts, upvotes, best and mean comments, best and mean velocity (unknown: 0). Two explodes, so no row holds all pairs of a title."""
-    s = posts.select("day_no", "community", "upvotes", zero("comments").alias("comments"), zero("velocity").alias("velocity"), F.array_sort(words).alias("_w"))
-    s = s.select("*", F.posexplode("_w").alias("_i", "_a")).withColumn("_rest", F.slice("_w", F.col("_i") + 2, F.greatest(F.size("_w") - F.col("_i") - 1, F.lit(0))))
-    long = s.select("day_no", "community", "upvotes", "comments", "velocity", "_a", F.explode("_rest").alias("_b")).withColumn("pair", F.concat("_a", F.lit("+"), "_b"))
-    return long.groupBy("day_no", "pair", "community").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("upvotes").alias("total_upvotes"), F.max("comments").alias("best_comments"), F.avg("comments").alias("avg_comments"), F.max("velocity").alias("best_velocity"), F.avg("velocity").alias("avg_velocity"))
+    """Per (day, pair of a title's words, community): posts, upvotes, best and mean comments, best and mean velocity (unknown: 0)."""
+    s = posts.select("day_no", "community", "upvotes", zero("comments").alias("comments"), zero("velocity").alias("velocity"), words)
+    long = pair_rows(s, words, ["day_no", "community", "upvotes", "comments", "velocity"])
+    per = long.groupBy("day_no", "_a", "_b", "community").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("upvotes").alias("total_upvotes"), F.max("comments").alias("best_comments"), F.avg("comments").alias("avg_comments"), F.max("velocity").alias("best_velocity"), F.avg("velocity").alias("avg_velocity"))
+    return per.select("day_no", F.concat("_a", F.lit("+"), "_b").alias("pair"), "community", "n_posts", "total_upvotes", "best_comments", "avg_comments", "best_velocity", "avg_velocity")
 
 
 def discussion_moods(comments: DataFrame) -> DataFrame:
