@@ -253,3 +253,12 @@ def test_pairs_of_the_whole_text(spark):
     got = {r.topic: (r.n_posts, r.total_upvotes, r.n_communities) for r in days.collect()}
     assert got == {"alpha+omega": (2, 7, 2), "alpha+gamma": (1, 5, 1), "gamma+omega": (1, 5, 1), "alpha+delta": (1, 5, 1), "delta+omega": (1, 5, 1)}
     assert days._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_title_words_travel_as_text(spark):
+    """Distances of titles with and without words; no array of words goes along with each keyword."""
+    rows = [(1, 1, ["k", "m"], ["alpha", "omega"]), (1, 2, ["k", "m"], ["alpha"]), (1, 3, ["m"], []), (1, 4, ["z"], ["omega"]), (2, 5, ["q"], []), (2, 6, ["q"], [])]
+    out = profiles.title_diversity(spark.createDataFrame(rows, "day_no int, post_id int, words array<string>, title_words array<string>"), "words", "title_words", 5)
+    got = {(r.day_no, r.topic): (r.n_posts, round(r.diversity, 6)) for r in out.collect()}
+    assert got == {(1, "k"): (2, 0.5), (1, "m"): (3, round((0.5 + 1 + 1) / 3, 6)), (2, "q"): (2, 0.0)}
+    assert "concat_ws" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -172,9 +172,11 @@ def keyword_profiles(posts: DataFrame, keys: str, measures: DataFrame, low: int,
 
 def title_diversity(posts: DataFrame, keys: str, words: str, most: int) -> DataFrame:
     """Per (day, keyword) with 2 to `most` posts: mean Jaccard distance of its titles' word sets over all pairs; keywords of more posts are no small topics and have no row."""
-    long = posts.select("day_no", "post_id", F.col(words).alias("w"), F.explode(keys).alias("topic"))
+    # a title's words go along with each keyword, as one text with a control character between them, which needs fewer bytes than an array
+    long = posts.select("day_no", "post_id", F.concat_ws("\x01", words).alias("w"), F.explode(keys).alias("topic"))
     few = long.groupBy("day_no", "topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select("day_no", "topic")
     sets = long.join(few, ["day_no", "topic"]).groupBy("day_no", "topic").agg(F.sort_array(F.collect_list(F.struct("post_id", "w"))).alias("s"))
+    sets = sets.withColumn("s", F.transform("s", lambda x: F.struct(F.array_remove(F.split(x["w"], "\x01"), "").alias("w"))))
     pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(F.size(F.array_intersect(a["w"], b["w"])).alias("both"), F.size(F.array_union(a["w"], b["w"])).alias("all")))))
     kept = F.filter(pairs, lambda p: p["all"] > 0)
     total = F.aggregate(kept, F.lit(0.0), lambda a, p: a + 1 - p["both"] / p["all"])
