@@ -58,3 +58,14 @@ def test_growth_report(spark):
     got = {(r.target, r.model): r for r in training.growth_report(df.where("id < 600"), df.where("id >= 600")).collect()}
     assert {k[1] for k in got} == {"naive", "ridge", "ridge by bucket", "forest"} and {k[0] for k in got} == {"next_upvote_delta"}
     assert got["next_upvote_delta", "ridge"].r2 > 0.9 and got["next_upvote_delta", "forest"].r2 > 0.3 and got["next_upvote_delta", "naive"].n == 300
+
+
+def test_forest_reads_words_once(spark, monkeypatch):
+    """The frame of the forest is written before the fit, so texts are not parsed again for each of its passes."""
+    from oracle import DATA
+    from threadpulse.plans import registry
+
+    seen, plain = [], registry.models.forest_scores
+    monkeypatch.setattr(registry.models, "forest_scores", lambda frame, *a: seen.append(frame._jdf.queryExecution().optimizedPlan().toString()) or plain(frame, *a))
+    assert registry.queries()["forest_emergence"](spark, DATA).count() > 0
+    assert "Generate" not in seen[0] and "Aggregate" not in seen[0]
