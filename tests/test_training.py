@@ -69,3 +69,32 @@ def test_forest_reads_words_once(spark, monkeypatch):
     monkeypatch.setattr(registry.models, "forest_scores", lambda frame, *a: seen.append(frame._jdf.queryExecution().optimizedPlan().toString()) or plain(frame, *a))
     assert registry.queries()["forest_emergence"](spark, DATA).count() > 0
     assert "Generate" not in seen[0] and "Aggregate" not in seen[0]
+
+
+def test_settings_make_their_own_table_only(spark, monkeypatch):
+    """The settings are tried on one task, so the tables of the nine others are not made."""
+    from oracle import DATA
+    from threadpulse.plans import registry, training as plans  # noqa: F401
+
+    def never(*_):
+        raise AssertionError("another task's table was made")
+
+    for name in ("grid", "community_days", "peak_profiles"):
+        monkeypatch.setattr(plans if name == "grid" else plans.labels, name, never)
+    monkeypatch.setattr(plans.training, "grid", lambda: [("tree", {"maxDepth": 2})])
+    assert [r.family for r in plans.settings(spark, DATA).collect()] == ["tree"]
+
+
+def test_class_metrics_are_those_of_all_rows(spark):
+    """Equal rows scored, and learned from, once with their number give what every row for itself gives."""
+    from threadpulse.operators import learners
+
+    df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("z"), ((F.col("id") * 5 % 11 + F.col("id") % 7) > 8).cast("int").alias("y"))
+    a, b = df.where("id < 400"), df.where("id >= 400")
+    tried = [("tree", {"maxDepth": 3}), ("tree", {"maxDepth": 3, "minInstancesPerNode": 30}), ("boosting", {}), ("forest", {"numTrees": 5}), ("logistic", {"regParam": 0.1})]
+    for (family, options), m in zip(tried, learners.class_metrics(a, b, "y", ["x", "z"], tried)):
+        each = learners.score_metrics(learners.class_scores(a, b, "y", ["x", "z"], family, **options), "y")
+        assert m["n"] == each["n"] == 200 and m["accuracy"] == pytest.approx(each["accuracy"]) and m["auc"] == pytest.approx(each["auc"]), family
+    one, none = a.where("y = 1"), a.where("id < 0")
+    assert learners.class_metrics(one, b, "y", ["x"], [("tree", {})])[0]["auc"] == pytest.approx(0.5)
+    assert learners.class_metrics(none, b, "y", ["x"], [("tree", {})]) == [{"n": 200, "accuracy": None, "auc": None}]
