@@ -85,6 +85,16 @@ def test_settings_make_their_own_table_only(spark, monkeypatch):
     assert [r.family for r in plans.settings(spark, DATA).collect()] == ["tree"]
 
 
+def test_cluster_words_reads_texts_once(spark, monkeypatch):
+    from oracle import DATA
+    from threadpulse.plans import registry, learn
+
+    seen, plain = [], learn.learners.cluster_words
+    monkeypatch.setattr(learn.learners, "cluster_words", lambda frame, *a: seen.append(frame._jdf.queryExecution().optimizedPlan().toString()) or plain(frame, *a))
+    assert registry.queries()["cluster_words"](spark, DATA).count() > 0
+    assert "regexp" not in seen[0]
+
+
 def test_class_metrics_are_those_of_all_rows(spark):
     """Equal rows scored, and learned from, once with their number give what every row for itself gives."""
     from threadpulse.operators import learners

@@ -77,5 +77,6 @@ query("model_comparison")(lambda s, d: rounded(learners.compare_models({"emergen
 query("hyperparameter_search")(lambda s, d: rounded(learners.search(*_topics(s, d), "y", TOPIC_NUMBERS, "tree", {"maxDepth": [3, 6], "minInstancesPerNode": [1, 20]})))
 query("k_fold")(lambda s, d: rounded(learners.k_fold(tables.materialize(growth_frame(s, d)), "y", TOPIC_NUMBERS, "topic")))
 query("log_linear")(lambda s, d: rounded(learners.log_linear(keyword_days(s, d), "total_upvotes", ["n_posts", "best_upvotes", "n_communities"])))
-query("cluster_words")(lambda s, d: rounded(learners.cluster_words(with_words(s, d).select("words"), "words")))
+#: vocabulary, weights and centres each read the words, so they are taken from the texts once
+query("cluster_words")(lambda s, d: rounded(learners.cluster_words(tables.materialize(with_words(s, d).select("words")), "words")))
 query("recursive_forecast")(lambda s, d: rounded(learners.recursive_forecast(tables.materialize(keyword_days(s, d)), "topic", "day_no", "n_posts")))
