@@ -108,3 +108,20 @@ def test_class_metrics_are_those_of_all_rows(spark):
     one, none = a.where("y = 1"), a.where("id < 0")
     assert learners.class_metrics(one, b, "y", ["x"], [("tree", {})])[0]["auc"] == pytest.approx(0.5)
     assert learners.class_metrics(none, b, "y", ["x"], [("tree", {})]) == [{"n": 200, "accuracy": None, "auc": None}]
+
+
+def test_repeats_are_counted_on_keys_alone(spark, monkeypatch):
+    """prior_repeats reads its rows several times, so it gets written keys and not the wide rows, which would be made again for each time."""
+    from oracle import DATA
+    from threadpulse.plans import registry, training as plans  # noqa: F401
+
+    class Seen(Exception):
+        pass
+
+    def stop(rows, *_):
+        raise Seen(len(rows.columns), rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(training, "prior_repeats", stop)
+    with pytest.raises(Seen) as seen:
+        plans.table(spark, DATA)
+    assert seen.value.args[0] == 4 and "Window" not in seen.value.args[1]
