@@ -40,7 +40,8 @@ def between(a: Column, b: Column, share: Column) -> Column:
     al, wl = a - ah, w - wh
     lost = ((ah * wh - p) + ah * wl + al * wh) + al * wl
     s = p + c
-    return F.when(a == b, a).otherwise(s + (((p - (s - (s - p))) + (c - (s - p))) + lost))
+    # equal neighbours too: of a group of a few values SQL's quantile may miss them by a last bit
+    return s + (((p - (s - (s - p))) + (c - (s - p))) + lost)
 
 
 def _counted(rows: DataFrame, group: str | None, ps: list[float]) -> DataFrame:
