@@ -295,6 +295,23 @@ def test_cross_posts_move_no_titles(spark, monkeypatch):
     assert got == want and len(got) > 20 and kept == ["created"]
 
 
+def test_links_of_each_post_are_counted(spark, monkeypatch):
+    """Links and classes of equal sets as loops find them, for many posts of one set and frequent words; posts without words have none."""
+    import random
+
+    monkeypatch.setattr(groups, "POSTS_A_ROW", 2)
+    monkeypatch.setattr(groups, "SETS_A_TASK", 1)
+    draw = random.Random(4)
+    rows = [(i, "abcd"[i % 4], draw.sample("pqrstuv", draw.randint(0, 4))) for i in range(120)] + [(120, "a", None)]
+    df = spark.createDataFrame(rows, "post_id int, community string, words array<string>")
+    got = {r.post_id: (r.community, r.class_id, r.n_links) for r in groups.similar_counts(df).collect()}
+    sets = [frozenset(w or ()) for _, _, w in rows]
+    for i, c, _ in rows:
+        alike = sum(c != e and bool(sets[i]) and bool(sets[j]) and 2 * len(sets[i] & sets[j]) >= min(len(sets[i]), len(sets[j])) for j, e, _ in rows)
+        assert got.pop(i) == (c, sets.index(sets[i]) if sets[i] else i, alike)
+    assert not got
+
+
 def test_pairs_of_the_whole_text(spark):
     """Pairs of the title and of every sentence of the body, once a post; one shuffle, of words with those behind them."""
     rows = [(1, 7, "s0", 5, "alive", "alpha omega. gamma", "alpha omega. gamma\nomega delta alpha! zzz delta"), (1, 8, "s1", 2, "dead", "gamma", "gamma\nalpha: omega"), (2, 9, "s0", 1, "dead", None, None)]
