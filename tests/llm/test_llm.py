@@ -363,3 +363,15 @@ def test_encoder_equals_the_library_on_any_mixture():
             ids, at = enc.encode(some)
             for t, a, b in zip(some, at, at[1:]):
                 assert ids[a:b].tolist() == [*lib.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_pages_are_parsed_once(spark):
+    """The last step reads blocks of pages parsed before, not their html; texts are those of the page itself, but for the host's template."""
+    rows = [(i, f"http://a.b/{i}", f"<body><div class=top>Site name</div><article><h1>T {i}</h1><p>Words &amp; more {i} é</p><p>Same line</p></article></body>") for i in range(20)] + [(20, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    blocks = html_extract.parsed_pages(pages).select("page_id", "slots", "texts").collect()
+    assert {r.page_id: "\n".join(r.texts) for r in blocks} == {i: html_extract.main_text(h or "") for i, _, h in rows}
+    out = html_extract.extract_articles(pages)
+    assert "html" not in out._jdf.queryExecution().analyzed().toString()
+    got = {r.page_id: r.text for r in out.collect()}
+    assert got == {i: f"T {i}\nWords & more {i} é" if i < 20 else "" for i in range(21)}

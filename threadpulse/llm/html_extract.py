@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -243,19 +244,23 @@ def text_blocks(root: Node) -> list[tuple[str, str, bool, bool]]:
     return out
 
 
-def skeleton(html: str) -> list[list]:
-    """The tree of blocks for alignment: [depth, label, hash of its own text]; a text outside any inner block is a leaf `#`."""
+def text_hash(text: str) -> int:
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def skeleton(blocks: list[tuple[str, str, bool, bool]]) -> list[list]:
+    """The tree of blocks for alignment: [depth, label, hash of its own text]; a text outside any inner block is a leaf `#`."""
     out, seen = [], []
-    for slot, text, _, _ in text_blocks(parse(html)):
+    for slot, text, _, _ in blocks:
         path = slot.split("/")[1:]
         k = 0
         while k < min(len(path), len(seen)) and path[k] == seen[k]:
             k += 1
         k = min(k, max(len(path) - 1, 0))
         out += [[d, path[d], 0] for d in range(k, len(path))]
-        out.append([len(path), "#", xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1])
+        out.append([len(path), "#", text_hash(text)])
         seen = path
     return out
 
@@ -382,8 +387,27 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1)), F.lit(""))
 
 
-def induce_wrappers(pages: DataFrame, bundle: int = 8, least_pairs: int = 3, constant: float = 0.5) -> DataFrame:
-    """host, template: what is constant on the host's pages, as `slot` (all its texts) or `slot<tab>text hash`.
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, tree (see `skeleton`, as JSON), slots and texts (see `main_blocks`): a page is parsed once, for the wrapper and for its text."""
+
+    def f(frame: pd.DataFrame) -> pd.DataFrame:
+        import json
+
+        trees, slots, texts = [], [], []
+        for h in frame["html"]:
+            blocks = text_blocks(parse(text_of(h)))
+            trees.append(json.dumps(skeleton(blocks)))
+            main = main_blocks(blocks)
+            slots.append([s for s, _ in main])
+            texts.append([t for _, t in main])
+        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "host": frame["host"], "tree": trees, "slots": slots, "texts": texts})
+
+    rows = pages.select("page_id", "url", host_of("url").alias("host"), "html")
+    return in_batches(rows, f, "page_id long, url string, host string, tree string, slots array<string>, texts array<string>", 1000)
+
+
+def induce_wrappers(trees: DataFrame, bundle: int = 8, least_pairs: int = 3, constant: float = 0.5) -> DataFrame:
+    """host, template: what is constant on the host's pages (host, tree), as `slot` (all its texts) or `slot<tab>text hash`.
 
     Pages of a host are dealt into bundles of about `bundle`; in a bundle each page's tree is aligned with the one before.
     Matched leaves with equal text are constant, others vary; pairs of pages without any varying leaf are copies and
@@ -391,12 +415,6 @@ def induce_wrappers(pages: DataFrame, bundle: int = 8, least_pairs: int = 3, con
     four fifths of all its matches were; hosts with fewer than `least_pairs` alignments have no wrapper.
     """
 
-    def f(frame: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        return pd.DataFrame({"host": frame["host"], "tree": [json.dumps(skeleton(text_of(h))) for h in frame["html"]]})
-
-    trees = cut_lineage(in_batches(pages.select(host_of("url").alias("host"), "html"), f, "host string, tree string", 1000))
     size = trees.groupBy("host").count().select("host", F.greatest(F.lit(1), F.col("count") / bundle).cast("long").alias("bundles"))
     dealt = trees.join(size, "host").select("host", F.pmod(F.xxhash64("tree"), F.col("bundles")).alias("bundle"), "tree").repartition("host", "bundle").groupBy("host", "bundle").agg(F.sort_array(F.collect_set("tree")).alias("trees"))
 
@@ -425,15 +443,20 @@ def induce_wrappers(pages: DataFrame, bundle: int = 8, least_pairs: int = 3, con
     return texts.unionByName(slots).groupBy("host").agg(F.collect_set("t").alias("template"))
 
 
+def main_blocks(blocks: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
+    """(slot, text) of the blocks outside of chrome, from article (or else main) elements where a page has them."""
+    blocks = [(s, t, i) for s, t, chrome, i in blocks if not chrome]
+    inside = any(i for _, _, i in blocks)
+    return [(s, t) for s, t, i in blocks if i or not inside]
+
+
+def without_template(blocks: Iterable[tuple[str, str]], template: frozenset | set) -> str:
+    return "\n".join(t for s, t in blocks if not template or s not in template and f"{s}\t{text_hash(t)}" not in template)
+
+
 def main_text(html: str, template: frozenset | set = frozenset()) -> str:
     """The article's blocks, joined by line feeds: those outside of chrome and of the host's template, from article (or else main) elements where a page has them."""
-    import xxhash
-
-    blocks = [(s, t, i) for s, t, chrome, i in text_blocks(parse(html)) if not chrome]
-    if any(i for _, _, i in blocks):
-        blocks = [x for x in blocks if x[2]]
-    varying = [x for x in blocks if x[0] not in template and f"{x[0]}\t{xxhash.xxh3_64_intdigest(x[1].encode('utf-8', 'surrogatepass')) >> 1}" not in template] if template else blocks
-    return "\n".join(t for _, t, _ in varying)
+    return without_template(main_blocks(text_blocks(parse(html))), template)
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -443,16 +466,17 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     block becomes one space. Pages of any depth and length are read whole. Repeated rows each give a row and equal pages equal texts; null ids
     stay null; other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    wrappers = cut_lineage(induce_wrappers(pages))
-    both = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(wrappers, "host", "left")
+    parsed = cut_lineage(parsed_pages(pages), "zstd")
+    wrappers = cut_lineage(induce_wrappers(parsed.select("host", "tree")))
+    both = parsed.select("page_id", "url", "host", "slots", "texts").join(wrappers, "host", "left")
 
     def f(frame: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, frozenset] = {}
         texts = []
-        for host, html, template in zip(frame["host"], frame["html"], frame["template"]):
+        for host, slots, blocks, template in zip(frame["host"], frame["slots"], frame["texts"], frame["template"]):
             if host not in known:
                 known[host] = frozenset(template) if template is not None else frozenset()
-            texts.append(main_text(text_of(html), known[host]))
+            texts.append(without_template(zip(slots, blocks), known[host]))
         return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return in_batches(both, f, "page_id long, url string, text string, n_chars long", 1000)
