@@ -329,3 +329,22 @@ def test_title_words_travel_as_text(spark):
     got = {(r.day_no, r.topic): (r.n_posts, round(r.diversity, 6)) for r in out.collect()}
     assert got == {(1, "k"): (2, 0.5), (1, "m"): (3, round((0.5 + 1 + 1) / 3, 6)), (2, "q"): (2, 0.0)}
     assert "concat_ws" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_title_diversity_of_groups_of_any_size(spark, monkeypatch):
+    """Keywords of many posts have a row, as a loop over all pairs finds it, in one block and in several, with copies and titles without words."""
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    rows = [(i % 2, i, draw.sample("km", draw.randint(1, 2)), draw.sample("abcdefgh", draw.choice((0, 1, 2, 2, 3, 4)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "day_no int, post_id int, words array<string>, title_words array<string>")
+    want = {}
+    for day, key in itertools.product((0, 1), "km"):
+        sets = [{*t} for d, _, k, t in rows if d == day and key in k]
+        each = [1 - len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2) if a | b]
+        want[day, key] = (len(sets), pytest.approx(sum(each) / len(each)))
+    for block in (8192, 7):
+        monkeypatch.setattr(profiles, "TITLES_A_BLOCK", block)
+        got = {(r.day_no, r.topic): (r.n_posts, r.diversity) for r in profiles.title_diversity(df, "words", "title_words").collect()}
+        assert got == want

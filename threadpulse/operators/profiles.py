@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.states import safe_ratio
 from .groups import alive
@@ -170,17 +176,81 @@ def keyword_profiles(posts: DataFrame, keys: str, measures: DataFrame, low: int,
     )
 
 
-def title_diversity(posts: DataFrame, keys: str, words: str, most: int) -> DataFrame:
-    """Per (day, keyword) with 2 to `most` posts: mean Jaccard distance of its titles' word sets over all pairs; keywords of more posts are no small topics and have no row."""
-    # a title's words go along with each keyword, as one text with a control character between them, which needs fewer bytes than an array
-    long = posts.select("day_no", "post_id", F.concat_ws("\x01", words).alias("w"), F.explode(keys).alias("topic"))
-    few = long.groupBy("day_no", "topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select("day_no", "topic")
-    sets = long.join(few, ["day_no", "topic"]).groupBy("day_no", "topic").agg(F.sort_array(F.collect_list(F.struct("post_id", "w"))).alias("s"))
-    sets = sets.withColumn("s", F.transform("s", lambda x: F.struct(F.array_remove(F.split(x["w"], "\x01"), "").alias("w"))))
-    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(F.size(F.array_intersect(a["w"], b["w"])).alias("both"), F.size(F.array_union(a["w"], b["w"])).alias("all")))))
-    kept = F.filter(pairs, lambda p: p["all"] > 0)
-    total = F.aggregate(kept, F.lit(0.0), lambda a, p: a + 1 - p["both"] / p["all"])
-    return sets.select("day_no", "topic", F.size("s").cast("long").alias("n_posts"), (total / F.greatest(F.size(kept), F.lit(1))).alias("diversity"))
+#: Posts of a day that are a block; the posts of two blocks are compared in one group
+TITLES_A_BLOCK = 8192
+
+
+def title_diversity(posts: DataFrame, keys: str, words: str, most: int | None = None) -> DataFrame:
+    """Per (day, keyword) with 2 posts or more (and `most` at most, if given): mean Jaccard distance of its titles' word sets over all pairs in which a word occurs; 0 without such pairs.
+
+    A day's posts are dealt into blocks and compared block by block, each with all others that share a keyword; a distance is taken once, whatever keywords the two share. So titles
+    don't go along with each keyword, no pair is a row, and a task holds two blocks, however many posts a keyword has."""
+    # a title's words are one text with a control character between them, which needs fewer bytes than an array
+    rows = posts.select("day_no", "post_id", F.concat_ws("\x01", F.array_distinct(words)).alias("w"), F.col(keys).alias("k"))
+    blocks = posts.groupBy("day_no").agg(F.ceil(F.count(F.lit(1)) / TITLES_A_BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(blocks), "day_no").withColumn("mine", F.pmod(F.xxhash64("post_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("day_no", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(F.struct("mine", "w", "k")).alias("s"))
+    schema = T.StructType([groups.schema["day_no"], T.StructField("topic", T.StringType()), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("pairs", T.LongType()), ("total", T.DoubleType()))]])
+    per = groups.mapInArrow(_distances, schema).groupBy("day_no", "topic").agg(F.sum("n").alias("n_posts"), F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
+    enough = F.col("n_posts") > 1 if most is None else F.col("n_posts").between(2, most)
+    return per.where(enough).select("day_no", "topic", "n_posts", (F.col("total") / F.greatest("pairs", F.lit(1))).alias("diversity"))
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each day, keyword and two blocks (i, j): the posts (where i = j), the pairs in which a word occurs and the sum of their distances."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows, i, j = batch["s"].slice(k, 1).flatten(), batch["i"][k].as_py(), batch["j"][k].as_py()
+            mine = rows.field("mine").to_numpy()
+            of_key, key, keys = _numbered(rows.field("k"))
+            of_word, word, _ = _numbered(pc.split_pattern(pc.fill_null(rows.field("w"), ""), "\x01"))
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            n, pairs, total = _compared(left, right, i == j, of_key, key, of_word, word, len(keys))
+            some = np.flatnonzero((n > 0) | (pairs > 0))
+            day = pa.array([batch["day_no"][k].as_py()], batch["day_no"].type).take(pa.array(np.zeros(len(some), np.int64)))
+            yield pa.RecordBatch.from_arrays([day, keys.take(pa.array(some)), pa.array(n[some]), pa.array(pairs[some]), pa.array(total[some])], names=["day_no", "topic", "n", "pairs", "total"])
+
+
+def _numbered(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each row's values begin (and the last ones end), the values as numbers, and what the numbers stand for. A list of one empty text has none."""
+    ends, values = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+    ends = ends - ends[0]
+    keep = pc.not_equal(values, "").to_numpy(zero_copy_only=False).astype(bool)
+    values = values.filter(pa.array(keep)).dictionary_encode()
+    return np.r_[0, np.cumsum(keep)][ends], values.indices.to_numpy().astype(np.int64), values.dictionary
+
+
+def _places(rows: np.ndarray, upto: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value's rows (as places in `rows`, rising) begin, and these rows."""
+    size = upto[rows + 1] - upto[rows]
+    row, own = np.repeat(np.arange(len(rows)), size), np.concatenate([value[upto[r] : upto[r + 1]] for r in rows.tolist()] or [value[:0]])
+    return np.r_[0, np.cumsum(np.bincount(own, minlength=n))], row[np.argsort(own, kind="stable")]
+
+
+def _compared(left: np.ndarray, right: np.ndarray, same: bool, of_key: np.ndarray, key: np.ndarray, of_word: np.ndarray, word: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per keyword the posts (if `same`), the pairs and their distances: each post of the left with those of the right (behind it, if `same`) that have the keyword."""
+    n, pairs, total = np.zeros(n_keys, np.int64), np.zeros(n_keys, np.int64), np.zeros(n_keys)
+    key_at, key_rows = _places(right, of_key, key, n_keys)
+    word_at, word_rows = _places(right, of_word, word, int(word.max()) + 1 if len(word) else 0)
+    size, begin, end = (of_word[1:] - of_word[:-1])[right], key_at[:-1].copy(), key_at[1:]
+    for at, a in enumerate(left.tolist()):
+        mine, words = key[of_key[a] : of_key[a + 1]], word[of_word[a] : of_word[a + 1]]
+        if same:
+            n[mine] += 1
+            begin[mine] += 1  # the post itself comes first among those that are left
+        b, e = begin[mine], end[mine]
+        mine, b, e = mine[b < e], b[b < e], e[b < e]
+        if not len(mine):
+            continue
+        at_words = [word_rows[x:y] for x, y in zip(word_at[words].tolist(), word_at[words + 1].tolist())]
+        both = np.bincount(np.concatenate(at_words), minlength=len(right)) if at_words else np.zeros(len(right), np.int64)
+        union = size + len(words) - both
+        distance, counts = np.where(union > 0, 1 - both / np.maximum(union, 1), 0.0), union > 0
+        others = np.concatenate([key_rows[x:y] for x, y in zip(b.tolist(), e.tolist())])
+        first = np.r_[0, np.cumsum(e - b)[:-1]]
+        total[mine] += np.add.reduceat(distance[others], first)
+        pairs[mine] += e - b if len(words) else np.add.reduceat(counts[others].astype(np.int64), first)
+    return n, pairs, total
 
 
 def comment_keyword_lift(comments: DataFrame, status: DataFrame, words: Column, least: int) -> DataFrame:

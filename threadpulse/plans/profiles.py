@@ -108,10 +108,10 @@ SELECT day_no, topic, n AS n_posts, total AS total_upvotes, n_communities, days_
 )(lambda s, d: rounded(profiles.keyword_profiles(with_words(s, d), "words", discussion(s, d), 2, 15)))
 query(
     "title_diversity",
-    f"""WITH {KEYWORDS_SQL}, lg AS (SELECT day_no, post_id, title_words AS w, unnest(words) AS topic FROM kp), f AS (SELECT day_no, topic, count(*) AS n FROM lg GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 5), l2 AS (SELECT lg.*, f.n FROM lg JOIN f ON f.day_no = lg.day_no AND f.topic = lg.topic),
+    f"""WITH {KEYWORDS_SQL}, lg AS (SELECT day_no, post_id, title_words AS w, unnest(words) AS topic FROM kp), f AS (SELECT day_no, topic, count(*) AS n FROM lg GROUP BY 1, 2 HAVING count(*) >= 2), l2 AS (SELECT lg.*, f.n FROM lg JOIN f ON f.day_no = lg.day_no AND f.topic = lg.topic),
 p AS (SELECT a.day_no, a.topic, len(list_intersect(a.w, b.w)) AS x, len(list_distinct(list_concat(a.w, b.w))) AS y FROM l2 a JOIN l2 b ON a.day_no = b.day_no AND a.topic = b.topic AND a.post_id < b.post_id)
 SELECT f.day_no, f.topic, f.n AS n_posts, round(coalesce((SELECT sum(1 - x / y) FROM p WHERE p.day_no = f.day_no AND p.topic = f.topic AND y > 0), 0) / greatest((SELECT count(*) FROM p WHERE p.day_no = f.day_no AND p.topic = f.topic AND y > 0), 1), 6) + 0.0 AS diversity FROM f""",
-)(lambda s, d: rounded(profiles.title_diversity(with_words(s, d), "words", "title_words", 5)))
+)(lambda s, d: rounded(profiles.title_diversity(with_words(s, d), "words", "title_words")))
 _LIFT = ["upvotes", "parent_upvotes", "parent_alive"]
 query(
     "comment_keyword_lift",
