@@ -348,3 +348,26 @@ def test_title_diversity_of_groups_of_any_size(spark, monkeypatch):
         monkeypatch.setattr(profiles, "TITLES_A_BLOCK", block)
         got = {(r.day_no, r.topic): (r.n_posts, r.diversity) for r in profiles.title_diversity(df, "words", "title_words").collect()}
         assert got == want
+
+
+def test_sets_meet_in_blocks(spark, monkeypatch):
+    """Pairs and links over several blocks, sets of up to 40 words and posts without a community, as loops find them; no set is compared row by row."""
+    import random
+
+    monkeypatch.setattr(groups, "LEAST_BLOCKS", 4)
+    monkeypatch.setattr(groups, "SETS_A_TASK", 60)
+    draw = random.Random(6)
+    rows = [(i, draw.choice(["a", "b", "c", None]), [f"w{k}" for k in draw.sample(range(50), draw.choice((1, 2, 5, 20, 40)))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "post_id int, community string, words array<string>")
+    links, pairs = dict.fromkeys(range(300), 0), {}
+    for i, c, w in rows:
+        for j, e, v in rows[i + 1 :]:
+            both = len({*w} & {*v}) / min(len(w), len(v))
+            if c and e and c != e and both >= 0.5:
+                pairs[(i, j) if c < e else (j, i)] = both
+                links[i], links[j] = links[i] + 1, links[j] + 1
+    out = groups.similar_titles(df)
+    assert {(r.a, r.b): r.similarity for r in out.collect()} == pairs and out.count() == len(pairs)
+    counts = groups.similar_counts(df)
+    assert {r.post_id: r.n_links for r in counts.collect()} == links
+    assert not any("array_intersect" in x._jdf.queryExecution().optimizedPlan().toString() for x in (out, counts))
