@@ -371,3 +371,20 @@ def test_sets_meet_in_blocks(spark, monkeypatch):
     counts = groups.similar_counts(df)
     assert {r.post_id: r.n_links for r in counts.collect()} == links
     assert not any("array_intersect" in x._jdf.queryExecution().optimizedPlan().toString() for x in (out, counts))
+
+
+def test_prior_repeats_are_counted_not_joined(spark):
+    """Others' first times in [t - span, t) as a loop finds them, with equal times, spans without any, negative times and nulls; first times and times meet in no join of one with many."""
+    import random
+
+    draw = random.Random(7)
+    rows = [(i, draw.choice("kl"), draw.choice([1, 2, 3, 4, 5, 6, 7, 8, None]), draw.choice([draw.randrange(-30, 60), draw.randrange(400, 420), None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, k string, who int, t long")
+    first = {}
+    for _, k, who, t in rows:
+        if who is not None and t is not None:
+            first[k, who] = min(first.get((k, who), t), t)
+    want = {i: sum(g == k and u != who and t - 10 <= f < t for (g, u), f in first.items()) if who is not None and t is not None else 0 for i, k, who, t in rows}
+    out = timeline.prior_repeats(df, ["k"], "who", "t", 10)
+    assert {r.i: r.prior_repeats for r in out.collect()} == want and out.columns == [*df.columns, "prior_repeats"]
+    assert "NOT (_other" not in out._jdf.queryExecution().optimizedPlan().toString() and ") <" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
