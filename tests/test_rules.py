@@ -388,3 +388,14 @@ def test_prior_repeats_are_counted_not_joined(spark):
     out = timeline.prior_repeats(df, ["k"], "who", "t", 10)
     assert {r.i: r.prior_repeats for r in out.collect()} == want and out.columns == [*df.columns, "prior_repeats"]
     assert "NOT (_other" not in out._jdf.queryExecution().optimizedPlan().toString() and ") <" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_sentences_of_the_title_are_not_dealt_again(spark, monkeypatch):
+    """A sentence whose words are all in the title adds no pair and isn't shuffled; one that only begins like the title's words is."""
+    rows = [(1, 7, "s0", 5, "alive", "alpha omega. gamma delta", "alpha omega. gamma delta\ngammas omega! alpha delta"), (1, 8, "s1", 2, "dead", None, "gamma delta. gamma")]
+    df = spark.createDataFrame(rows, "day_no int, post_id int, community string, upvotes int, state string, title string, body string")
+    dealt, plain = [], topics.pair_rows
+    monkeypatch.setattr(topics, "pair_rows", lambda lines, words, keep: dealt.append(lines) or plain(lines, words, keep))
+    got = {r.topic: r.n_posts for r in topics.pair_days(df, "title", "body").collect()}
+    assert got == {"alpha+omega": 1, "alpha+gamma": 1, "alpha+delta": 1, "delta+omega": 1, "gamma+omega": 1, "delta+gamma": 2, "gammas+omega": 1}
+    assert sorted(sorted(r._words) for r in dealt[0].collect()) == [["alpha", "delta", "gamma", "omega"], ["delta", "gamma"], ["gammas", "omega"]]
